@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import map_arrow
 from . import common as C
 
 MIN_WORDS = 50
@@ -107,7 +108,7 @@ def rule_statistics(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
             cols = [pa.array(c.astype(np.int64)) for c in statistics(data, offs)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], ["id_value", *COUNTS])
 
-    return docs.select(F.col(id_col).cast("long").alias("id_value"), F.col(text).alias("text_value")).mapInArrow(run, out_schema).withColumnRenamed("id_value", id_col)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id_value"), F.col(text).alias("text_value")), run, out_schema).withColumnRenamed("id_value", id_col)
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -197,7 +198,9 @@ def threshold_from(hist: list[tuple[int, int, int]], keep_good: float = KEEP_GOO
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame | None, keep_good: float = KEEP_GOOD, text: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed, anomaly (the forest's score), threshold and kept for each row of docs."""
     stats = C.table(spark, rule_statistics(docs, text), "quality")
-    sample = stats.where(f"n_words >= {MIN_WORDS}").orderBy(F.xxhash64("doc_id", F.lit(5)), *COUNTS).limit(SAMPLE_ROWS).toPandas()
+    whole = stats.where(f"n_words >= {MIN_WORDS}")
+    share = max(1, -(-whole.count() // SAMPLE_ROWS))  # about one row of so many, by a hash of its doc_id
+    sample = whole.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == 0).limit(2 * SAMPLE_ROWS).toPandas()
     if len(sample) < 2:
         scored = stats.withColumn("anomaly", F.lit(0.0))
     else:
@@ -208,7 +211,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame | None, keep_g
                 x = features({c: b.column(c).to_numpy() for c in COUNTS})
                 yield b.append_column("anomaly", pa.array(forest.score(x) if len(x) else np.zeros(0)))
 
-        scored = C.table(spark, stats.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", anomaly double"), "anomaly")
+        scored = C.table(spark, map_arrow(stats, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", anomaly double"), "anomaly")
     threshold = DEFAULT_THRESHOLD
     if labels is not None:
         known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))

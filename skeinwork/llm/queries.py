@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op5_bbit_minhash": minhash.op5_bbit_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
