@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality
+from . import minhash, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
+    "op8_level_doubling": substrings.op8_level_doubling,
 }
 
 ORACLE_SQL: dict[str, str] = {}
