@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality, substrings, toxicity
+from . import minhash, quality, secrets, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_levenshtein_toxicity": toxicity.op3_levenshtein_toxicity,
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
+    "op6_crf_secrets": secrets.op6_crf_secrets,
     "op8_level_doubling": substrings.op8_level_doubling,
 }
 
