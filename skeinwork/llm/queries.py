@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, planes, quality, secrets, substrings, toxicity
+from . import minhash, packing, planes, quality, secrets, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
     "op6_crf_secrets": secrets.op6_crf_secrets,
     "op8_level_doubling": substrings.op8_level_doubling,
+    "op9_residual_packing": packing.op9_residual_packing,
     "op10_plane_files": planes.op10_plane_files,
 }
 
