@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, planes, quality, secrets, substrings, toxicity
+from . import minhash, packing, planes, quality, secrets, sharding, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_vector_shards": sharding.op2_vector_shards,
     "op3_levenshtein_toxicity": toxicity.op3_levenshtein_toxicity,
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
     "op6_crf_secrets": secrets.op6_crf_secrets,
+    "op7_warc_segments": warc.op7_warc_segments,
     "op8_level_doubling": substrings.op8_level_doubling,
     "op9_residual_packing": packing.op9_residual_packing,
     "op10_plane_files": planes.op10_plane_files,
