@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, planes, quality, secrets, sharding, substrings, toxicity, warc
+from . import decontaminate, minhash, packing, planes, quality, secrets, sharding, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_vector_shards": sharding.op2_vector_shards,
     "op3_levenshtein_toxicity": toxicity.op3_levenshtein_toxicity,
+    "op4_template_decontamination": decontaminate.op4_template_decontamination,
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
     "op6_crf_secrets": secrets.op6_crf_secrets,
     "op7_warc_segments": warc.op7_warc_segments,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_plane_files": planes.op10_plane_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_template_decontamination": decontaminate.SQL}
