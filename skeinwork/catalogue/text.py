@@ -73,7 +73,7 @@ def _names(spark, sf):
 
 def _resolve(spark, sf):
     """Typed names against part names: exact, else the most similar of 70 or more."""
-    typed = spark.createDataFrame([("part 7",), ("Part#7",), ("prat 12",), ("nothing like it at all",)], "typed string")
+    typed = spark.createDataFrame([("small ring",), ("Ring small",), ("red widgett",), ("nothing like it at all",)], "typed string")
     pairs = typed.join(F.broadcast(_names(spark, sf)))  # a handful of names, by contract
     best = pairs.withColumn("score", F.round(T.token_sort_ratio_udf("typed", "p_name"), 6)).groupBy("typed").agg(F.max(F.struct("score", "p_name")).alias("b"))
     return best.select("typed", F.when(F.col("b.score") >= 70, F.col("b.p_name")).alias("name"), F.col("b.score").alias("score"))
@@ -81,7 +81,7 @@ def _resolve(spark, sf):
 
 def _entities(spark, sf):
     """Names that a question's words and word pairs come close to (75 or more)."""
-    words = F.split(F.lit("how does part 12 differ from part 77 in size"), " ")
+    words = F.split(F.lit("how does the red widget differ from a blu bolt in size"), " ")
     w = spark.range(1).select(words.alias("w"))
     cand = w.select(F.explode(F.concat("w", F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get(F.col("w"), i), F.get(F.col("w"), i + 1))))).alias("typed"))
     pairs = cand.distinct().join(F.broadcast(_names(spark, sf)))  # a question's words

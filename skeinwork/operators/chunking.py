@@ -58,7 +58,7 @@ def file_chunks(files: DataFrame) -> DataFrame:
     """
     lines = files.select("path", F.split("content", "\n").alias("lines"), "classes", "functions")
     of_class = lines.select("path", "lines", F.explode("classes").alias("d"), F.col("functions").alias("all"))
-    methods = F.transform(F.filter("all", lambda f: f.class_name == F.col("d.name")), lambda f: f.name)
+    methods = F.transform(F.filter("all", lambda f: f.class_name == F.col("d.name")), lambda f: f["name"])
     of_class = of_class.select("path", "lines", F.col("d.name").alias("class_name"), F.lit(None).cast("string").alias("function_name"), F.lit("class").alias("chunk_type"), (F.col("d.line_start") - 1).alias("lo"), F.col("d.line_end").alias("hi"), methods.alias("methods"))
     own = lines.select("path", "lines", F.explode(F.filter("functions", lambda f: f.class_name.isNull())).alias("d"))
     above = F.reverse(F.slice("lines", F.lit(1), F.greatest(F.col("d.line_start") - 1, F.lit(0))))
