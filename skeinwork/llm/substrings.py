@@ -117,7 +117,7 @@ def _removed(docs: DataFrame, text: str, window: int) -> DataFrame:
             data, offs = C.utf8(b.column(1))
             raw, sha, gone = data.tobytes(), [], []
             cover = b.column(2)
-            lo = cover.offsets.to_numpy()
+            lo = cover.offsets.to_numpy() - cover.offsets[0].as_py()  # a slice has its first text at any place
             flat = cover.flatten()
             pos, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
             for i in range(b.num_rows):
