@@ -207,7 +207,7 @@ def read(manifest: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return map_arrow(manifest.select("path").repartition(F.col("path")), run, f"{_OUT_DDL}, {_SEG_DDL}")
+    return map_arrow(manifest.select("path").repartition(max(1, manifest.count()), "path"), run, f"{_OUT_DDL}, {_SEG_DDL}")
 
 
 def reassemble(read_records: DataFrame) -> DataFrame:
