@@ -78,6 +78,13 @@ def _file_index(spark, sf):
     return G.file_index(b["files"], b["classes"], b["functions"], methods)
 
 
+def _both(spark, sf):
+    """Two templates' results in one frame, their rows as JSON."""
+    b = S.brands(spark, sf)
+    structure, most = G.file_structure(b["classes"], b["functions"]), G.most_dependencies(S.imports(spark, sf))
+    return G.as_records({"file_structure": structure, "most_dependencies": most}).select("template", "record")
+
+
 QUERIES = {
     "tree_paths": lambda spark, sf: S.table(spark, sf, "nation").select(F.col("n_name").alias("path")).orderBy("path"),
     "all_files": lambda spark, sf: S.table(spark, sf, "nation").join(S.table(spark, sf, "region").where("r_name is not null"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(F.col("n_name").alias("path")).orderBy("path"),
@@ -107,6 +114,9 @@ QUERIES = {
     "file_index": _file_index,
     "node_type_stats": lambda spark, sf: _nodes(spark, sf).groupBy("node_type").agg(F.count("*").alias("n")),
     "node_complexity": lambda spark, sf: (lambda b: b["files"].join(b["classes"].union(b["functions"]).groupBy("path").agg(F.count("*").alias("n")), "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("size")))(S.brands(spark, sf)),
+    "node_badges": lambda spark, sf: G.badges(S.brands(spark, sf)["classes"]),
+    "template_union": _both,
+    "delete_counts": lambda spark, sf: S.imports(spark, sf).groupBy((F.col("src") % 5).alias("repo")).agg(F.countDistinct("src").alias("nodes"), F.count("*").alias("edges")),
     "dir_groups": lambda spark, sf: G.groups(S.table(spark, sf, "nation").select(F.col("n_regionkey").alias("group"), F.col("n_name").alias("value")), 2),
 }
 
@@ -153,5 +163,12 @@ SQL = {
       SELECT a.path, coalesce(c.x, '') AS classes, concat_ws(',', f.x, c.m) AS functions FROM allfiles a LEFT JOIN c ON c.path = a.path LEFT JOIN f ON f.path = a.path""",
     "node_type_stats": f"WITH {_NODES} SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type",
     "node_complexity": f"WITH {_B}, x AS (SELECT path, name FROM classes UNION ALL SELECT path, name FROM functions) SELECT path, (SELECT count(*) FROM x WHERE x.path = a.path) AS size FROM allfiles a",
+    "node_badges": f"""WITH {_B}, c AS (SELECT path, list_sort(list(DISTINCT name)) AS l FROM classes GROUP BY path)
+      SELECT path, array_to_string(l[1:2], ',') AS shown, CAST(greatest(len(l) - 2, 0) AS INT) AS more FROM c""",
+    "template_union": f"""WITH {_B}, {_I}, c AS (SELECT path, {_AGG.format('name')} AS classes FROM classes GROUP BY path), f AS (SELECT path, {_AGG.format('name')} AS functions FROM functions GROUP BY path),
+      m AS (SELECT src AS node, count(DISTINCT dst) AS n FROM imports GROUP BY src ORDER BY n DESC, node LIMIT 5)
+      SELECT 'file_structure' AS template, '{{"path":' || path || ',"classes":"' || classes || '","functions":"' || functions || '"}}' AS record FROM c JOIN f USING (path)
+      UNION ALL SELECT 'most_dependencies', '{{"node":' || node || ',"n":' || n || '}}' FROM m""",
+    "delete_counts": f"WITH {_I} SELECT src % 5 AS repo, count(DISTINCT src) AS nodes, count(*) AS edges FROM imports GROUP BY 1",
     "dir_groups": "SELECT n_regionkey AS \"group\", min(n_name) AS lowest, max(n_name) AS highest, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) >= 2",
 }

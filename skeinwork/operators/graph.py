@@ -201,3 +201,14 @@ def path_tree(paths: DataFrame) -> DataFrame:
 def groups(members: DataFrame, least: int = 2) -> DataFrame:
     """(group, lowest, highest, n) of groups (group, value) with so many members at least."""
     return members.groupBy("group").agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def badges(names: DataFrame, shown: int = 2) -> DataFrame:
+    """(path, shown, more): a file's first names, and how many more it has."""
+    every = names.groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return every.select("path", F.array_join(F.slice("names", 1, shown), ",").alias("shown"), F.greatest(F.size("names") - shown, F.lit(0)).alias("more"))
+
+
+def as_records(results: dict[str, DataFrame]) -> DataFrame:
+    """(template, record): results of different shape as one bag of JSON rows."""
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("template"), F.to_json(F.struct(*df.columns)).alias("record")) for name, df in results.items()])

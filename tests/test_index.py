@@ -102,3 +102,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q = activity.idle_alerts(stream.select("key", "ts")).writeStream.outputMode("update").format("memory").queryName("idle").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.key for r in spark.table("idle").collect()} == {0, 1, 2}
+
+
+def test_question_sets(spark, tables, tmp_path):
+    import json
+
+    from skeinwork.plans import evaluate
+
+    rows = [{"question": "What does app.py import", "ground_truth": "text.py and models.py"}, {"question": "Show the leaf nodes", "ground_truth": "none"}] * 2
+    (tmp_path / "q.json").write_text(json.dumps(rows))
+    questions = evaluate.read_questions(spark, str(tmp_path / "q.json"))
+    assert sorted(r.batch for r in questions.collect()) == [0, 0, 0, 1]
+    got = evaluate.recall(evaluate.samples(spark, questions, tables)).collect()
+    assert {r.question: r.hit for r in got} == {"What does app.py import": 1.0, "Show the leaf nodes": None}
