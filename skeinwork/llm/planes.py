@@ -164,7 +164,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         rows = [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return map_arrow(placed.repartition(F.col("file_no")), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(placed.repartition(max(1, manifest.count()), "file_no"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ a bounded cache, so the ids are those of the whole text.  The vocabulary files a
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
 from tokenizers import Tokenizer
 
-CACHE = 500_000
+CACHE = 700_000
 _EDGE = re.compile(r"(?<=\S)(?=[ \n])")
 _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")  # ASCII marks but the apostrophe
 
@@ -23,12 +24,23 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next free code point."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """ids of texts as packed unsigned 32-bit little-endian integers."""
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer
+        self.letters = byte_letters()
+        with open(path, encoding="utf-8") as f:  # only a space before a word can be part of its first token
+            self.space = "" if any(p.get("type") == "Split" for p in json.load(f)["pre_tokenizer"].get("pretokenizers", [])) else self.letters[32]
         self.limit = cache
         self.chunks: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
@@ -36,6 +48,16 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes | None:
+        """ids of a space and a word of letters alone, which pre-tokenizers leave whole: straight from the model."""
+        if self.normal is not None:
+            word = word.lower() if word.isascii() else self.normal.normalize_str(word)
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(self.space + word)]).tobytes()
+
     def _learn(self, wanted: set[str]) -> None:
         """Encode the chunks that the cache lacks.  A chunk after a space is kept without it; ``None`` marks one that
         isn't cut off for certain, as white space runs on."""
@@ -56,7 +78,14 @@ class Encoder:
                 plain.append(w)
         bases = {b for _, b, _ in split if b not in self.chunks}
         plain = list(dict.fromkeys([*plain, *sorted(bases)]))
-        for w, ids in zip(plain, self._ids([w if w[0] == "\n" else " " + w for w in plain])):
+        rest = []
+        for w in plain:
+            ids = self._word(w) if w.isalpha() else None
+            if ids is None:
+                rest.append(w)
+            else:
+                self.chunks[w] = ids
+        for w, ids in zip(rest, self._ids([w if w[0] == "\n" else " " + w for w in rest])):
             self.chunks[w] = ids
         tails = sorted({t for _, _, t in split if t not in self.tails})
         if len(self.tails) + len(tails) > self.limit:
