@@ -3,7 +3,7 @@
 Equal texts are a group, and groups are placed where the dot product of their vector (bytes, tokens, rows, as shares of
 the whole) with the shards' residual capacity is highest, largest first, in three rounds:
 
-1. groups over 1 / (shards * HEAVY) of the whole in any measure: at most 3 * shards * HEAVY of them, placed by the driver.
+1. groups over 1 / (shards * HEAVY) of the whole (and over 1.5 mean groups) in any measure: at most 3 * shards * HEAVY of them, placed by the driver.
    A group over a quarter of a shard is first split into pieces by a hash of doc_id;
 2. the other groups, in blocks within tasks: each block fills its share of what the first round left of each shard;
 3. about RESERVE groups, held back by a hash, are placed last by the driver and level the bytes.
@@ -55,7 +55,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, text: str
     total = np.maximum(np.array([t[m] or 0 for m in MEASURES], float), 1.0)
     share = F.greatest(*(F.col(m) / float(x) for m, x in zip(MEASURES, total)))
     groups = groups.withColumn("share", share)
-    heavy_from = 1 / (shards * HEAVY)
+    heavy_from = max(1 / (shards * HEAVY), 1.5 / max(t.n or 0, 1))  # in a small table, what is above the ordinary
 
     heavy = groups.where(F.col("share") > heavy_from)
     split = heavy.where((F.col("share") > 1 / (shards * PART)) & (F.col("rows") > 1)).select("h1", "h2", F.least("rows", F.ceil(F.col("share") * shards * PART)).cast("int").alias("parts"))
