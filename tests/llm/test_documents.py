@@ -109,7 +109,7 @@ def test_shards(spark, docs, empty):
         slots[r.shard].append(r.slot)
         sizes[r.shard] += r.size
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(5))
-    assert max(sizes.values()) - min(sizes.values()) <= max(r.size for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got)  # both copies of a long text may fall into one piece
     assert sharding.shard(spark, empty, 5).count() == 0
 
 
