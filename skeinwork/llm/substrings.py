@@ -146,6 +146,7 @@ class Repeats:
         copies = self.classes.where(f"doc_id > rep and n_words >= {window}").select("doc_id", "sha")
         runs = self.all.where("doc_id is not null").join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.inline("runs"))
         anchors = runs.groupBy("fp").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min("rh") < F.max("rh")).alias("many")).where("d0 < d1").select("fp", "d0", "many")
+        anchors = C.table(spark, anchors, "anchors")  # read again, so that a join can split a hot anchor's rows
         self.runs = C.table(spark, runs.join(anchors, "fp"), "runs")
         self.copies = copies
 
@@ -153,13 +154,14 @@ class Repeats:
         """doc_id, pos, n: n windows from word pos on that are repeated."""
         simple = self.runs.where("not many and doc_id > d0").select("doc_id", "pos", "n")
         many = self.runs.where("many")
-        first = many.groupBy("fp", "rh").agg(F.min("doc_id").alias("c0"))
+        first = C.table(self.spark, many.groupBy("fp", "rh").agg(F.min("doc_id").alias("c0")), "first")
         contexts = C.table(self.spark, many.join(first, ["fp", "rh"]).select("doc_id", "pos", "n", (F.col("doc_id") > F.col("c0")).alias("later")), "contexts")
         later = contexts.where("later").select("doc_id", "pos", "n")
         lists = contexts.where("not later").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
         ids = C.table(self.spark, lists.select("doc_id"), "ids")
         windows = C.table(self.spark, _cut(texts_of(self.docs, ids).join(lists, "doc_id"), self.window, self.text), "windows")
-        found = windows.groupBy("w").agg(F.min("doc_id").alias("w0"), F.max("doc_id").alias("w1")).where("w0 < w1")
+        found = windows.groupBy("w").agg(F.min("doc_id").alias("w0"), F.max("doc_id").alias("w1")).where("w0 < w1").select("w", "w0")
+        found = C.table(self.spark, found, "found")
         hit = windows.join(found, "w").where("doc_id > w0").select("doc_id", "pos", F.lit(1).alias("n"))
         # a context's windows hold for every run with it: the others are in ``later``; its first text has the row in ``hit``
         return simple.union(later).union(hit)
