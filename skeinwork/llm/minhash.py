@@ -9,10 +9,12 @@
    and corrects for chance collisions of lanes (1 / 2**b).  Pairs well under the threshold are dropped by it; the others
    are confirmed on the full sets.
 4. Confirmed links give first components.  What is left are bucket members outside the component of the bucket's
-   smallest member: each of them is held against all members of other components, again estimate first, then full sets.
-   Pairs within a component can't change it and are never made, so a large group of copies costs a star.
+   smallest member.  In STARS further rounds they are paired with a random member of that component in each bucket.
+   Those that are left still are held against all members of other components, by the estimate within the join and then
+   on full sets.  Pairs within a component can't change it and are never made, so a large group of copies costs stars.
 
-With 32 bands of 4 rows a pair of similarity 0.8 misses all bands with probability (1 - 0.8**4) ** 32 = 5e-8.
+With 44 bands of 6 rows a pair of similarity 0.8 misses all bands with probability (1 - 0.8**6) ** 44 = 2e-6, and texts
+that only share a common passage (similarity 0.3) meet in a band with probability 0.0007.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and is kept; rows that share a
 doc_id are judged by their own texts; a null doc_id has no component and isn't kept; an empty table gives an empty result; extra
@@ -32,9 +34,11 @@ from ..runtime import map_arrow
 from . import common as C
 from .graphs import components
 
-BANDS, ROWS, BITS = 32, 4, 4
+BANDS, ROWS, BITS = 44, 6, 4
 PERMUTATIONS = BANDS * ROWS
-MARGIN = 0.19  # over five standard deviations of the estimate from 128 lanes
+LANES = 256  # minima whose low bits the signature keeps
+MARGIN = 0.14  # over five standard deviations of the estimate from 256 lanes
+STARS = 2  # rounds with a random member of the main component at each bucket's centre, before all that is left
 BROADCAST_IDS = 2_000_000  # ids up to this number, 16 MB, are broadcast; more are joined by a shuffle
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,9 +64,9 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def signatures(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set digest (f1, f2), packed signature (s0 to s7) and band keys of each text."""
+    """doc_id, n_shingles, set digest (f1, f2), packed signature (s0 to s15) and band keys of each text."""
     lanes = 64 // BITS
-    packed = PERMUTATIONS // lanes
+    packed = LANES // lanes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.small_batches(batches, "text_value"):
@@ -122,13 +126,13 @@ def estimate(a: str, b: str) -> F.Column:
     ones = sum(1 << (BITS * i) for i in range(64 // BITS))
     ones -= 1 << 64 if ones >= 1 << 63 else 0
     differ = []
-    for p in range(PERMUTATIONS * BITS // 64):
+    for p in range(LANES * BITS // 64):
         x = F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))
         any_bit = x
         for s in range(1, BITS):
             any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, s))
         differ.append(F.bit_count(any_bit.bitwiseAND(F.lit(ones))))
-    match = 1 - sum(differ[1:], differ[0]) / PERMUTATIONS
+    match = 1 - sum(differ[1:], differ[0]) / LANES
     chance = 1 / (1 << BITS)
     return (match - chance) / (1 - chance)
 
@@ -140,6 +144,7 @@ class _Search:
         self.all = C.table(spark, signatures(docs, k, text), "signatures")
         self.sigs = [c for c in self.all.columns if c[0] == "s" and c[1:].isdigit()]
         groups = self.all.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+        groups = C.table(spark, groups, "classes")  # read again, so that joins can split a hot class's rows
         self.classes = groups
         self.reps = C.table(spark, self.all.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"]), "reps")
 
@@ -153,28 +158,56 @@ class _Search:
         linked = both.where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
         return C.table(self.spark, linked.distinct(), "links")
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with their estimate, without those that can't reach the threshold."""
-        side = lambda name: self.reps.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{name}"), *(F.col(c).alias(f"{name}{c[1:]}") for c in self.sigs))
-        found = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        return found.withColumn("est", estimate("a", "b")).where(F.col("est") >= self.percent / 100 - MARGIN).select("a", "b", "est")
+    def side(self, name: str) -> DataFrame:
+        return self.reps.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{name}"), *(F.col(c).alias(f"{name}{c[1:]}") for c in self.sigs))
+
+    def fits(self) -> F.Column:
+        """Whether a and b may reach the threshold, by the sizes of their sets and by the estimate."""
+        return (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (estimate("a", "b") >= self.percent / 100 - MARGIN)
+
+    def best(self, pairs: DataFrame) -> DataFrame:
+        """For each b of the pairs (a, b) its most similar a by the estimate, if any fits."""
+        found = pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.fits()).withColumn("est", estimate("a", "b"))
+        return found.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
 
     def links(self) -> DataFrame:
-        buckets = self.reps.select("doc_id", F.explode("bands").alias("key"))
+        buckets = self.reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
         lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
-        members = C.table(self.spark, buckets.join(lead, "key"), "members")  # only buckets with two texts or more
-        star = members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-        best = self.likely(star).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
-        first = self.confirmed(best)
-        comp = C.table(self.spark, components(self.spark, first), "components")
+        lead = C.table(self.spark, lead, "lead")
+        live = C.table(self.spark, buckets.join(lead, "key"), "members")  # only buckets with two texts or more
+        links = self.confirmed(self.best(live.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()))
+        fresh = True
+        for turn in range(STARS + 1):
+            if not fresh and turn < STARS:
+                continue  # the last star brought nothing: go on to all that is left
+            if fresh:
+                live = self.mixed(live, C.table(self.spark, components(self.spark, links), "components"))
+            if live.isEmpty():
+                break
+            outside = live.where("c <> cl").select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
+            if turn < STARS:
+                heads = live.where("c = cl").groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(turn))).alias("a"))
+                pairs = self.best(outside.join(heads, "key").select("a", "b").distinct())
+            else:
+                keys = lambda name: self.reps.select(F.col("doc_id").alias(name), F.col("bands").alias(f"{name}_bands"))
+                inside = live.select("key", "band", F.col("doc_id").alias("a"), F.col("c").alias("ca"), (F.col("c") == F.col("cl")).alias("home")).join(self.side("a"), "a").join(keys("a"), "a")
+                outside = outside.join(self.side("b"), "b").join(keys("b"), "b")
+                first_part = lambda name: F.slice(f"{name}_bands", F.lit(1), F.col("band"))
+                before = F.exists(F.zip_with(first_part("a"), first_part("b"), lambda x, y: x == y), lambda same: same)
+                apart = (inside["key"] == outside["key"]) & (F.col("ca") != F.col("cb")) & (F.col("home") | (F.col("a") < F.col("b")))
+                both = inside.join(outside, apart & self.fits() & ~before)  # in the first band that a pair shares
+                pairs = both.select("a", "b").distinct()
+            more = self.confirmed(pairs)
+            fresh = not more.isEmpty()
+            links = links.union(more)
+        return links
+
+    def mixed(self, live: DataFrame, comp: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one component, with their component and their leader's."""
         label = lambda x, out: comp.select(F.col("v").alias(x), F.col("component").alias(out))
-        known = members.join(label("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-        known = known.join(label("lead", "cl"), "lead", "left").withColumn("cl", F.coalesce("cl", "lead"))
-        outside = known.where("c <> cl").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-        inside = known.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("cl")).alias("home"))
-        inside = inside.join(outside.select("key").distinct(), "key", "left_semi")
-        rest = outside.join(inside, "key").where("cx <> cy and (home or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        return first.union(self.confirmed(self.likely(rest).select("a", "b")))
+        known = live.select("key", "band", "doc_id", "lead").join(label("doc_id", "c"), "doc_id", "left").join(label("lead", "cl"), "lead", "left")
+        known = C.table(self.spark, known.withColumns({"c": F.coalesce("c", "doc_id"), "cl": F.coalesce("cl", "lead")}), "known")
+        return C.table(self.spark, known.join(known.where("c <> cl").select("key").distinct(), "key", "left_semi"), "live")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
