@@ -1,9 +1,10 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
-A lexicon of terms and stems is learned from labelled texts.  The Levenshtein automaton (one edit) of each long enough
-entry is intersected with the trie of all entries by running both over one alphabet; the product is determinised once
-into a table, and every token of every text runs through that table, all tokens of a batch at a time.  A hit is exact
-or misspelled.  The words around a hit tell quotation from abuse: quote marks or reporting verbs near it count apart.
+A lexicon of terms and stems is learned from labelled texts.  The Levenshtein automaton (one edit) of each entry is intersected with the trie of all entries by running both over one alphabet; the product is determinised once
+into a table, and every token of every text runs through that table, all tokens of a batch at a time.  Symbols are code
+points, and any one of them, the first too, may be edited in an entry of any length.  Ordinary words that lie one edit
+from an entry (lower and loser) are learned from the clean labelled texts and are no hits.  A hit is exact or misspelled.
+The words around a hit tell quotation from abuse: quote marks or reporting verbs near it count apart.
 A logistic regression over these counts gives the score.
 
 Only rows whose crc32(doc_id as text) mod 4 is not 2 are learned from, and of those a bounded sample (MAX_TOXIC and
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,83 +82,122 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> list[tuple[str, bool]]:
 # ------------------------------------------------------------------------------------------------ automaton
 @dataclass
 class Automaton:
-    """table[state, symbol]; symbols are byte classes.  kind[state]: 0 none, 1 misspelled, 2 exact.  stay: states that
-    hold whatever follows (a stem was read)."""
+    """table[state, symbol]; symbols are classes of code points.  kind[state]: 0 none, 1 misspelled, 2 exact.  stay: states
+    that hold whatever follows (a stem was read)."""
 
-    classes: np.ndarray
+    classes: np.ndarray  # of code points below 128
+    wide: np.ndarray  # the other code points with a class of their own, ascending
+    wide_classes: np.ndarray
     table: np.ndarray
     kind: np.ndarray
 
+    def symbols(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class of each code point of UTF-8 data, and the tokens' starts and ends among them."""
+        if not len(data) or data.max() < 128:
+            return self.classes[data], start, end
+        lead = (data & 0xC0) != 0x80
+        at = np.concatenate([[0], np.cumsum(lead)])
+        head = np.flatnonzero(lead)
+        out = self.classes[data[head] & 127]
+        high = np.flatnonzero(data[head] >= 128)
+        if len(high):
+            first = head[high]
+            size = np.diff(np.append(head, len(data)))[high]
+            code = data[first].astype(np.int64) & (0x7F >> size)
+            for k in range(1, 4):
+                more = size > k
+                code[more] = (code[more] << 6) | (data[first[more] + k] & 0x3F)
+            out[high] = 0
+            if len(self.wide):
+                place = np.minimum(np.searchsorted(self.wide, code), len(self.wide) - 1)
+                out[high] = np.where(self.wide[place] == code, self.wide_classes[place], 0)
+        return out, at[start], at[end]
+
     def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The kind of each token data[start:end]."""
+        symbol, start, end = self.symbols(data, start, end)
         state = np.zeros(len(start), np.int32)
         alive, k = np.arange(len(start)), 0
         while len(alive):
-            state[alive] = self.table[state[alive], self.classes[data[start[alive] + k]]]
+            state[alive] = self.table[state[alive], symbol[start[alive] + k]]
             k += 1
             alive = alive[(start[alive] + k < end[alive]) & (self.table[state[alive], 0] >= 0)]
         return self.kind[state]
 
 
-def compile_automaton(entries: list[tuple[str, bool]]) -> Automaton:
-    """The product of the lexicon's trie with one-edit Levenshtein automata, as a deterministic table over bytes.
+def compile_automaton(entries: list[tuple[str, bool]], anywhere: bool = False, ordinary: Iterable[str] = ()) -> Automaton:
+    """The product of the lexicon's trie with one-edit Levenshtein automata, as a deterministic table over code points.
 
     A configuration is (trie node, edits used).  Reading a symbol matches a child, or with an edit left substitutes,
-    inserts or skips one.  Entries shorter than FUZZY_FROM may be matched exactly only.
+    inserts or skips one.  With anywhere, as in ``train``, an edit may fall on any symbol of any entry; without, entries
+    shorter than FUZZY_FROM are matched exactly only and the first symbol is kept.  ordinary: words that are no misspellings.
     """
+    least = 0 if anywhere else FUZZY_FROM
     trie: list[dict[int, int]] = [{}]
     ends: list[int] = [0]  # 1 exact word, 2 stem
-    longest: list[int] = [0]
-    for text, whole in entries:
-        raw, node = text.encode(), 0
-        longest[0] = max(longest[0], len(raw))
-        for b in raw:
-            if b not in trie[node]:
-                trie[node][b] = len(trie)
+    longest: list[int] = [0]  # of the entries below; ordinary words don't count and are never edited
+    plain: set[int] = set()  # where ordinary words end
+
+    def grow(text: str, length: int) -> int:
+        node = 0
+        longest[0] = max(longest[0], length)
+        for c in map(ord, text):
+            if c not in trie[node]:
+                trie[node][c] = len(trie)
                 trie.append({})
                 ends.append(0)
-                longest.append(0)
-            node = trie[node][b]
-            longest[node] = max(longest[node], len(raw))
+                longest.append(-1)
+            node = trie[node][c]
+            longest[node] = max(longest[node], length)
+        return node
+
+    for text, whole in entries:
+        node = grow(text, len(text))
         ends[node] = max(ends[node], 1 if whole else 2)
+    for text in ordinary:
+        plain.add(grow(text, -1))
     depth = [0] * len(trie)
     for i, kids in enumerate(trie):
         for j in kids.values():
             depth[j] = depth[i] + 1
-    symbols = sorted({b for kids in trie for b in kids})
-    classes = np.zeros(256, np.int32)  # class 0: any other byte
-    for k, b in enumerate(symbols):
-        classes[b] = k + 1
-        if 97 <= b <= 122:
-            classes[b - 32] = k + 1
+    symbols = sorted({c for kids in trie for c in kids})
+    classes = np.zeros(128, np.int32)  # class 0: any other code point
+    wide: dict[int, int] = {}
+    for k, c in enumerate(symbols, 1):
+        for form in {chr(c), chr(c).upper()}:
+            if len(form) == 1 and ord(form) < 128:
+                classes[ord(form)] = k
+            elif len(form) == 1:
+                wide.setdefault(ord(form), k)
 
     def closed(conf: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         out = set(conf)
         for node, e in conf:  # skip one symbol of the entry
-            if e == 0 and node > 0:
-                out |= {(j, 1) for j in trie[node].values() if longest[j] >= FUZZY_FROM}
+            if e == 0 and (node or anywhere):
+                out |= {(j, 1) for j in trie[node].values() if longest[j] >= least}
         return frozenset((n, e) for n, e in out if not (e == 1 and (n, 0) in out))
 
     def kind_of(conf: frozenset[tuple[int, int]]) -> int:
         best = 0
         for node, e in conf:
-            if ends[node] and (e == 0 or depth[node] >= FUZZY_FROM):
+            if ends[node] and (e == 0 or depth[node] >= least):
                 best = max(best, 2 if e == 0 else 1)
-            if e == 0 and node and any(ends[j] == 1 and depth[j] >= FUZZY_FROM for j in trie[node].values()):
+            if e == 0 and node and any(ends[j] == 1 and depth[j] >= least for j in trie[node].values()):
                 best = max(best, 1)
-        return best
+        return 0 if best == 1 and any(e == 0 and node in plain for node, e in conf) else best
 
     def step(conf: frozenset[tuple[int, int]], symbol: int) -> frozenset[tuple[int, int]]:
         out = set()
         for node, e in conf:
-            if ends[node] == 2 and (e == 0 or depth[node] >= FUZZY_FROM):
+            if ends[node] == 2 and (e == 0 or depth[node] >= least):
                 out.add((node, e))  # a stem holds whatever follows
-            for b, j in trie[node].items():
-                if b == symbol:
-                    out.add((j, e))
-                elif e == 0 and node and longest[j] >= FUZZY_FROM:
+            for c, j in trie[node].items():
+                if c == symbol:
+                    if e == 0 or longest[j] >= 0:
+                        out.add((j, e))
+                elif e == 0 and (node or anywhere) and longest[j] >= least:
                     out.add((j, 1))
-            if e == 0 and node and longest[node] >= FUZZY_FROM:
+            if e == 0 and (node or anywhere) and longest[node] >= least:
                 out.add((node, 1))  # one symbol too many
         return closed(out)
 
@@ -175,7 +215,24 @@ def compile_automaton(entries: list[tuple[str, bool]]) -> Automaton:
         rows.append(row)
     table = np.array(rows, np.int32)
     kind = np.array([kind_of(c) for c in states], np.int8)
-    return Automaton(classes, table, kind)
+    codes = sorted(wide)
+    return Automaton(classes, np.array(codes, np.int64), np.array([wide[c] for c in codes], np.int32), table, kind)
+
+
+def ordinary_words(entries: list[tuple[str, bool]], toxic: list[str], clean: list[str]) -> list[str]:
+    """Words of clean texts that lie one edit from an entry, and that toxic texts don't have far more often."""
+    counts = [Counter(w for t in set(texts) for w in {w.lower() for w in _TOKEN.findall(t or "")}) for texts in (toxic, clean)]
+    words = sorted(counts[1])
+    data, offs = _pack(words)
+    near = compile_automaton(entries, True).run(data, offs[:-1], offs[1:]) == 1
+    scale = len(toxic) / max(len(clean), 1)
+    return [w for w, n in zip(words, near) if n and counts[0][w] < 20 * scale * counts[1][w]]
+
+
+def compile_lexicon(toxic: list[str], clean: list[str]) -> Automaton:
+    """The automaton of what labelled texts teach: one edit anywhere, but for ordinary words."""
+    entries = learn_lexicon(toxic, clean)
+    return compile_automaton(entries, True, ordinary_words(entries, toxic, clean))
 
 
 # ------------------------------------------------------------------------------------------------ features
@@ -255,25 +312,47 @@ def _pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
+def respelled(texts: list[str], automaton: Automaton) -> list[str]:
+    """texts with one letter of each exact hit replaced, at a place that goes by the hit's number."""
+    out, n = [], 0
+    for t in texts:
+        found = list(_TOKEN.finditer(t or ""))
+        data, offs = _pack([m[0] for m in found])
+        pieces, at = [], 0
+        for i in np.flatnonzero(automaton.run(data, offs[:-1], offs[1:]) == 2).tolist():
+            k, n = found[i].start() + n % len(found[i][0]), n + 1
+            pieces += [t[at:k], "0"]
+            at = k + 1
+        out.append("".join([*pieces, (t or "")[at:]]))
+    return out
+
+
+def parts(texts: list[str], n: int = 200) -> Iterator[list[str]]:
+    """texts in lists of n, so that the driver holds the arrays of few texts at a time."""
+    for at in range(0, len(texts), n):
+        yield texts[at : at + n]
+
+
 def train(toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> Model:
     """A model from labelled texts; n_toxic and n_clean are the kinds' numbers in the whole of the labels."""
     half = lambda x: (x[::2], x[1::2])
     (ta, tb), (ca, cb) = half(toxic), half(clean)
-    entries = learn_lexicon(toxic, clean)
     width = len(NAMES)
     if not toxic or not clean:
         share = n_toxic / max(n_toxic + n_clean, 1)
         bias = 30.0 if share == 1 else -30.0 if share == 0 else float(np.log(share / (1 - share)))
         return Model(compile_automaton([]), np.array([bias, *[0.0] * width]))
     # each half is scored by the lexicon of the other, so that the weights don't trust a lexicon that saw their rows
-    x, y = [], []
+    # toxic texts count half as they are and half with their terms misspelled: labels alone hold too few misspellings
+    x, y, weight = [], [], []
+    share_toxic, share_clean = n_toxic / max(len(toxic), 1), n_clean / max(len(clean), 1)
     for lt, lc, st, sc in ((ta, ca, tb, cb), (tb, cb, ta, ca)):
-        automaton = compile_automaton(learn_lexicon(lt, lc))
-        x.append(features(*_pack(st + sc), automaton))
-        y.append(np.r_[np.ones(len(st)), np.zeros(len(sc))])
-    y_all = np.concatenate(y)
-    weight = np.where(y_all == 1, n_toxic / max(len(toxic), 1), n_clean / max(len(clean), 1))
-    return Model(compile_automaton(entries), fit(np.concatenate(x), y_all, weight / weight.mean()))
+        automaton = compile_lexicon(lt, lc)
+        x.append(np.concatenate([features(*_pack(part), automaton) for part in parts([*st, *respelled(st, automaton), *sc])]))
+        y.append(np.r_[np.ones(2 * len(st)), np.zeros(len(sc))])
+        weight.append(np.r_[np.full(2 * len(st), share_toxic / 2), np.full(len(sc), share_clean)])
+    y_all, weight = np.concatenate(y), np.concatenate(weight)
+    return Model(compile_lexicon(toxic, clean), fit(np.concatenate(x), y_all, weight / weight.mean()))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

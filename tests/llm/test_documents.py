@@ -164,6 +164,26 @@ def test_toxicity(spark, empty):
     assert toxicity.train([], ["x"], 0, 1).score(*toxicity._pack(["a", ""])).max() < 1e-9
 
 
+def test_one_edit_anywhere_in_short_entries():
+    entries = [("moron", False), ("idiot", True), ("clown", True), ("scum", True), ("trash", True), ("loser", True), ("stupid", True), ("naïf", True)]
+    auto = toxicity.compile_automaton(entries, True, ["crown", "lower"])
+    near = ["m0ron", "idi0t", "cl0wn", "scvm", "tr@sh", "l0ser", "ztupid", "tupid", "oron", "xscum", "idiöt", "Idi😀t", "naif", "NAÏFF", "m0ronic", "cum"]
+    words = [*near, *(w for w, _ in entries), "NAÏF", "crown", "Lower", "slower", "house", "é", "iidiiot"]
+    data, offs = toxicity._pack(words)
+    got = dict(zip(words, auto.run(data, offs[:-1], offs[1:]).tolist()))
+    assert {w: k for w, k in got.items() if k == 1} == dict.fromkeys(near, 1)
+    assert [w for w, k in got.items() if k == 2] == [*(w for w, _ in entries), "NAÏF"]
+
+
+def test_misspelled_short_terms_score_as_toxic():
+    r = random.Random(12)
+    terms = ["trash", "idiot", "clown", "scum", "loser", "moron"]
+    texts = {k: [" ".join([*prose(40, 100 * i + k).split(" "), *([r.choice(terms), r.choice(terms)] if k else ["lower", "crown"])]) for i in range(300)] for k in (0, 1)}
+    model = toxicity.train(texts[1], texts[0], 300, 300)
+    got = model.score(*toxicity._pack([f"{prose(40, 5)} {a} {b}" for a, b in [("m0ron", "idi0t"), ("cl0wn", "scvm"), ("tr@sh", "l0ser"), ("lower", "crown")]]))
+    assert (got[:3] >= toxicity.THRESHOLD).all() and got[3] < toxicity.THRESHOLD
+
+
 def test_quotation_is_told_apart():
     auto = toxicity.compile_automaton([("moron", True)])
     x = toxicity.features(*toxicity._pack(["you are a moron", 'he said "moron" loudly', "the word moron", ""]), auto)
