@@ -4,7 +4,8 @@ Texts are cut into numbers, words and sentence ends.  A template puts typed plac
 numbers and for names (capitalised words within a sentence); other words are lower-cased.  Windows of WINDOW template
 words are hashed and joined with the benchmark's.  A document holds an item if it has at least SHARE of the item's
 windows and the slots agree: where the windows are aligned, each value that the item has in a slot stands for one value
-of the document, for at least half of the values.  So re-parameterised questions are found, and chance matches of
+of the document, for at least half of the values.  This is judged over all alignments together, and where there are
+several, over each and over each run of near ones, any of which will do: a document may hold an item more than once.  So re-parameterised questions are found, and chance matches of
 templates with unrelated fillers aren't.
 
 Windows of the benchmark with fewer than LITERALS plain words say too little and don't count; items shorter than a window
@@ -19,13 +20,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW, LITERALS = 8, 4
 SHARE = 50  # percent of an item's windows
+ALL, NEAR = "all", 4  # the alignments of a document and item together; shifts so near may be of one copy
 BROADCAST_ROWS = 500_000  # windows of the benchmark, or ids, up to this number are broadcast; more are shuffled
 PATTERN = r"[0-9]+(?:[.,:/][0-9]+)*|\p{L}+(?:'\p{L}+)*|[.!?]"
 # Units of measure.
@@ -76,6 +78,22 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("total")), "item_id")
 
 
+def scoped(hits: DataFrame) -> DataFrame:
+    """hits with the sets of alignments that they are judged in: all of a document and item, and where there are several,
+    each shift alone and each run of shifts that are at most NEAR apart (a copy with words put in or left out)."""
+    keys = ["doc_id", "item_id"]
+    shift = (F.col("pos") - F.col("bpos")).cast("long")
+    shifts = hits.select(*keys, shift.alias("shift")).distinct()
+    before = F.lag("shift").over(Window.partitionBy(*keys).orderBy("shift"))
+    opens = shifts.withColumn("opens", F.coalesce(F.col("shift") - before > NEAR, F.lit(True)))
+    upto = Window.partitionBy(*keys).orderBy("shift").rowsBetween(Window.unboundedPreceding, 0)
+    runs = opens.withColumn("run", F.max(F.when(F.col("opens"), F.col("shift"))).over(upto)).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n > 1")
+    several = runs.select(*keys, "shift", F.explode(F.array(F.concat(F.lit("shift "), F.col("shift").cast("string")), F.concat(F.lit("run "), F.col("run").cast("string")))).alias("scope"))
+    alone = hits.withColumn("shift", shift).join(several, [*keys, "shift"])
+    columns = [*hits.columns, "scope"]
+    return hits.withColumn("scope", F.lit(ALL)).select(*columns).unionByName(alone.select(*columns))
+
+
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots, n_consistent, n_changed for each item that a document holds."""
     bench = C.table(spark, templates(benchmark.dropDuplicates(["item_id"]), "item_id", "text"), "bench")
@@ -87,7 +105,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
     small = wanted.select("item_id", "key", "bpos", "total")
     hits = seen.join(F.broadcast(small) if stats.n <= BROADCAST_ROWS else small, "key")
     hits = C.table(spark, hits.select(F.col("id").alias("doc_id"), "item_id", "pos", "bpos", "total").distinct(), "hits")
-    held = hits.groupBy("doc_id", "item_id", "total").agg(F.countDistinct("bpos").alias("n_matched")).where(F.col("n_matched") * 100 >= F.col("total") * SHARE)
+    judged = scoped(hits)
+    held = judged.groupBy("doc_id", "item_id", "scope", "total").agg(F.countDistinct("bpos").alias("n_matched")).where(F.col("n_matched") * 100 >= F.col("total") * SHARE)
     held = C.table(spark, held, "held")
 
     # slots: the document's values beside the item's, at each alignment of a matched window
@@ -98,13 +117,16 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
     slot = lambda c: F.col(c).isin("<num>", "<unit>", "<name>")
     theirs = bench.select(F.col("id").alias("item_id"), value("b")).where(slot("bt"))
     ours = templates(mine, "doc_id", "text").select(F.col("id").alias("doc_id"), value("d")).where(slot("dt"))
-    aligned = hits.join(held.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"))
-    covered = aligned.join(theirs, "item_id").where((F.col("bat") >= F.col("bpos")) & (F.col("bat") < F.col("bpos") + WINDOW)).select("doc_id", "item_id", "bt", "bv", (F.col("bat") + F.col("shift")).alias("dat")).distinct()
+    aligned = judged.join(held.select("doc_id", "item_id", "scope"), ["doc_id", "item_id", "scope"], "left_semi").select("doc_id", "item_id", "scope", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"))
+    covered = aligned.join(theirs, "item_id").where((F.col("bat") >= F.col("bpos")) & (F.col("bat") < F.col("bpos") + WINDOW)).select("doc_id", "item_id", "scope", "bt", "bv", (F.col("bat") + F.col("shift")).alias("dat")).distinct()
     pairs = covered.join(ours, ["doc_id", "dat"]).where("bt = dt")
-    per_value = pairs.groupBy("doc_id", "item_id", "bt", "bv").agg(F.countDistinct("dv").alias("kinds"), F.max(F.expr("int(dv <> bv)")).alias("changed"))
-    slots = per_value.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(kinds = 1)")).alias("n_consistent"), F.sum("changed").cast("long").alias("n_changed"))
-    out = held.join(slots, ["doc_id", "item_id"], "left").fillna(0, ["n_slots", "n_consistent", "n_changed"]).where("2 * n_consistent >= n_slots")
-    return out.select("doc_id", "item_id", F.col("total").alias("n_windows"), "n_matched", "n_slots", "n_consistent", "n_changed")
+    per_value = pairs.groupBy("doc_id", "item_id", "scope", "bt", "bv").agg(F.countDistinct("dv").alias("kinds"), F.max(F.expr("int(dv <> bv)")).alias("changed"))
+    slots = per_value.groupBy("doc_id", "item_id", "scope").agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(kinds = 1)")).alias("n_consistent"), F.sum("changed").cast("long").alias("n_changed"))
+    out = held.join(slots, ["doc_id", "item_id", "scope"], "left").fillna(0, ["n_slots", "n_consistent", "n_changed"]).where("2 * n_consistent >= n_slots")
+    # one row an item: all alignments together if they are consistent, else the one with the most windows
+    order = F.struct((F.col("scope") == ALL).alias("whole"), "n_matched", "n_consistent", -F.col("n_slots"), -F.col("n_changed"), "total")
+    best = out.select("doc_id", "item_id", F.struct(order.alias("order"), "total", "n_matched", "n_slots", "n_consistent", "n_changed").alias("row")).groupBy("doc_id", "item_id").agg(F.max("row").alias("row"))
+    return best.select("doc_id", "item_id", F.col("row.total").alias("n_windows"), *(f"row.{c}" for c in ("n_matched", "n_slots", "n_consistent", "n_changed")))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -211,6 +211,17 @@ def test_templates(spark, docs, empty):
     assert decontaminate.leaks(spark, docs, bench.limit(0)).count() == 0
 
 
+def test_copies_with_different_fillers(spark):
+    other = QUESTION.replace("12", "7").replace("30", "44").replace("5 kg", "9 g").replace("Alice", "Mona")
+    third = QUESTION.replace("12", "8").replace("30", "45").replace("5 kg", "six large kg").replace("Alice", "Vera")
+    loops = "then add the next number 3 to the sum, then add the next number 4 to the sum, then add the next number 5 to the sum, then add the next number 6 to the sum"
+    bench = spark.createDataFrame([(1, QUESTION), (2, loops)], "item_id long, text string")
+    mixed = "Then nothing more. " + " ".join(f"Alice has {n} apples and buys {n + 1} more apples at home." for n in (1, 2, 3))
+    rows = [(1, f"{QUESTION} {other}"), (2, f"{other} {prose(30, 3)}. {third} {QUESTION}"), (3, loops), (4, f"{QUESTION} {other} {third}"), (5, mixed), (6, f"{third} {other}")]
+    found = decontaminate.leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 1), (3, 2), (4, 1), (6, 1)} and len(found) == 5
+
+
 # ------------------------------------------------------------------------------------------------ op5
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
