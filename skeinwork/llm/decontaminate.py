@@ -8,10 +8,12 @@ of the document, for at least half of the values.  This is judged over all align
 several, over each and over each run of near ones, any of which will do: a document may hold an item more than once.  So re-parameterised questions are found, and chance matches of
 templates with unrelated fillers aren't.
 
-Windows of the benchmark with fewer than LITERALS plain words say too little and don't count; items shorter than a window
-are one window of their own length.  Leaked passages cost rows only where a window matches: nothing is paired otherwise.
+Windows of the benchmark with fewer than LITERALS plain words say too little and don't count as templates; an item with such
+windows is looked for by the values of all its windows too.  An item's first word is looked for as a word and as a name, as
+which it is read within a sentence.  Items shorter than a window are one window of their own length.  Leaked passages cost rows only where a window matches: nothing is paired otherwise.
 
-Defined results: null and empty texts have no windows; an item without counting windows is never found; rows that share a
+Defined results: null and empty texts have no windows; an item
+without counting windows is found by its values only, and if it has fewer than LITERALS of them not at all; rows that share a
 doc_id are one document; rows without doc_id or item_id are left out; empty tables give an empty result; extra columns
 are left alone.
 """
@@ -27,6 +29,7 @@ from . import common as C
 
 WINDOW, LITERALS = 8, 4
 SHARE = 50  # percent of an item's windows
+AS_IS, NAMED, EXACT = 0, 1, 2  # the ways in which an item is looked for
 ALL, NEAR = "all", 4  # the alignments of a document and item together; shifts so near may be of one copy
 BROADCAST_ROWS = 500_000  # windows of the benchmark, or ids, up to this number are broadcast; more are shuffled
 PATTERN = r"[0-9]+(?:[.,:/][0-9]+)*|\p{L}+(?:'\p{L}+)*|[.!?]"
@@ -63,25 +66,42 @@ def _windows(h: str, n: int) -> Column:
 
 
 def _hashed(toks: DataFrame) -> DataFrame:
-    return toks.select("id", F.transform("toks", lambda s: F.xxhash64(s.t)).alias("h"), F.size("toks").alias("n"))
+    return toks.select("id", F.transform("toks", lambda s: F.xxhash64(s.t)).alias("h"), F.transform("toks", lambda s: F.xxhash64(F.lower(s.v))).alias("x"))
+
+
+def ways(bench: DataFrame) -> DataFrame:
+    """id, way and toks: each item as it is, with its first word as a name if it could be one, and for its values (EXACT)
+    if windows of either have too few plain words."""
+    first = F.get("toks", F.lit(0))
+    name = F.substring(first.v, 1, 1).between("A", "Z") & F.substring(first.v, 2, 1).between("a", "z") & (first.t == F.lower(first.v))
+    named = F.concat(F.array(F.struct(F.lit("<name>").alias("t"), first.v.alias("v"))), F.slice("toks", 2, F.greatest(F.size("toks") - 1, F.lit(0))))
+    typed = bench.where(F.size("toks") > 0).select("id", F.lit(AS_IS).alias("way"), "toks")
+    typed = typed.union(bench.where(F.size("toks") > 0).where(name).select("id", F.lit(NAMED).alias("way"), named.cast(bench.schema["toks"].dataType)))
+    slots = F.transform("toks", lambda s: F.when(s.t.isin("<num>", "<unit>", "<name>"), F.lit(1)).otherwise(F.lit(0)))
+    w = F.least(F.size("toks"), F.lit(WINDOW))
+    plain = lambda at: F.aggregate(F.slice(slots, at + 1, w), w, lambda a, x: a - x)
+    poor = F.exists(F.transform(F.sequence(F.lit(0), F.size("toks") - w), plain), lambda n: n < F.least(w, F.lit(LITERALS)))
+    ids = typed.where(poor & (F.size("toks") >= LITERALS)).select("id").distinct()
+    return typed.union(bench.join(ids, "id", "left_semi").select("id", F.lit(EXACT).alias("way"), "toks"))
 
 
 def benchmark_windows(bench: DataFrame) -> DataFrame:
-    """item_id, key, bpos and total, the number of the item's counting windows, from ``templates``."""
+    """item_id, way, key, bpos and total, the number of the item's counting windows in that way, from ``ways``."""
     sized = bench.withColumn("w", F.least(F.size("toks"), F.lit(WINDOW))).where("w > 0")
     plain = lambda a: F.size(F.filter(a, lambda s: ~s.t.isin("<num>", "<unit>", "<name>")))
-    spans = sized.select("id", "w", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("w"))).alias("bpos"))
-    cut = spans.select("id", "w", "bpos", F.slice("toks", F.col("bpos") + 1, F.col("w")).alias("part"))
-    cut = cut.where(plain("part") >= F.least(F.col("w"), F.lit(LITERALS)))
+    spans = sized.select("id", "way", "w", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("w"))).alias("bpos"))
+    cut = spans.select("id", "way", "w", "bpos", F.slice("toks", F.col("bpos") + 1, F.col("w")).alias("part"))
+    cut = cut.where((F.col("way") == EXACT) | (plain("part") >= F.least(F.col("w"), F.lit(LITERALS))))
+    cut = cut.withColumn("part", F.transform("part", lambda s: F.struct(F.when(F.col("way") == EXACT, F.lower(s.v)).otherwise(s.t).alias("t"))))
     keys = reduce(lambda c, n: c.when(F.col("w") == n, F.xxhash64(F.lit(n), *(F.xxhash64(F.get(F.transform("part", lambda s: s.t), F.lit(k))) for k in range(n)))), range(2, WINDOW + 1), F.when(F.col("w") == 1, F.xxhash64(F.lit(1), F.xxhash64(F.col("part")[0]["t"]))))
-    rows = cut.select(F.col("id").alias("item_id"), "w", keys.alias("key"), "bpos")
-    return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("total")), "item_id")
+    rows = cut.select(F.col("id").alias("item_id"), "way", "w", keys.alias("key"), "bpos")
+    return rows.join(rows.groupBy("item_id", "way").agg(F.count("*").alias("total")), ["item_id", "way"])
 
 
 def scoped(hits: DataFrame) -> DataFrame:
     """hits with the sets of alignments that they are judged in: all of a document and item, and where there are several,
     each shift alone and each run of shifts that are at most NEAR apart (a copy with words put in or left out)."""
-    keys = ["doc_id", "item_id"]
+    keys = ["doc_id", "item_id", "way"]
     shift = (F.col("pos") - F.col("bpos")).cast("long")
     shifts = hits.select(*keys, shift.alias("shift")).distinct()
     before = F.lag("shift").over(Window.partitionBy(*keys).orderBy("shift"))
@@ -96,17 +116,19 @@ def scoped(hits: DataFrame) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots, n_consistent, n_changed for each item that a document holds."""
-    bench = C.table(spark, templates(benchmark.dropDuplicates(["item_id"]), "item_id", "text"), "bench")
+    bench = C.table(spark, templates(benchmark.dropDuplicates(["item_id"]), "item_id", "text"), "items")
+    bench = C.table(spark, ways(bench), "bench")
     wanted = C.table(spark, benchmark_windows(bench), "wanted")
-    stats = wanted.agg(F.count("*").alias("n"), F.collect_set("w").alias("lengths")).first()
+    stats = wanted.agg(F.count("*").alias("n"), F.collect_set(F.struct((F.col("way") == EXACT).alias("exact"), "w")).alias("lengths")).first()
     toks = templates(docs, "doc_id", text)
-    every = [_windows("h", n) for n in sorted(stats.lengths)] or [_windows("h", WINDOW)]
+    marked = lambda exact, n: F.transform(_windows("x" if exact else "h", n), lambda s: F.struct(s.key.alias("key"), s.pos.alias("pos"), F.lit(exact).alias("exact")))
+    every = [marked(exact, n) for exact, n in sorted(stats.lengths)] or [marked(False, WINDOW)]
     seen = _hashed(toks).select("id", F.inline(F.concat(*every)))
-    small = wanted.select("item_id", "key", "bpos", "total")
-    hits = seen.join(F.broadcast(small) if stats.n <= BROADCAST_ROWS else small, "key")
-    hits = C.table(spark, hits.select(F.col("id").alias("doc_id"), "item_id", "pos", "bpos", "total").distinct(), "hits")
+    small = wanted.select("item_id", "way", "key", "bpos", "total", (F.col("way") == EXACT).alias("exact"))
+    hits = seen.join(F.broadcast(small) if stats.n <= BROADCAST_ROWS else small, ["key", "exact"])
+    hits = C.table(spark, hits.select(F.col("id").alias("doc_id"), "item_id", "way", "pos", "bpos", "total").distinct(), "hits")
     judged = scoped(hits)
-    held = judged.groupBy("doc_id", "item_id", "scope", "total").agg(F.countDistinct("bpos").alias("n_matched")).where(F.col("n_matched") * 100 >= F.col("total") * SHARE)
+    held = judged.groupBy("doc_id", "item_id", "way", "scope", "total").agg(F.countDistinct("bpos").alias("n_matched")).where(F.col("n_matched") * 100 >= F.col("total") * SHARE)
     held = C.table(spark, held, "held")
 
     # slots: the document's values beside the item's, at each alignment of a matched window
@@ -115,16 +137,16 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
     mine = docs.select(F.col("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     value = lambda name: F.inline(F.transform("toks", lambda s, i: F.struct(i.alias(f"{name}at"), s.t.alias(f"{name}t"), F.lower(s.v).alias(f"{name}v"))))
     slot = lambda c: F.col(c).isin("<num>", "<unit>", "<name>")
-    theirs = bench.select(F.col("id").alias("item_id"), value("b")).where(slot("bt"))
+    theirs = bench.select(F.col("id").alias("item_id"), "way", value("b")).where(slot("bt"))
     ours = templates(mine, "doc_id", "text").select(F.col("id").alias("doc_id"), value("d")).where(slot("dt"))
-    aligned = judged.join(held.select("doc_id", "item_id", "scope"), ["doc_id", "item_id", "scope"], "left_semi").select("doc_id", "item_id", "scope", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"))
-    covered = aligned.join(theirs, "item_id").where((F.col("bat") >= F.col("bpos")) & (F.col("bat") < F.col("bpos") + WINDOW)).select("doc_id", "item_id", "scope", "bt", "bv", (F.col("bat") + F.col("shift")).alias("dat")).distinct()
+    aligned = judged.join(held.select("doc_id", "item_id", "way", "scope"), ["doc_id", "item_id", "way", "scope"], "left_semi").select("doc_id", "item_id", "way", "scope", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"))
+    covered = aligned.join(theirs, ["item_id", "way"]).where((F.col("bat") >= F.col("bpos")) & (F.col("bat") < F.col("bpos") + WINDOW)).select("doc_id", "item_id", "way", "scope", "bt", "bv", (F.col("bat") + F.col("shift")).alias("dat")).distinct()
     pairs = covered.join(ours, ["doc_id", "dat"]).where("bt = dt")
-    per_value = pairs.groupBy("doc_id", "item_id", "scope", "bt", "bv").agg(F.countDistinct("dv").alias("kinds"), F.max(F.expr("int(dv <> bv)")).alias("changed"))
-    slots = per_value.groupBy("doc_id", "item_id", "scope").agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(kinds = 1)")).alias("n_consistent"), F.sum("changed").cast("long").alias("n_changed"))
-    out = held.join(slots, ["doc_id", "item_id", "scope"], "left").fillna(0, ["n_slots", "n_consistent", "n_changed"]).where("2 * n_consistent >= n_slots")
-    # one row an item: all alignments together if they are consistent, else the one with the most windows
-    order = F.struct((F.col("scope") == ALL).alias("whole"), "n_matched", "n_consistent", -F.col("n_slots"), -F.col("n_changed"), "total")
+    per_value = pairs.groupBy("doc_id", "item_id", "way", "scope", "bt", "bv").agg(F.countDistinct("dv").alias("kinds"), F.max(F.expr("int(dv <> bv)")).alias("changed"))
+    slots = per_value.groupBy("doc_id", "item_id", "way", "scope").agg(F.count("*").alias("n_slots"), F.sum(F.expr("int(kinds = 1)")).alias("n_consistent"), F.sum("changed").cast("long").alias("n_changed"))
+    out = held.join(slots, ["doc_id", "item_id", "way", "scope"], "left").fillna(0, ["n_slots", "n_consistent", "n_changed"]).where("2 * n_consistent >= n_slots")
+    # one row an item: as it is before the other ways; all alignments together if they are consistent, else the one with the most windows
+    order = F.struct((-F.col("way")).alias("way"), (F.col("scope") == ALL).alias("whole"), "n_matched", "n_consistent", -F.col("n_slots"), -F.col("n_changed"), "total")
     best = out.select("doc_id", "item_id", F.struct(order.alias("order"), "total", "n_matched", "n_slots", "n_consistent", "n_changed").alias("row")).groupBy("doc_id", "item_id").agg(F.max("row").alias("row"))
     return best.select("doc_id", "item_id", F.col("row.total").alias("n_windows"), *(f"row.{c}" for c in ("n_matched", "n_slots", "n_consistent", "n_changed")))
 

@@ -222,6 +222,14 @@ def test_copies_with_different_fillers(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 1), (3, 2), (4, 1), (6, 1)} and len(found) == 5
 
 
+def test_items_of_numbers_and_first_words(spark):
+    sums, capital, count = "Compute 12 + 30 - 7 * 4 + 18 = ?", "What is the capital of France?", "Add 5 to 6 and 7 and 8 and 9 and then 10"
+    bench = spark.createDataFrame([(1, sums), (2, capital), (3, count), (4, "7"), (5, "12 13 14 15 16 17 18 19 20")], "item_id long, text string")
+    rows = [(1, f"So: {sums} Well."), (2, f"Question: {capital}"), (3, capital), (4, "Compute 12 + 31 - 7 * 4 + 18 = ?"), (5, "1 2 3 4 5 6 7 8 9"), (6, f"Task {count}"), (7, "Question: What is the capital of Spain?"), (8, "x 12 13 14 15 16 17 18 19 20 21")]
+    found = decontaminate.leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_changed) for r in found) == [(1, 1, 0), (2, 2, 0), (3, 2, 0), (6, 3, 0), (7, 2, 1), (8, 5, 0)]
+
+
 # ------------------------------------------------------------------------------------------------ op5
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
