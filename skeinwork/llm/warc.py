@@ -10,7 +10,7 @@ their origin's identifier, ordered by number, checked for gaps and against the t
 Digests are checked on every payload.
 
 Defined results: a null payload is empty; rows that repeat a page_id with the same payload are all responses if it is the
-smallest; a null page_id is a revisit where the payload has a page_id, else a response; an empty table gives no files and
+smallest, and rows that repeat one with other payloads are pages of their own: identifiers are unique for each row; a null page_id is a revisit where the payload has a page_id, else a response; an empty table gives no files and
 an empty result; extra columns aren't written.  A damaged record raises an error that names it.
 """
 
@@ -74,15 +74,17 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def records(page_id: int | None, number: int, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The gzip members of one page.  number: the row's place in its file, for the identifier of a page without one."""
-    name = f"<urn:page:{page_id}>" if page_id is not None else f"<urn:row:{number}>"
-    common = [("WARC-Record-ID", name), ("WARC-Target-URI", " ".join((url or "about:blank").split())), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+def records(page_id: int | None, number: int, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT, named: bool = False) -> Iterator[bytes]:
+    """The gzip members of one page.  number: the row's task and place in it, which make its identifier unique; a named row,
+    the response that revisits refer to, goes by its page_id and digest instead."""
+    sha = digest(payload)
+    name = f"<urn:page:{page_id}:{sha}>" if named else f"<urn:row:{number}>"
+    common = [("WARC-Record-ID", name), ("WARC-Target-URI", " ".join((url or "about:blank").split())), ("WARC-Payload-Digest", f"sha1:{sha}")]
     if page_id is not None:
         common.append(("WARC-Page-ID", page_id))
     if refers_to is not None:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        yield _record([("WARC-Type", "revisit"), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")], head)
+        yield _record([("WARC-Type", "revisit"), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}:{sha}>")], head)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + to_chunks(payload)
     if len(block) <= segment:
@@ -136,14 +138,15 @@ def payload_of(block: bytes, expected: str) -> bytes:
 
 # ------------------------------------------------------------------------------------------------ Spark
 def roles(spark: SparkSession, pages: DataFrame, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, payload and first: the page that a revisit refers to (null for responses)."""
+    """page_id, url, payload, first: the page that a revisit refers to (null for responses), and named: whether the row is
+    the one response of a repeated payload that revisits refer to."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), body.alias("payload"), F.sha1(body).alias("sha"))
-    firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), body.alias("payload"), F.sha1(body).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("least"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first", F.col("least.row").alias("first_row"))
     firsts = C.table(spark, firsts, "firsts")
     out = keyed.join(firsts, "sha", "left")
     again = (F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return out.select("page_id", "url", "payload", F.when(again, F.col("first")).alias("first"))
+    return out.select("page_id", "url", "payload", F.when(again, F.col("first")).alias("first"), F.coalesce(~again & (F.col("row") == F.col("first_row")), F.lit(False)).alias("named"))
 
 
 def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> DataFrame:
@@ -153,12 +156,12 @@ def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> DataFrame:
         task, k, out, n, paths, counts, row = TaskContext.get().partitionId(), 0, None, 0, [], [], 0
         for b in C.small_batches(batches, "payload"):
             data, offs = C.utf8(b.column(2))
-            for i, (page, url, first) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
+            for i, (page, url, first, named) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4)))):
                 if out is None:
                     paths.append(f"{folder}/part-{task:06d}-{k:04d}.warc.gz")
                     out, n, k = files.Writer(paths[-1]), 0, k + 1
                 row += 1
-                for member in records(page, (task << 32) + row, url, data[offs[i] : offs[i + 1]].tobytes(), first, segment):
+                for member in records(page, (task << 32) + row, url, data[offs[i] : offs[i + 1]].tobytes(), first, segment, named):
                     out.write(member)
                     n += 1
                 if out.size >= ROLL:
@@ -197,7 +200,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         row["total"] = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
                     elif kind == "revisit":
                         length = next(x.split(b":")[1] for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                        row |= {"payload_bytes": int(length), "refers_to": int(h["warc-refers-to"][1:-1].rpartition(":")[2])}
+                        row |= {"payload_bytes": int(length), "refers_to": int(h["warc-refers-to"][1:-1].split(":")[2])}
                     else:
                         row["payload_bytes"] = len(payload_of(block, row["payload_digest"]))
                     rows.append(row)

@@ -30,6 +30,13 @@ def test_round_trip(spark, tmp_path):
     assert run(spark, pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_repeated_page_ids(spark, tmp_path):
+    pages = [(1, "http://a", BIG), (1, "http://a", BIG), (1, "http://a", BIG + "?"), (1, "http://a", "short"), (2, "http://b", BIG), (None, "http://c", BIG)]
+    got = run(spark, spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), f"file://{tmp_path}/w").collect()
+    big = len(BIG.encode())
+    assert sorted(((r.page_id or 0), r.payload_bytes, r.record_type, (r.refers_to or 0)) for r in got) == [(0, big, "revisit", 1), (1, 5, "response", 0), (1, big, "response", 0), (1, big, "response", 0), (1, big + 1, "response", 0), (2, big, "revisit", 1)]
+
+
 def test_segments_may_lie_anywhere(spark, tmp_path):
     parts = list(warc.records(9, 0, "u", BIG.encode(), None, 1000))
     assert len(parts) > 50
