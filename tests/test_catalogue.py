@@ -25,5 +25,13 @@ def test_names_resolve(spark):
     assert {"red widget", "blue bolt"} <= {r.name for r in QUERIES["extract_entities"](spark, SF).collect()}
 
 
+def test_names_of_all_parts(spark, tmp_path):
+    parts = [(k, f"plain thing {k}") for k in range(1, 201)] + [(201, "red widget"), (90_000, "small ring")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.typed: r.name for r in QUERIES["resolve_filename"](spark, str(tmp_path)).collect()}
+    assert got == {"small ring": "small ring", "Ring small": "small ring", "red widgett": "red widget", "nothing like it at all": None}
+    assert "red widget" in {r.name for r in QUERIES["extract_entities"](spark, str(tmp_path)).collect()}
+
+
 def test_only_known_queries_lack_sql():
     assert set(QUERIES) - set(SQL) == {"resolve_filename", "extract_entities"}
