@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK = 1 << 20
-TARGET_BYTES = 2 << 20
+TARGET_BYTES, ROWS_AT_ONCE = 2 << 20, 20_000
 U64 = np.uint64
 _folders: dict[str, object] = {}
 
@@ -88,8 +88,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, target: int = TARGET_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``target`` bytes of text; a longer text comes alone."""
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, target: int = TARGET_BYTES, rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``target`` bytes of text; a longer text comes alone."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -97,7 +97,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, target: int = TA
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offs, offs[at] + target, "right")) - 1
-            to = min(batch.num_rows, max(at + 1, to))
+            to = min(batch.num_rows, at + rows, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
 

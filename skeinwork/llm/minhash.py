@@ -4,21 +4,24 @@
    digest of the set, PERMUTATIONS minima, from which come BANDS band keys and a packed signature that keeps the low
    BITS bits of each minimum.
 2. Texts with the same set are one class; its smallest doc_id stands for it from here on.
-3. In each band bucket every member is paired with the bucket's smallest member (a star, so pairs grow linearly), and
-   each member keeps the partner of highest estimated similarity.  The estimate counts equal b-bit lanes by bit counts
-   and corrects for chance collisions of lanes (1 / 2**b).  Pairs well under the threshold are dropped by it; the others
-   are confirmed on the full sets.
-4. Confirmed links give first components.  What is left are bucket members outside the component of the bucket's
-   smallest member.  In STARS further rounds they are paired with a random member of that component in each bucket.
-   Those that are left still are held against all members of other components, by the estimate within the join and then
-   on full sets.  Pairs within a component can't change it and are never made, so a large group of copies costs stars.
+3. Stars.  In each band bucket the smallest member leads; every text is paired with one leader, the one that it shares
+   most buckets with.  STARS further rounds pair it with one random head of another component in its buckets.  So a round
+   makes at most one pair a text.  The estimate counts equal b-bit lanes by bit counts and corrects for chance collisions
+   of lanes (1 / 2**b); pairs well under the threshold are dropped by it, the others are confirmed on the full sets.
+   Confirmed links give components, and buckets with one component are done.
+4. The rest, exactly.  What is left are texts in buckets with several components, such as texts around one common passage
+   that just aren't similar enough.  A link between two components needs enough shingles that both have; shingles are
+   ordered by the number of these texts that have them, rare ones first, and two texts are paired only if they share one
+   of the first fifth of their shingles (the smaller one: of the first ninth) so early that the rest can still reach the
+   threshold.  Estimate and full sets decide as before.  Pairs within a component can't change it and are never made.
 
 With 44 bands of 6 rows a pair of similarity 0.8 misses all bands with probability (1 - 0.8**6) ** 44 = 2e-6, and texts
 that only share a common passage (similarity 0.3) meet in a band with probability 0.0007.
 
-Defined results: a text without words (or null) has an empty set, is linked with nothing and is kept; rows that share a
-doc_id are judged by their own texts; a null doc_id has no component and isn't kept; an empty table gives an empty result; extra
-columns are left alone.
+Defined results: a text without words (or null) has an empty set, is linked with nothing and is kept; of rows that share a
+doc_id each gets the component of its own text, and texts whose smallest doc_id is the same one are one vertex, as if they
+were linked; a null doc_id has no component and isn't kept; an empty table gives an empty result; extra columns are left
+alone.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ BANDS, ROWS, BITS = 44, 6, 4
 PERMUTATIONS = BANDS * ROWS
 LANES = 256  # minima whose low bits the signature keeps
 MARGIN = 0.14  # over five standard deviations of the estimate from 256 lanes
-STARS = 2  # rounds with a random member of the main component at each bucket's centre, before all that is left
+STARS = 2  # rounds with a random head after the leaders' round
+ROWS_AT_ONCE = 2_048  # texts that a task hashes at a time
 BROADCAST_IDS = 2_000_000  # ids up to this number, 16 MB, are broadcast; more are joined by a shuffle
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,35 +73,26 @@ def signatures(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     packed = LANES // lanes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.small_batches(batches, "text_value"):
-            data, offs = C.utf8(b.column(1))
-            h, at = shingles(data, offs, k)
+        for b in C.small_batches(batches, "text_value", rows=ROWS_AT_ONCE):
+            h, at = shingles(*C.utf8(b.column(1)), k)
             n = np.diff(at)
             full = np.flatnonzero(n > 0)
-            minima = np.zeros((PERMUTATIONS, len(n)), np.uint64)
-            digests = np.zeros((2, len(n)), np.uint64)
+            digests, bands, low = np.zeros((2, len(n)), np.uint64), np.zeros((len(full), BANDS), np.uint64), np.zeros((packed, len(n)), np.uint64)
             if len(full):
-                begin = at[:-1][full]
-                for j in range(PERMUTATIONS):
-                    minima[j, full] = np.minimum.reduceat(h * _A[j] + _B[j], begin)
+                begin, permuted = at[:-1][full], np.empty_like(h)
                 for j, seed in enumerate((0x51, 0xA7)):
                     digests[j, full] = np.add.reduceat(C.mix(h + np.uint64(seed)), begin)
-            minima = C.mix(minima)
-            bands = np.zeros((len(n), BANDS), np.uint64)
-            for band in range(BANDS):
-                key = np.full(len(n), band + 1, np.uint64)
-                for row in range(ROWS):
-                    key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[band * ROWS + row])
-                bands[:, band] = key
-            low = minima & np.uint64((1 << BITS) - 1)
-            cols = [b.column(0), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests)]
-            for p in range(packed):
-                word = np.zeros(len(n), np.uint64)
-                for lane in range(lanes):
-                    word |= low[p * lanes + lane] << np.uint64(BITS * lane)
-                cols.append(pa.array(word.view(np.int64)))
-            width = np.where(n > 0, BANDS, 0)
-            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(bands[n > 0].ravel().view(np.int64))))
+                for j in range(PERMUTATIONS):
+                    np.multiply(h, _A[j], out=permuted)
+                    np.add(permuted, _B[j], out=permuted)
+                    least = C.mix(np.minimum.reduceat(permuted, begin))
+                    band, row = divmod(j, ROWS)
+                    key = bands[:, band] if row else np.full(len(full), band + 1, np.uint64)
+                    bands[:, band] = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
+                    if j < LANES:
+                        low[j // lanes, full] |= (least & np.uint64((1 << BITS) - 1)) << np.uint64(BITS * (j % lanes))
+            starts = pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32))
+            cols = [b.column(0), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (*digests, *low)), pa.ListArray.from_arrays(starts, pa.array(bands.ravel().view(np.int64)))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "f1", "f2", *(f"s{p}" for p in range(packed)), "bands"])
 
     schema = "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"s{p} long" for p in range(packed)) + ", bands array<long>"
@@ -108,7 +103,7 @@ def shingle_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     """doc_id and the array of its distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.small_batches(batches, "text_value"):
+        for b in C.small_batches(batches, "text_value", rows=ROWS_AT_ONCE):
             h, at = shingles(*C.utf8(b.column(1)), k)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
 
@@ -144,70 +139,76 @@ class _Search:
         self.all = C.table(spark, signatures(docs, k, text), "signatures")
         self.sigs = [c for c in self.all.columns if c[0] == "s" and c[1:].isdigit()]
         groups = self.all.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-        groups = C.table(spark, groups, "classes")  # read again, so that joins can split a hot class's rows
-        self.classes = groups
-        self.reps = C.table(spark, self.all.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"]), "reps")
+        self.classes = C.table(spark, groups, "classes")  # read again, so that joins can split a hot class's rows
+        self.reps = C.table(spark, self.all.join(self.classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"]), "reps")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        pairs = C.table(self.spark, pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = shingle_sets(texts_of(self.docs, C.table(self.spark, ids, "ids")), self.k, self.text)
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        linked = both.where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-        return C.table(self.spark, linked.distinct(), "links")
+    def members(self) -> DataFrame:
+        """key, doc_id, lead: the texts of each bucket with two or more, and its smallest."""
+        buckets = self.reps.select("doc_id", F.explode("bands").alias("key"))
+        lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
+        return C.table(self.spark, buckets.join(C.table(self.spark, lead, "lead"), "key"), "members")
 
     def side(self, name: str) -> DataFrame:
         return self.reps.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{name}"), *(F.col(c).alias(f"{name}{c[1:]}") for c in self.sigs))
 
-    def fits(self) -> F.Column:
-        """Whether a and b may reach the threshold, by the sizes of their sets and by the estimate."""
-        return (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (estimate("a", "b") >= self.percent / 100 - MARGIN)
-
-    def best(self, pairs: DataFrame) -> DataFrame:
-        """For each b of the pairs (a, b) its most similar a by the estimate, if any fits."""
-        found = pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.fits()).withColumn("est", estimate("a", "b"))
-        return found.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the estimate and then the full sets find similar enough."""
+        sizes = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        near = pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(sizes & (estimate("a", "b") >= self.percent / 100 - MARGIN))
+        near = C.table(self.spark, near.select("a", "b").distinct(), "near")
+        both = near.join(self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        linked = both.where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        return C.table(self.spark, linked.distinct(), "links")
 
     def links(self) -> DataFrame:
-        buckets = self.reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-        lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
-        lead = C.table(self.spark, lead, "lead")
-        live = C.table(self.spark, buckets.join(lead, "key"), "members")  # only buckets with two texts or more
-        links = self.confirmed(self.best(live.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()))
-        fresh = True
-        for turn in range(STARS + 1):
-            if not fresh and turn < STARS:
-                continue  # the last star brought nothing: go on to all that is left
-            if fresh:
-                live = self.mixed(live, C.table(self.spark, components(self.spark, links), "components"))
-            if live.isEmpty():
-                break
-            outside = live.where("c <> cl").select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-            if turn < STARS:
-                heads = live.where("c = cl").groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(turn))).alias("a"))
-                pairs = self.best(outside.join(heads, "key").select("a", "b").distinct())
-            else:
-                keys = lambda name: self.reps.select(F.col("doc_id").alias(name), F.col("bands").alias(f"{name}_bands"))
-                inside = live.select("key", "band", F.col("doc_id").alias("a"), F.col("c").alias("ca"), (F.col("c") == F.col("cl")).alias("home")).join(self.side("a"), "a").join(keys("a"), "a")
-                outside = outside.join(self.side("b"), "b").join(keys("b"), "b")
-                first_part = lambda name: F.slice(f"{name}_bands", F.lit(1), F.col("band"))
-                before = F.exists(F.zip_with(first_part("a"), first_part("b"), lambda x, y: x == y), lambda same: same)
-                apart = (inside["key"] == outside["key"]) & (F.col("ca") != F.col("cb")) & (F.col("home") | (F.col("a") < F.col("b")))
-                both = inside.join(outside, apart & self.fits() & ~before)  # in the first band that a pair shares
-                pairs = both.select("a", "b").distinct()
-            more = self.confirmed(pairs)
-            fresh = not more.isEmpty()
-            links = links.union(more)
-        return links
-
-    def mixed(self, live: DataFrame, comp: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one component, with their component and their leader's."""
-        label = lambda x, out: comp.select(F.col("v").alias(x), F.col("component").alias(out))
-        known = live.select("key", "band", "doc_id", "lead").join(label("doc_id", "c"), "doc_id", "left").join(label("lead", "cl"), "lead", "left")
-        known = C.table(self.spark, known.withColumns({"c": F.coalesce("c", "doc_id"), "cl": F.coalesce("cl", "lead")}), "known")
-        return C.table(self.spark, known.join(known.where("c <> cl").select("key").distinct(), "key", "left_semi"), "live")
+        live = self.members()
+        ids = C.table(self.spark, live.select("doc_id").distinct(), "ids")
+        self.sets = C.table(self.spark, shingle_sets(texts_of(self.docs, ids), self.k, self.text), "sets")
+        stars = live.where("doc_id <> lead").groupBy("lead", "doc_id").agg(F.count("*").alias("n"))
+        links = self.confirmed(_one_each(stars, "lead"))
+        for turn in range(STARS):
+            live = self.mixed(live, links)
+            heads = live.groupBy("key").agg(F.min_by(F.struct("doc_id", "c"), F.xxhash64("doc_id", "key", F.lit(turn))).alias("head"))
+            apart = live.join(heads, "key").where(F.col("c") != F.col("head.c"))
+            links = links.union(self.confirmed(_one_each(apart.groupBy(F.col("head.doc_id").alias("lead"), "doc_id").agg(F.count("*").alias("n")), "lead")))
+        return links.union(self.confirmed(self.rest(self.mixed(live, links))))
+
+    def mixed(self, live: DataFrame, links: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one component, with their component c."""
+        comp = C.table(self.spark, components(self.spark, links), "components").select(F.col("v").alias("doc_id"), F.col("component").alias("c"))
+        known = live.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        known = C.table(self.spark, known, "known")
+        several = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+        return C.table(self.spark, known.join(several, "key", "left_semi"), "live")
+
+    def rest(self, live: DataFrame) -> DataFrame:
+        """All pairs (a, b) of texts of ``live`` in different components that may reach the threshold; see the module's 4."""
+        of = live.select("doc_id", "c").distinct()
+        sets = C.table(self.spark, self.sets.join(of, "doc_id"), "rest")
+        each = sets.select("doc_id", F.xxhash64("shingles").alias("v"), "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+        shared = each.groupBy("t").agg(F.count("*").alias("df"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t", "df")
+        known = C.table(self.spark, each.join(C.table(self.spark, shared, "shared"), "t").select("doc_id", "v", "c", "n", "df", "t"), "shingles")
+        ranked = known.groupBy("doc_id", "v", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+        # shingles that no other component has come first: place r of the shared ones is place n - size + r
+        least = F.expr(f"int((n * {self.percent} + 99) div 100)")  # shingles in common with a text of the same size or less
+        alone = F.col("n") - F.size("ts")
+        firsts = ranked.withColumn("alone", alone).withColumn("ts", F.slice("ts", F.lit(1), F.greatest(F.col("n") - least + 1 - alone, F.lit(0))))
+        posts = firsts.select("doc_id", "c", "n", "alone", F.posexplode("ts").alias("r", "s")).select("doc_id", "c", "n", (F.col("alone") + F.col("r")).alias("p"), F.col("s.t").alias("t"))
+        posts = C.table(self.spark, posts, "posts")  # read again, so that the join can split a hot shingle's rows
+        a = posts.where(f"(n - p) * {100 + self.percent} >= {2 * self.percent} * n").select("t", *(F.col(x).alias(f"{x}_a") for x in ("doc_id", "c", "n", "p")))
+        b = posts.select("t", *(F.col(x).alias(f"{x}_b") for x in ("doc_id", "c", "n", "p")))
+        q = self.percent
+        fits = (
+            (F.col("c_a") != F.col("c_b")) & (F.struct("n_a", "doc_id_a") < F.struct("n_b", "doc_id_b")) & (100 * F.col("n_a") >= q * F.col("n_b"))
+            & ((100 + q) * F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= q * (F.col("n_a") + F.col("n_b")))
+        )
+        return a.join(b, (a["t"] == b["t"]) & fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
+def _one_each(counts: DataFrame, by: str) -> DataFrame:
+    """(a, b): for each doc_id b of counts the a that it has most buckets in common with."""
+    return counts.groupBy(F.col("doc_id").alias("b")).agg(F.max_by(by, F.struct("n", -F.col(by))).alias("a")).select("a", "b")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
