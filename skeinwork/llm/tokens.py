@@ -2,7 +2,8 @@
 
 The tokenizers split texts before they merge, and never across the start of a space or newline that follows other than
 white space.  A text is cut there, each distinct chunk is encoded once by the tokenizers library and its ids are kept in
-a bounded cache, so the ids are those of the whole text.  The vocabulary files are named by a parameter.
+a bounded cache, so the ids are those of the whole text.  A text that holds the name of a special token, in any case, is
+encoded whole by the library, which gives such names their own ids.  The vocabulary files are named by a parameter.
 """
 
 from __future__ import annotations
@@ -36,15 +37,20 @@ class Encoder:
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer
         self.letters = byte_letters()
         with open(path, encoding="utf-8") as f:  # only a space before a word can be part of its first token
-            self.space = "" if any(p.get("type") == "Split" for p in json.load(f)["pre_tokenizer"].get("pretokenizers", [])) else self.letters[32]
+            spec = json.load(f)
+        self.space = "" if any(p.get("type") == "Split" for p in spec["pre_tokenizer"].get("pretokenizers", [])) else self.letters[32]
+        self.special = [t["content"].lower() for t in spec.get("added_tokens", [])]
         self.limit = cache
         self.chunks: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bool:
+        low = text.lower()
+        return any(name in low for name in self.special)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -97,8 +103,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, wanted, heads = [], set(), []
-        for t in texts:
-            parts = t.replace("\n", " \n").split(" ")
+        whole = [self._whole(t) for t in texts]
+        for t, alone in zip(texts, whole):
+            parts = [""] if alone else t.replace("\n", " \n").split(" ")
             heads.append(parts[0])
             del parts[0]
             wanted.update(parts)
@@ -107,7 +114,10 @@ class Encoder:
         known = self.chunks.__getitem__
         first = self._ids(heads)
         out = []
-        for t, h, head, parts in zip(texts, heads, first, cut):
+        for t, alone, h, head, parts in zip(texts, whole, heads, first, cut):
+            if alone:
+                out += self._ids([t])
+                continue
             if h and parts and h[-1].isspace():
                 out.append(self._slow(t))
                 continue
