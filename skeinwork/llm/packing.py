@@ -2,9 +2,10 @@
 
 1. Every text is tokenized whole, an end id follows, and texts over the capacity are cut into pieces.
 2. Each task packs its pieces by best fit, longest first.  Bins that are nearly full are done.
-3. Underfull bins become items: groups of FAN_IN tasks pack them again by best fit, and so on up the tree until one group
-   is left.  At most UP bins a group go up (the emptiest); the others are emitted as they are, so that a task's memory is
-   bounded whatever the sizes are.  No piece is ever left out.
+3. Underfull bins become items and are packed again by best fit, up a tree: each round has an eighth (FAN_IN) of the groups
+   of the one before, but no group of much over UP bins, so that a task's memory is bounded.  All underfull bins go up each
+   time, dealt to the groups by a hash.  It ends with the round of one group, or, on tables whose underfull bins are more
+   than a group may hold, when a round has merged no more than one bin in STALLED.  No piece is ever left out.
 
 A piece ends up with the sequence of its last bin and the sum of the places on the way.
 
@@ -31,6 +32,7 @@ from .tokens import default_path, encoder
 CAPACITY, END_ID = 4096, 1
 SLACK = 16  # a bin with less room than this is nearly full
 FAN_IN, UP = 8, 50_000
+STALLED = 100
 LOCAL = 500_000  # pieces that a task packs at a time
 
 
@@ -62,10 +64,9 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bin_of, place, np.array(fill, np.int64)
 
 
-def going_up(fill: np.ndarray, capacity: int, slack: int = SLACK, most: int = UP) -> np.ndarray:
-    """The bins that are packed again a level up."""
-    open_ = np.flatnonzero(capacity - fill >= slack)
-    return open_[np.argsort(fill[open_], kind="stable")][:most]
+def going_up(fill: np.ndarray, capacity: int, slack: int = SLACK) -> np.ndarray:
+    """Whether each bin is packed again a level up."""
+    return capacity - fill >= slack
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:
@@ -81,8 +82,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
             nonlocal held, made
             sizes = np.array(held[3], np.int64)
             b, at, fill = best_fit(sizes, capacity)
-            up = np.zeros(len(fill), bool)
-            up[going_up(fill, capacity)] = True
+            up = going_up(fill, capacity)
             first = np.zeros(len(b), bool)
             first[np.unique(b, return_index=True)[1]] = True
             cols = [pa.array(c, pa.int64()) for c in held] + [pa.array((task << 36) + made + b), pa.array(at), pa.array(np.where(first & up[b], fill[b], -1)), pa.array(np.full(len(b), task, np.int64))]
@@ -106,31 +106,32 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text_value")), run, schema)
 
 
-def merge(spark: SparkSession, bins: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def merge(spark: SparkSession, bins: DataFrame, capacity: int = CAPACITY, up_to: int = UP) -> DataFrame:
     """bin, sequence_id, place: where each underfull bin (bin, fill, task) ends up after all rounds of the tree."""
 
     def pack(group):
         sizes = group["fill"].to_numpy(np.int64)
         group = group.iloc[np.lexsort((group["bin"].to_numpy(), -sizes))].reset_index(drop=True)
         b, at, fill = best_fit(group["fill"].to_numpy(np.int64), capacity)
-        up = np.zeros(len(fill), bool)
-        up[going_up(fill, capacity)] = True
+        up = going_up(fill, capacity)
         heads = group["bin"].to_numpy()[np.unique(b, return_index=True)[1]]  # a merged bin goes by its first part's number
         out = group[["bin", "task"]].assign(into=heads[b], place=at, fill=np.where(up[b] & (heads[b] == group["bin"].to_numpy()), fill[b], -1))
         return out
 
     ship(spark)
-    tasks = (bins.agg(F.max("task")).first()[0] or 0) + 1
+    first = bins.agg(F.max("task").alias("task"), F.count("*").alias("n")).first()
+    groups, n, turn = (first.task or 0) + 1, first.n, 0
     where = bins.select("bin", F.col("bin").alias("now"), F.lit(0).cast("long").alias("place"))
-    level = bins.select("bin", "fill", "task")
+    level = bins.select("bin", "fill")
     while True:
-        tasks = -(-tasks // FAN_IN)
-        level = level.withColumn("task", F.floor(F.col("task") / FAN_IN))
+        groups, turn = max(-(-groups // FAN_IN), -(-n // up_to)), turn + 1
+        level = level.withColumn("task", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(max(1, groups))))
         step = C.table(spark, level.groupBy("task").applyInPandas(pack, "bin long, task long, into long, place long, fill long"), "merge")
         where = where.join(step.select(F.col("bin").alias("now"), "into", F.col("place").alias("more")), "now", "left")
         where = C.table(spark, where.select("bin", F.coalesce("into", "now").alias("now"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")), "where")
-        level = step.where("fill >= 0").select("bin", "fill", "task")
-        if tasks <= 1:
+        level = step.where("fill >= 0").select("bin", "fill")
+        before, n = n, level.count()
+        if groups <= 1 or n > up_to and before - n <= before // STALLED:
             return where.select("bin", F.col("now").alias("sequence_id"), "place")
 
 
