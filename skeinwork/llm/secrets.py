@@ -5,11 +5,14 @@ The patterns ``assign``, ``access`` and ``hex`` give base spans.  The random fie
 decoded by Viterbi.  It is trained here by maximum likelihood on windows whose tags come from the base spans and on made
 windows of credentials that the patterns don't know, with ordinary numbers, addresses and words as negatives.
 
-Only tokens of some length with a mix of digits and letters can be tagged B or I; any other token is O for certain.  The
-chain therefore falls apart at such tokens without loss, and Viterbi runs over the stretches around candidates only.
+Only tokens of LEAST_FREE characters or more with a digit, or of LEAST_WORD or more, can be tagged B or I (``candidate``); any
+other token is O for certain.  So Viterbi runs over the stretches of such tokens only, however long they are, with the moves
+from the O before and to the O after: that gives the tags of the whole chain.  A token ends before the full stop of a
+sentence.  Tokens are whole wherever they lie, and so are the spans.
 
 Defined results: a null text is empty; an empty text has no spans and the hash of the empty string; rows that share a
-doc_id are scanned row by row; an empty table gives an empty result; extra columns are left alone.
+doc_id are scanned row by row; an empty table gives an empty result; extra columns are left alone (the spans' columns get
+other names where the input has theirs, see ``scan``).
 """
 
 from __future__ import annotations
@@ -36,13 +39,15 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "crf"]
 _CASED = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\sA-Za-z0-9+/_.\-]+")
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}")
+_CHAR = r"[A-Za-z0-9+/_\-]"
+TOKEN = re.compile(rf"{_CHAR}+(?:\.{_CHAR}+)*|[^\sA-Za-z0-9+/_\-]+")
+_FREE = re.compile(rf"(?<![A-Za-z0-9+/_\-])(?=[^\s]{{10}}){_CHAR}+(?:\.{_CHAR}+)*")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+LEAST_FREE, LEAST_WORD = 10, 16
 CONTEXT = 3
 TAGS = "OBI"
-SEED, MADE = 7, 250
-MAX_TRAIN_TEXTS = 1_000  # bound on the texts whose windows train the field
+SEED, MADE = 7, 100
+MAX_TRAIN_TEXTS, MAX_TRAIN_SPANS = 1_000, 3  # bounds on the texts, and the spans of each, whose windows train the field
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -94,6 +99,17 @@ def entropy_bucket(token: str) -> str:
     return f"h{int(-(p * np.log2(p)).sum() * 2)}"
 
 
+def kinds(token: str) -> str:
+    """Which of digits, small and capital letters a token has."""
+    return "".join(name for name, pattern in (("0", "[0-9]"), ("a", "[a-z]"), ("A", "[A-Z]")) if re.search(pattern, token))
+
+
+def turns(token: str) -> int:
+    """How often digits, small and capital letters take turns, in eighths of the length."""
+    runs = re.findall(r"[0-9]+|[a-z]+|[A-Z]+", token)
+    return 8 * max(len(runs) - 1, 0) // len(token)
+
+
 def observe(tokens: list[str], i: int, file: list[str]) -> list[str]:
     """The features of token i."""
     t = tokens[i]
@@ -101,11 +117,12 @@ def observe(tokens: list[str], i: int, file: list[str]) -> list[str]:
     out = ["bias", "s=" + s]
     if len(t) >= 12 and s[:4] not in ("word", "mark"):
         out += ["e=" + entropy_bucket(t), "d=" + str(int(5 * sum(c.isdigit() for c in t) / len(t)))]
+        out += ["c=" + kinds(t), f"t={turns(t)}", f"c={kinds(t)}&t={turns(t)}"]
     for k in (1, 2, 3):
         p = tokens[i - k] if i >= k else ""
         out.append(f"p{k}=" + (shape(p) if p else "none"))
         if p and (p.lower() in _KEYWORDS or any(w in p.lower() for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))):
-            out.append("key near")
+            out += ["key near", "key near&" + s]
     out.append("n1=" + (shape(tokens[i + 1]) if i + 1 < len(tokens) else "none"))
     return out + ["f=" + f + "&" + s for f in file]
 
@@ -133,19 +150,19 @@ class Field:
                 out[i] = self.emit[ids].sum(0)
         return out
 
-    def viterbi(self, scores: np.ndarray, free: list[bool]) -> list[int]:
-        """The best tags; a token that isn't free is O."""
+    def viterbi(self, scores: np.ndarray, free: list[bool], opens: bool = True, closes: bool = True) -> list[int]:
+        """The best tags; a token that isn't free is O.  Unless the chain opens (closes) here, an O stands before (after) it."""
         move = self.move.copy()
         move[0, 2] = -1e9  # I doesn't follow O
         scores = scores.copy()
         scores[~np.array(free), 1:] = -1e9
-        best = scores[0] + np.where(np.arange(3) == 2, -1e9, 0)
+        best = scores[0] + (np.where(np.arange(3) == 2, -1e9, 0) if opens else move[0])
         back = np.zeros(scores.shape, int)
         for i in range(1, len(scores)):
             step = best[:, None] + move
             back[i] = step.argmax(0)
             best = step.max(0) + scores[i]
-        tags = [int(best.argmax())]
+        tags = [int((best if closes else best + move[:, 0]).argmax())]
         for i in range(len(scores) - 1, 0, -1):
             tags.append(int(back[i, tags[-1]]))
         return tags[::-1]
@@ -194,20 +211,29 @@ def _made(rng: random.Random) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     some = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
     word = lambda: some(letters, rng.randint(2, 9))
+    leads = ["Authorization: Bearer ", "auth = ", 'private_key: "', "credential=", "pwd: ", "export KEY=", "key: '", 'token = "', "secret: ", "my key is ", "the password is "]
+    every = letters + letters.upper() + digits
     for _ in range(MADE):
-        pool = rng.choice([digits + "abcdef", digits + "ABCDEF", letters + digits, letters + letters.upper() + digits, letters.upper() + digits, letters + letters.upper() + digits + "+/", letters + digits + "_-"])
+        pool = rng.choice([digits + "abcdef", digits + "ABCDEF", letters + digits, every, letters.upper() + digits, every + "+/", letters + digits + "_-"])
         secret = rng.choice(["", "", "", "ghp_", "sk-", "xoxb-", "glpat-"]) + some(pool, rng.randint(20, 48))
         if not re.search("[0-9]", secret) or not re.search("[A-Za-z]", secret):
             secret += "4f"
-        lead = rng.choice(["Authorization: Bearer ", "auth = ", 'private_key: "', "credential=", "pwd: ", "export KEY=", "key: '", 'token = "', "secret: "])
-        before, after = " ".join(word() for _ in range(4)) + " ", rng.choice(["", '"', "'"]) + " " + " ".join(word() for _ in range(4))
-        yield before + lead + secret + after, [(len(before + lead), len(before + lead + secret))]
-        plain = rng.choice([
-            some(digits, 16), f"{word()}.{some(digits, 2)}@mail{some(digits, 1)}.example.com", ".".join(str(rng.randint(1, 255)) for _ in range(4)), some(letters, rng.randint(16, 30)),
+        short = rng.choice([some(every, rng.randint(11, 16)) + "7", some(letters + letters.upper(), rng.randint(20, 32)), some(digits, rng.randint(12, 20))])
+        dotted = ".".join("eyJ" * (k == 0) + some(every, rng.randint(12, 40)) for k in range(3))
+        lead = rng.choice(leads)
+        before, after = " ".join(word() for _ in range(4)) + " ", rng.choice(["", '"', "'", "."]) + " " + " ".join(word() for _ in range(4))
+        for one in (secret, rng.choice([short, dotted])):
+            yield before + lead + one + after, [(len(before + lead), len(before + lead + one))]
+        one = rng.choice([dotted, secret])
+        yield before + one + after, [(len(before), len(before + one))]
+        for plain in rng.sample([
+            some(digits, rng.randint(10, 20)), f"{word()}.{some(digits, 2)}@mail{some(digits, 1)}.example.com", ".".join(str(rng.randint(1, 255)) for _ in range(4)), some(letters, rng.randint(16, 30)),
             f"https://{word()}.example.net/{word()}/{some(digits, 5)}", f"{word()}-{some(digits, 3)}-{word()}-{word()}", f"+{some(digits, 12)}", f"{word()}_{word()}_{word()}_{some(digits, 2)}",
             f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}{some('012345', 2)}Z", f"/{word()}/{word()}/{word()}{some(digits, 2)}/{word()}",
-        ])
-        yield before + plain + " " + after, []
+            f"{word()}.{word()}.{word()}{some(digits, 1)}.{word()}", f"{word()}-{some(digits, 4)}.final.pdf", f"{word().title()}{word().title()}{word().title()}{some(digits, 1)}", some(letters, rng.randint(8, 14)) + some(digits, 2),
+            f"{word()}{word()}-{word()}{word()}", some(digits, 4) + " " + some(digits, 4) + " " + some(digits, 4) + " " + some(digits, 4),
+        ], 3):
+            yield before + plain + " " + after, []
 
 
 def train(texts: list[str]) -> Field:
@@ -232,7 +258,7 @@ def train(texts: list[str]) -> Field:
         add(text, spans, True)
     for text in texts:
         near = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["hex"]]
-        for s, e in near[:3]:
+        for s, e in near[:MAX_TRAIN_SPANS]:
             lo, hi = max(0, s - 120), e + 120
             add(text[lo:hi], [(s - lo, e - lo)], False)
     field = Field()
@@ -242,39 +268,60 @@ def train(texts: list[str]) -> Field:
 
 def candidate(token: str) -> bool:
     """Whether a token may be tagged B or I."""
-    return len(token) >= 16 and _LONG.fullmatch(token) is not None and _DIGIT.search(token) is not None and _LETTER.search(token) is not None
+    n = len(token)
+    return n >= LEAST_FREE and (_DIGIT.search(token) is not None or n >= LEAST_WORD and _LETTER.search(token) is not None) and _FREE.fullmatch(token) is not None
+
+
+def _before(text: str, at: int, n: int) -> list[tuple[int, int]]:
+    """The last n whole tokens before place at, where a token starts."""
+    size = 64
+    while True:
+        lo = max(0, at - size)
+        found = [(m.start() + lo, m.end() + lo) for m in TOKEN.finditer(text[lo:at])]
+        if lo == 0 or len(found) > n:  # the first one may be cut
+            return found[-n:]
+        size *= 4
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
     """Spans that the field tags as secrets."""
-    out, done = [], -1
-    file = None
-    for c in _LONG.finditer(text):
-        if c.start() < done or not _DIGIT.search(c[0]) or not _LETTER.search(c[0]):
+    out, done, file = [], -1, None
+    for c in _FREE.finditer(text):
+        if c.start() < done or not candidate(c[0]):
             continue
-        # the stretch: a candidate, its neighbours for their features, and following tokens that touch it
-        lo = c.start()
-        while lo > 0 and c.start() - lo < 160 and text[lo - 1] != "\n":
-            lo -= 1
-        hi = min(len(text), c.end() + 160)
+        # the stretch: candidates that follow each other, between the tokens that their features look at
         file = file or file_features(text)
-        found = [(m.start() + lo, m.end() + lo) for m in TOKEN.finditer(text[lo:hi])]
+        found = _before(text, c.start(), CONTEXT)
+        i = len(found)
+        for m in TOKEN.finditer(text, c.start()):
+            found.append((m.start(), m.end()))
+            if not candidate(m[0]):
+                break
+        j = len(found) if candidate(text[slice(*found[-1])]) else len(found) - 1
         tokens = [text[s:e] for s, e in found]
-        free = [candidate(t) for t in tokens]
-        i = next((k for k, (s, e) in enumerate(found) if s <= c.start() < e), None)
-        if i is None or not free[i]:
-            continue
-        j = i
-        while j + 1 < len(found) and free[j + 1]:
-            j += 1
-        feats = [observe(tokens, k, file) for k in range(i, j + 1)]
-        tags = field.viterbi(field.scores(feats), free[i : j + 1])
+        feats = [observe(tokens, k, file) for k in range(i, j)]
+        tags = field.viterbi(field.scores(feats), [True] * (j - i), i == 0, j == len(found))
         for k, t in enumerate(tags):
             if t == 1:
                 out.append([*found[i + k]])
             elif t == 2 and out:
                 out[-1][1] = found[i + k][1]
-        done = found[j][1]
+        done = found[j - 1][1]
+    return [(s, e) for s, e in out]
+
+
+def whole_chain_spans(text: str, field: Field) -> list[tuple[int, int]]:
+    """What ``field_spans`` gives, by Viterbi over all tokens of the text."""
+    found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    tokens, out = [text[s:e] for s, e in found], []
+    if not tokens:
+        return []
+    file = file_features(text)
+    for k, t in enumerate(field.viterbi(field.scores([observe(tokens, k, file) for k in range(len(tokens))]), [candidate(t) for t in tokens])):
+        if t == 1:
+            out.append([*found[k]])
+        elif t == 2 and out:
+            out[-1][1] = found[k][1]
     return [(s, e) for s, e in out]
 
 
@@ -292,16 +339,26 @@ SPAN = "array<struct<start:int,end:int,kind:string>>"
 def learn(spark: SparkSession, docs: DataFrame, text: str = "text") -> Field:
     """A field trained on a bounded sample of the texts that hold a pattern."""
     some = docs.where(F.col(text).rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{24}"))
-    rows = some.select(F.xxhash64(text).alias("h"), text).where(F.pmod("h", F.lit(16)) == 0).limit(MAX_TRAIN_TEXTS).toPandas()
-    return train([t for _, t in sorted(zip(rows["h"], rows[text]))])
+    rows = some.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).distinct().orderBy("h", "t").limit(MAX_TRAIN_TEXTS).collect()
+    return train([r.t for r in rows])
+
+
+def span_names(docs: DataFrame) -> list[str]:
+    """The names of the spans' columns: base_found and all_found, with underscores where docs has such columns."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in ("base_found", "all_found"):
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def scan(docs: DataFrame, field: Field, redact: bool = False, text: str = "text") -> DataFrame:
-    """All columns of docs, and ``base_found`` and ``all_found`` lists of spans; with redact the spans of the text are
-    replaced by [SECRET]."""
-    kept = [c for c in docs.columns if c not in ("base_found", "all_found")]
+    """All columns of docs, and the lists of base spans and of all spans, named by ``span_names``; with redact the spans of
+    the text are replaced by [SECRET]."""
+    kept, (base_name, all_name) = docs.columns, span_names(docs)
     at = kept.index(text)
-    schema = docs.select(*kept).schema
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
@@ -316,10 +373,10 @@ def scan(docs: DataFrame, field: Field, redact: bool = False, text: str = "text"
             cols = list(b.columns)
             if redact:
                 cols[at] = pa.array(texts, b.schema.types[at])
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(base, kind), pa.array(every, kind)], [*kept, "base_found", "all_found"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(base, kind), pa.array(every, kind)], [*kept, base_name, all_name])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return map_arrow(docs.select(*kept), run, f"{out}, base_found {SPAN}, all_found {SPAN}")
+    return map_arrow(docs.select(*kept), run, f"{out}, {base_name} {SPAN}, {all_name} {SPAN}")
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
