@@ -9,6 +9,8 @@ Reader: files are streamed member by member.  Records without segments are decod
 their origin's identifier, ordered by number, checked for gaps and against the total length, joined, and then decoded.
 Digests are checked on every payload.
 
+A payload is moved only to join it with more repeated digests than BROADCAST_ROWS; up to that number the digests come to it.
+
 Defined results: a null payload is empty; rows that repeat a page_id with the same payload are all responses if it is the
 smallest, and rows that repeat one with other payloads are pages of their own: identifiers are unique for each row; a null page_id is a revisit where the payload has a page_id, else a response; an empty table gives no files and
 an empty result; extra columns aren't written.  A damaged record raises an error that names it.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +38,8 @@ HTTP_CHUNK = 4 << 10
 ROLL = 64 << 20
 LEVEL = 4
 LEAST_REVISIT = 0  # payloads under so many bytes are never revisits
+BROADCAST_ROWS = 200_000  # repeated digests up to this number, 10 MB, are broadcast; more are joined by a shuffle
+HTTP = "application/http;msgtype=response"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -74,12 +79,13 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def records(page_id: int | None, number: int, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT, named: bool = False) -> Iterator[bytes]:
+def records(page_id: int | None, number: int, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT, named: bool = False, date: str = "1970-01-01T00:00:00Z") -> Iterator[bytes]:
     """The gzip members of one page.  number: the row's task and place in it, which make its identifier unique; a named row,
     the response that revisits refer to, goes by its page_id and digest instead."""
     sha = digest(payload)
     name = f"<urn:page:{page_id}:{sha}>" if named else f"<urn:row:{number}>"
-    common = [("WARC-Record-ID", name), ("WARC-Target-URI", " ".join((url or "about:blank").split())), ("WARC-Payload-Digest", f"sha1:{sha}")]
+    of = [("WARC-Date", date), ("WARC-Target-URI", " ".join((url or "about:blank").split()))]
+    common = [("WARC-Record-ID", name), *of, ("Content-Type", HTTP), ("WARC-Payload-Digest", f"sha1:{sha}")]
     if page_id is not None:
         common.append(("WARC-Page-ID", page_id))
     if refers_to is not None:
@@ -94,7 +100,7 @@ def records(page_id: int | None, number: int, url: str, payload: bytes, refers_t
     yield _record([("WARC-Type", "response"), *common, ("WARC-Segment-Number", 1)], parts[0])
     for k, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), *last], part)
+        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), *of, ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), *last], part)
 
 
 def members(uri: str) -> Iterator[bytes]:
@@ -141,16 +147,17 @@ def roles(spark: SparkSession, pages: DataFrame, payload: str, least: int = LEAS
     """page_id, url, payload, first: the page that a revisit refers to (null for responses), and named: whether the row is
     the one response of a repeated payload that revisits refer to."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), body.alias("payload"), F.sha1(body).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), body.alias("payload"), F.unhex(F.sha1(body)).alias("sha"), F.monotonically_increasing_id().alias("row"))
     firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("least"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first", F.col("least.row").alias("first_row"))
     firsts = C.table(spark, firsts, "firsts")
-    out = keyed.join(firsts, "sha", "left")
+    out = keyed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "sha", "left")
     again = (F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.select("page_id", "url", "payload", F.when(again, F.col("first")).alias("first"), F.coalesce(~again & (F.col("row") == F.col("first_row")), F.lit(False)).alias("named"))
 
 
-def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> DataFrame:
-    """Write archives from ``roles``; the manifest (path, n_records) when it is run."""
+def write(pages: DataFrame, folder: str, segment: int = SEGMENT, date: str | None = None) -> DataFrame:
+    """Write archives from ``roles``, dated now or as given; the manifest (path, n_records) when it is run."""
+    date = date or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k, out, n, paths, counts, row = TaskContext.get().partitionId(), 0, None, 0, [], [], 0
@@ -161,7 +168,7 @@ def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> DataFrame:
                     paths.append(f"{folder}/part-{task:06d}-{k:04d}.warc.gz")
                     out, n, k = files.Writer(paths[-1]), 0, k + 1
                 row += 1
-                for member in records(page, (task << 32) + row, url, data[offs[i] : offs[i + 1]].tobytes(), first, segment, named):
+                for member in records(page, (task << 32) + row, url, data[offs[i] : offs[i + 1]].tobytes(), first, segment, named, date):
                     out.write(member)
                     n += 1
                 if out.size >= ROLL:
