@@ -47,7 +47,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, text: str
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.xxhash64(body).alias("h1"), F.xxhash64(body, F.lit(1)).alias("h2"), F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
+        F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2"), F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
     )
     rows = C.table(spark, rows, "rows")
     groups = C.table(spark, rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "groups")
