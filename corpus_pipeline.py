@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near-dedup, benchmark decontamination, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept and returns a DataFrame; all but
-the last return the columns of documents.  Stages are written as Parquet and read again between each other.
+the last return the columns of documents, whatever else they are called.  Stages are written as Parquet and read again
+between each other.
+
+Defined results: null and empty texts fail the quality rules; rows without doc_id go in the first stage; rows that share a
+doc_id stay if one of them passes the quality rules, and go if none of them stays in near-dedup or one of them holds an
+item; repeated rows stay repeated; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets are replaced by a mark, and n_chars counts the new text."""
     clean = secrets.scan(docs, secrets.learn(spark, docs), redact=True)
-    counted = F.when(F.size("all_found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    counted = F.when(F.size(secrets.span_names(docs)[1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return clean.withColumn("n_chars", counted).select(*docs.columns)
 
 
