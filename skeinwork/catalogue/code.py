@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as K
 from ..operators import resolve as R
-from ..sources import code
+from ..sources import code, index
 from . import shared as S
 
 APP = '''import os
@@ -58,6 +58,63 @@ def clean(x):
 '''
 FILES = [("app.py", APP), ("main.py", "x = 1\n"), ("pkg/models.py", MODELS), ("util/text.py", TEXT), ("README.md", "# not code\n"), ("bad.py", "def broken(:\n")]
 
+# a second project, with command line, task and module-level entries, for the whole index
+SECOND = [
+    ("svc/__init__.py", "from svc.jobs import nightly\nfrom svc.cli import tool\nVERSION = 1\nNAME = 'svc'\n"),
+    ("svc/cli.py", "import click\nfrom svc.jobs import nightly as job\n\n\n@click.command()\ndef tool():\n    job()\n"),
+    ("svc/jobs.py", "from celery import shared_task\n\n\nclass Job(object):\n    def go(self):\n        return print(self)\n\n\n@shared_task\ndef nightly():\n    Job()\n"),
+    ("serve.py", "import uvicorn\nfrom svc.jobs import Job\n\n\nclass Late(Job):\n    pass\n\n\nuvicorn.run('x')\n"), ("README.md", "# svc\n"),
+]
+REVIEWS = [("svc/__init__.py", True, None, 0.7, "re-exports"), ("svc/jobs.py", True, "http_endpoint", 0.9, "wasn't flagged"), ("serve.py", False, None, 0.2, "no")]
+
+
+def _index(spark):
+    files = spark.createDataFrame(SECOND, "path string, content string")
+    return index.build(spark, files, "svc", spark.createDataFrame(REVIEWS, "path string, is_entry boolean, kind string, confidence double, reason string"))
+
+
+def _index_nodes(spark, sf):
+    joined = [F.array_join(c, ",").alias(c) for c in ("classes", "functions", "imports", "bases")]
+    return _index(spark)["nodes"].select("id", "label", "name", "path", *joined, "class_name", "line_start", "line_end", "is_entry", "entry_kind", "entry_confidence", "module", "alias", "line")
+
+
+_NODES = [
+    ("svc", "Repo", "svc", None, None, None, None, None, None, None, None, None, None, None, None, None, None),
+    ("svc/__init__.py", "File", "__init__.py", "svc/__init__.py", "", "", "nightly,tool", None, None, None, None, True, None, None, None, None, None),
+    ("svc/cli.py", "File", "cli.py", "svc/cli.py", "", "tool", "click,nightly", None, None, None, None, True, None, None, None, None, None),
+    ("svc/jobs.py", "File", "jobs.py", "svc/jobs.py", "Job", "go,nightly", "shared_task", None, None, None, None, True, None, None, None, None, None),
+    ("serve.py", "File", "serve.py", "serve.py", "Late", "", "uvicorn,Job", None, None, None, None, True, None, None, None, None, None),
+    ("README.md", "File", "README.md", "README.md", "", "", "", None, None, None, None, False, None, None, None, None, None),
+    ("svc/jobs.py::Job", "Class", "Job", "svc/jobs.py", None, None, None, "object", None, 4, 6, None, None, None, None, None, None),
+    ("serve.py::Late", "Class", "Late", "serve.py", None, None, None, "Job", None, 5, 6, None, None, None, None, None, None),
+    ("svc/cli.py::tool", "Function", "tool", "svc/cli.py", None, None, None, None, None, 6, 7, True, "cli_entry", 0.95, None, None, None),
+    ("svc/jobs.py::Job.go", "Function", "go", "svc/jobs.py", None, None, None, None, "Job", 5, 6, False, None, None, None, None, None),
+    ("svc/jobs.py::nightly", "Function", "nightly", "svc/jobs.py", None, None, None, None, None, 10, 11, True, "task_entry", 0.95, None, None, None),
+    ("svc/__init__.py#svc.jobs#nightly", "Import", "nightly", "svc/__init__.py", None, None, None, None, None, None, None, None, None, None, "svc.jobs", None, 1),
+    ("svc/__init__.py#svc.cli#tool", "Import", "tool", "svc/__init__.py", None, None, None, None, None, None, None, None, None, None, "svc.cli", None, 2),
+    ("svc/cli.py#click#click", "Import", "click", "svc/cli.py", None, None, None, None, None, None, None, None, None, None, "click", None, 1),
+    ("svc/cli.py#svc.jobs#nightly", "Import", "nightly", "svc/cli.py", None, None, None, None, None, None, None, None, None, None, "svc.jobs", "job", 2),
+    ("svc/jobs.py#celery#shared_task", "Import", "shared_task", "svc/jobs.py", None, None, None, None, None, None, None, None, None, None, "celery", None, 1),
+    ("serve.py#uvicorn#uvicorn", "Import", "uvicorn", "serve.py", None, None, None, None, None, None, None, None, None, None, "uvicorn", None, 1),
+    ("serve.py#svc.jobs#Job", "Import", "Job", "serve.py", None, None, None, None, None, None, None, None, None, None, "svc.jobs", None, 2),
+    ("job", "ExternalSymbol", "job", None, None, None, None, None, None, None, None, None, None, None, None, None, None),
+    ("print", "ExternalSymbol", "print", None, None, None, None, None, None, None, None, None, None, None, None, None, None),
+    ("object", "ExternalSymbol", "object", None, None, None, None, None, None, None, None, None, None, None, None, None, None),
+]
+_EDGES = [
+    *(("CONTAINS", "svc", p, None) for p, _ in SECOND), ("IMPORTS", "svc/__init__.py", "svc/jobs.py", None), ("IMPORTS", "svc/__init__.py", "svc/cli.py", None), ("IMPORTS", "svc/cli.py", "svc/jobs.py", None),
+    ("IMPORTS", "serve.py", "svc/jobs.py", None), ("IMPORTS_SYMBOL", "svc/__init__.py", "svc/__init__.py#svc.jobs#nightly", None), ("IMPORTS_SYMBOL", "svc/__init__.py", "svc/__init__.py#svc.cli#tool", None),
+    ("IMPORTS_SYMBOL", "svc/cli.py", "svc/cli.py#click#click", None), ("IMPORTS_SYMBOL", "svc/cli.py", "svc/cli.py#svc.jobs#nightly", None), ("IMPORTS_SYMBOL", "svc/jobs.py", "svc/jobs.py#celery#shared_task", None),
+    ("IMPORTS_SYMBOL", "serve.py", "serve.py#uvicorn#uvicorn", None), ("IMPORTS_SYMBOL", "serve.py", "serve.py#svc.jobs#Job", None), ("CALLS_EXTERNAL", "svc/cli.py::tool", "job", 7),
+    ("CALLS_EXTERNAL", "svc/jobs.py::Job.go", "print", 6), ("INSTANTIATES", "svc/jobs.py::nightly", "svc/jobs.py::Job", 11), ("INHERITS_EXTERNAL", "svc/jobs.py::Job", "object", 4),
+    ("INHERITS_FROM", "serve.py::Late", "svc/jobs.py::Job", 5), ("DEFINES_CLASS", "svc/jobs.py", "svc/jobs.py::Job", None), ("DEFINES_CLASS", "serve.py", "serve.py::Late", None),
+    ("DEFINES_FUNCTION", "svc/cli.py", "svc/cli.py::tool", None), ("DEFINES_FUNCTION", "svc/jobs.py", "svc/jobs.py::nightly", None), ("HAS_METHOD", "svc/jobs.py::Job", "svc/jobs.py::Job.go", None),
+]
+_MARKS = [
+    ("svc/cli.py", "svc/cli.py::tool", "cli_entry", 0.95), ("svc/jobs.py", "svc/jobs.py::nightly", "task_entry", 0.95), ("serve.py", "serve.py::uvicorn.run", "app_runner", 0.95),
+    ("svc/__init__.py", "svc/__init__.py::main", "app_runner", 0.7),
+]
+
 
 def _parsed(spark):
     return code.parse(spark.createDataFrame(FILES, "path string, content string").repartition(2))
@@ -141,6 +198,9 @@ _LINES_SQL = r"""lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(10
   kept AS (SELECT id, line FROM lines WHERE trim(content) <> '' AND NOT (line >= 0 AND line < 2) AND NOT (line >= 4 AND line < 7))"""
 
 QUERIES = {
+    "index_nodes": _index_nodes,
+    "index_edges": lambda spark, sf: _index(spark)["edges"],
+    "index_entries": lambda spark, sf: _index(spark)["entries"].select("path", "qualified_name", "kind", "confidence"),
     "ast_imports": _fact("imports", "path", "module", "name", "alias", "line"),
     "ast_classes": lambda spark, sf: code.facts(_parsed(spark), "classes").select("qualified_name", F.array_join("bases", ",").alias("bases"), "line_start", "line_end"),
     "ast_functions": _fact("functions", "qualified_name", "class_name", "line_start", "line_end"),
@@ -167,6 +227,10 @@ _CODE = f"""fn AS (SELECT * FROM {_V(_FN, "name, qualified_name, class_name, pat
   inh AS (SELECT * FROM {_V(_INH, "class, base")}), fi AS (SELECT name AS k, arg_min(qualified_name, (path, pos)) AS q FROM fn GROUP BY name UNION SELECT qualified_name, qualified_name FROM fn),
   ci AS (SELECT name AS k, arg_min(qualified_name, (path, pos)) AS q FROM cl GROUP BY name)"""
 SQL = {
+    "index_nodes": f"""SELECT * REPLACE (CAST(entry_confidence AS DOUBLE) AS entry_confidence)
+      FROM {_V(_NODES, 'id, label, name, path, classes, functions, imports, bases, class_name, line_start, line_end, is_entry, entry_kind, entry_confidence, module, alias, line')}""",
+    "index_edges": f"SELECT * FROM {_V(_EDGES, 'type, src, dst, line')}",
+    "index_entries": f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM {_V(_MARKS, 'path, qualified_name, kind, confidence')}",
     "ast_imports": f"SELECT * FROM {_V(_IMPORTS, 'path, module, name, alias, line')}",
     "ast_classes": f"SELECT * FROM {_V(_CLASSES, 'qualified_name, bases, line_start, line_end')}",
     "ast_functions": f"SELECT * FROM {_V(_FUNCTIONS, 'qualified_name, class_name, line_start, line_end')}",

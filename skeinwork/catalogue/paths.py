@@ -14,28 +14,26 @@ _REC = lambda base, extra, depth: f"""trails AS (
 _ID = "edges AS (SELECT src, dst, src || '>' || dst AS edge_id FROM imports)"
 
 
-def _source(e):
-    """The smallest node with edges."""
-    return e.agg(F.min("src")).first()[0]
-
-
 def _of_source(f):
+    """f with the smallest node that has edges, in a frame of one row."""
+
     def run(spark, sf):
         e = S.imports(spark, sf)
-        return f(spark, sf, e, F.lit(_source(e)))
+        return f(e, e.agg(F.min("src")))
 
     return run
 
 
 def _hot_target(spark, sf):
     e = S.imports(spark, sf)
-    t = e.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").first()
-    return G.reverse(e, F.lit(t.dst))
+    return G.reverse(e, e.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select("dst"))
 
 
-def _via(spark, sf, e, s):
-    via = e.where((F.col("src") == s) & (F.col("dst") != s)).agg(F.min("dst")).first()[0]
-    return G.multi_hop(e, s, F.lit(via))
+def _two_hops(spark, sf):
+    """The first edge between different nodes that goes on."""
+    e = S.imports(spark, sf)
+    first = e.where("src <> dst").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").agg(F.min(F.struct("src", "dst")).alias("x"))
+    return G.multi_hop(e, first.select("x.src"), first.select("x.dst"))
 
 
 def _nodes(spark, sf):
@@ -50,7 +48,7 @@ def _edges(spark, sf):
     i = S.imports(spark, sf).select("src", "dst", F.lit("IMPORTS").alias("type"))
     c = S.calls(spark, sf).select("src", "dst", F.lit("CALLS").alias("type"))
     o = S.externals(spark, sf).select(F.col("node").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit("CALLS_EXTERNAL").alias("type"))
-    nodes = S.files(spark, sf).select(F.col("node").alias("id")).where("id > 2")
+    nodes = S.files(spark, sf).select(F.col("node").alias("id"))
     return G.export_edges(i.union(c).union(o), nodes, ["IMPORTS", "CALLS"])
 
 
@@ -88,15 +86,18 @@ def _both(spark, sf):
 QUERIES = {
     "tree_paths": lambda spark, sf: S.table(spark, sf, "nation").select(F.col("n_name").alias("path")).orderBy("path"),
     "all_files": lambda spark, sf: S.table(spark, sf, "nation").join(S.table(spark, sf, "region").where("r_name is not null"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(F.col("n_name").alias("path")).orderBy("path"),
-    "direct_imports": _of_source(lambda spark, sf, e, s: G.direct(e, s)),
+    "direct_imports": _of_source(G.direct),
     "reverse_lookup": _hot_target,
-    "multi_hop_imports": _of_source(_via),
+    "multi_hop_imports": _two_hops,
     "leaf_nodes": lambda spark, sf: G.leaf_nodes(S.files(spark, sf), S.imports(spark, sf)),
     "most_dependencies": lambda spark, sf: G.most_dependencies(S.imports(spark, sf)),
-    "transitive_dependencies": _of_source(lambda spark, sf, e, s: G.reachable(e, s, 3)),
+    "transitive_dependencies": _of_source(G.reachable),
     "dependency_map": lambda spark, sf: G.dependency_map(G.simple(S.imports(spark, sf)), S.files(spark, sf)),
     "entry_call_chain": lambda spark, sf: G.entry_chains(S.calls(spark, sf), S.entries(spark, sf)),
     "request_flow": lambda spark, sf: G.request_flows(S.calls(spark, sf), S.entries(spark, sf), S.externals(spark, sf), ["http_endpoint", "app_runner"]),
+    "most_dependencies_all": lambda spark, sf: G.most_dependencies(S.all_imports(spark, sf)),
+    "degree_stats_all": lambda spark, sf: G.degrees(S.files(spark, sf), S.all_imports(spark, sf)),
+    "graph_counts_all": lambda spark, sf: G.counts(S.files(spark, sf), S.all_imports(spark, sf)),
     "node_neighbors": lambda spark, sf: G.neighbours(S.imports(spark, sf), S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("name"))),
     "degree_stats": lambda spark, sf: G.degrees(S.files(spark, sf), S.imports(spark, sf)),
     "graph_roots": lambda spark, sf: G.roots(S.files(spark, sf), S.imports(spark, sf)),
@@ -130,7 +131,7 @@ SQL = {
     "all_files": "SELECT n_name AS path FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region) ORDER BY path",
     "direct_imports": f"WITH {_I} SELECT dst AS node FROM imports WHERE src = {_MIN}",
     "reverse_lookup": f"WITH {_I} SELECT src AS node FROM imports WHERE dst = (SELECT dst FROM imports GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)",
-    "multi_hop_imports": f"WITH {_I}, via AS (SELECT min(dst) AS v FROM imports WHERE src = {_MIN} AND dst <> src) SELECT DISTINCT b.dst AS node FROM imports b, via WHERE b.src = v",
+    "multi_hop_imports": f"WITH {_I}, via AS (SELECT dst AS v FROM imports WHERE src <> dst AND dst IN (SELECT src FROM imports) ORDER BY src, dst LIMIT 1) SELECT DISTINCT b.dst AS node FROM imports b, via WHERE b.src = v",
     "leaf_nodes": f"WITH {_I} SELECT node FROM files WHERE node NOT IN (SELECT src FROM imports)",
     "most_dependencies": f"WITH {_I} SELECT src AS node, count(DISTINCT dst) AS n FROM imports GROUP BY src ORDER BY n DESC, node LIMIT 5",
     "transitive_dependencies": f"""WITH {_I}, h1 AS (SELECT dst AS node FROM imports WHERE src = {_MIN}), h2 AS (SELECT DISTINCT dst AS node FROM imports JOIN h1 ON src = node),
@@ -139,6 +140,9 @@ SQL = {
     "entry_call_chain": f"WITH RECURSIVE {_C}, edges AS (SELECT * FROM calls), {_REC('(SELECT node AS start, kind FROM entries)', ', kind', 6)} SELECT start, kind, array_to_string(chain, '>') AS chain, depth FROM trails ORDER BY depth DESC, start, kind, chain LIMIT 15",
     "request_flow": f"""WITH RECURSIVE {_C}, edges AS (SELECT * FROM calls), {_REC("(SELECT node AS start FROM entries WHERE kind IN ('http_endpoint', 'app_runner'))", '', 6)}
       SELECT start, array_to_string(chain, '>') AS chain, depth FROM trails WHERE node NOT IN (SELECT src FROM calls) OR node IN (SELECT node FROM externals) ORDER BY depth DESC, start, chain LIMIT 10""",
+    "most_dependencies_all": lambda spark, sf: G.most_dependencies(S.all_imports(spark, sf)),
+    "degree_stats_all": lambda spark, sf: G.degrees(S.files(spark, sf), S.all_imports(spark, sf)),
+    "graph_counts_all": lambda spark, sf: G.counts(S.files(spark, sf), S.all_imports(spark, sf)),
     "node_neighbors": f"""WITH {_I}, both_ways AS (SELECT src AS node, 'out' AS direction, dst AS other FROM imports UNION ALL SELECT dst, 'in', src FROM imports)
       SELECT node, direction, other, s_name AS name FROM both_ways JOIN supplier ON s_suppkey = other""",
     "degree_stats": f"""WITH {_I} SELECT node, (SELECT count(*) FROM imports WHERE dst = node) AS n_in, (SELECT count(*) FROM imports WHERE src = node) AS n_out FROM files""",
@@ -149,7 +153,7 @@ SQL = {
       (SELECT CAST(coalesce(sum(CASE WHEN src = dst THEN 1 ELSE 2 END), 0) AS BIGINT) FROM imports) AS edges_undirected""",
     "graph_data_nodes": f"WITH {_NODES} SELECT id, node_type, label FROM nodes",
     "graph_data_edges": f"""WITH {_I}, {_C}, every AS (SELECT src, dst, 'IMPORTS' AS type FROM imports UNION ALL SELECT src, dst, 'CALLS' FROM calls UNION ALL SELECT node, -1, 'CALLS_EXTERNAL' FROM externals)
-      SELECT src, dst, type FROM every WHERE type IN ('IMPORTS', 'CALLS') AND src IN (SELECT node FROM files WHERE node > 2) AND dst IN (SELECT node FROM files WHERE node > 2)""",
+      SELECT src, dst, type FROM every WHERE type IN ('IMPORTS', 'CALLS') AND src IN (SELECT node FROM files) AND dst IN (SELECT node FROM files)""",
     "call_graph": f"WITH {_C} SELECT dst AS called FROM calls WHERE src IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "class_hierarchy": "SELECT n_name AS class, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE 'N%1' OR n_nationkey = 7",
     "class_interaction": f"WITH {_C} SELECT a.o_orderpriority AS from_class, src AS via, b.o_orderpriority AS to_class FROM calls JOIN orders a ON src = a.o_orderkey JOIN orders b ON dst = b.o_orderkey WHERE a.o_orderpriority <> b.o_orderpriority",
@@ -172,3 +176,6 @@ SQL = {
     "delete_counts": f"WITH {_I} SELECT src % 5 AS repo, count(DISTINCT src) AS nodes, count(*) AS edges FROM imports GROUP BY 1",
     "dir_groups": "SELECT n_regionkey AS \"group\", min(n_name) AS lowest, max(n_name) AS highest, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) >= 2",
 }
+SQL |= {f"{name}_all": SQL[name].replace(_I, S.ALL_IMPORTS_SQL) for name in ("most_dependencies", "degree_stats", "graph_counts")}
+SQL["degree_stats_all"] = f"""WITH {S.ALL_IMPORTS_SQL}, i AS (SELECT dst AS node, count(*) AS n FROM imports GROUP BY dst), o AS (SELECT src AS node, count(*) AS n FROM imports GROUP BY src)
+  SELECT node, coalesce(i.n, 0) AS n_in, coalesce(o.n, 0) AS n_out FROM files LEFT JOIN i USING (node) LEFT JOIN o USING (node)"""

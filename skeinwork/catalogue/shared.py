@@ -17,6 +17,10 @@ def sql_values(rows: list[tuple], columns: str) -> str:
 
 
 # ------------------------------------------------------------------------- files that import files: suppliers
+ALL_IMPORTS_SQL = """
+suppliers AS (SELECT count(*) AS n FROM supplier),
+imports AS (SELECT DISTINCT l_suppkey AS src, p_partkey % n AS dst FROM lineitem JOIN part ON l_partkey = p_partkey, suppliers),
+files AS (SELECT s_suppkey AS node FROM supplier)"""
 IMPORTS_SQL = """
 suppliers AS (SELECT count(*) AS n FROM supplier),
 imports AS (SELECT DISTINCT l_suppkey AS src, p_partkey % n AS dst FROM lineitem JOIN part ON l_partkey = p_partkey, suppliers
@@ -24,10 +28,18 @@ imports AS (SELECT DISTINCT l_suppkey AS src, p_partkey % n AS dst FROM lineitem
 files AS (SELECT s_suppkey AS node FROM supplier)"""
 
 
+def all_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, dst): suppliers of all lines, and a supplier number made of the part's."""
+    return _pairs(spark, sf, table(spark, sf, "lineitem"))
+
+
 def imports(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, dst): suppliers of returned lines of a month, and a supplier number made of the part's."""
+    """all_imports of the returned lines of a month: the import graph whose paths are few enough to list."""
+    return _pairs(spark, sf, table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_shipdate >= timestamp'1997-03-01' and l_shipdate < timestamp'1997-04-01'"))
+
+
+def _pairs(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
     n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))
-    lines = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_shipdate >= timestamp'1997-03-01' and l_shipdate < timestamp'1997-04-01'")
     parts = table(spark, sf, "part").select("p_partkey")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (F.col("p_partkey") % F.col("n")).alias("dst")).distinct()
 
@@ -77,8 +89,7 @@ def methods(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------------- files with classes and functions
 BRANDS_SQL = """
-sold AS (SELECT DISTINCT l_suppkey AS path, p_brand AS brand, p_type AS kind, l_returnflag AS flag FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate >= TIMESTAMP '1997-03-01' AND l_shipdate < TIMESTAMP '1997-04-01'),
+sold AS (SELECT DISTINCT l_suppkey AS path, p_brand AS brand, p_type AS kind, l_returnflag AS flag FROM lineitem JOIN part ON l_partkey = p_partkey),
 classes AS (SELECT DISTINCT path, brand AS name FROM sold WHERE flag = 'R'),
 functions AS (SELECT DISTINCT path, kind AS name FROM sold WHERE flag = 'N'),
 marks AS (SELECT DISTINCT path, flag AS kind FROM sold WHERE kind LIKE '%A%'),
@@ -86,9 +97,8 @@ allfiles AS (SELECT s_suppkey AS path FROM supplier)"""
 
 
 def brands(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """files, classes, functions and entry marks: suppliers with the brands and types that they sold in a month."""
-    lines = table(spark, sf, "lineitem").where("l_shipdate >= timestamp'1997-03-01' and l_shipdate < timestamp'1997-04-01'")
-    sold = lines.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("path"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("l_returnflag").alias("flag")).distinct()
+    """files, classes, functions and entry marks: suppliers with the brands and types that they sold."""
+    sold = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("path"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("l_returnflag").alias("flag")).distinct()
     return {
         "files": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("path")),
         "classes": sold.where("flag = 'R'").select("path", F.col("brand").alias("name")).distinct(),

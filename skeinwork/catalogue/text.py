@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import names as N
 from ..operators import search as R
 from ..plans import context as X
 from . import shared as S
@@ -26,6 +27,13 @@ MESSAGES = [
 ]
 RESULTS = [(1, "What does app.py import", 0), (2, "What does app.py import", 1), (3, "transitive dependencies of a.py", 1), (4, "reached through b.py", 3), (5, "all files", 9), (6, "depends indirectly", 1)]
 RECORDS = [(1, "src/a.py"), (2, "src/b.py::go"), (3, "src/a.py::run"), (4, "plain"), (5, "docs/x"), (6, "c.py"), (7, "d.py"), (8, "e.py"), (9, "pkg::thing")]
+TYPED = ["small ring", "Ring small", "red widgett", "nothing like it at all"]
+ASKED = "how does the red widget differ from a blu bolt in size"
+# records of results: the names of the columns, and the texts of each column
+CHECKED = [
+    (1, ["f.path"], [["a.py"]]), (2, ["f.path"], [["a.py"]]), (2, ["f.path"], [["b.py"]]), (3, ["f.path", "n"], [["a.py"], ["3"]]), (4, ["files", "name"], [["x.py", "y.py", "z.txt"], ["w.py"]]),
+    (5, ["name"], [["setup"]]), (6, ["f.path"], [[None]]),
+]
 URLS_EXTRA = [(-1, " github.com/user/project.git "), (-2, "https://host.example/u/p//"), (-3, "git@host:u/p"), (-4, "http://host.example/only"), (-5, ""), (-6, "https://host.example/a/b/c?x=1#y")]
 
 
@@ -62,31 +70,33 @@ def _labels(spark):
 
 
 def _context(spark, sf):
-    top = R.top_k(_vectors(spark, sf), _query(spark, sf), 3).join(S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.substring("text", 1, 40).alias("t")), "id")
+    top = R.top_k(_vectors(spark, sf), _query(spark, sf), 3).join(S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.coalesce("text", F.lit("")).alias("t")), "id")
     one = X.chunk_text(F.concat(F.lit("doc/"), F.col("id").cast("string")), F.col("lang"), F.lit(None).cast("string"), F.lit(1), F.lit(None).cast("int"), F.col("score"), F.col("t"))
     return X.section("Code Chunks", top.select(F.struct((-F.col("score")).alias("a"), "id").alias("place"), one.alias("one")), "place", "one")
 
 
 def _names(spark, sf):
-    return S.table(spark, sf, "part").select("p_name").distinct()
+    return S.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.lower("p_name").alias("path"))
 
 
 def _resolve(spark, sf):
     """Typed names against part names: exact, else the most similar of 70 or more."""
-    typed = spark.createDataFrame([("small ring",), ("Ring small",), ("red widgett",), ("nothing like it at all",)], "typed string")
-    pairs = _names(spark, sf).crossJoin(F.broadcast(typed))  # a handful of typed names, all names of the table
-    best = pairs.withColumn("score", F.round(T.token_sort_ratio_udf("typed", "p_name"), 6)).groupBy("typed").agg(F.max(F.struct("score", "p_name")).alias("b"))
-    return best.select("typed", F.when(F.col("b.score") >= 70, F.col("b.p_name")).alias("name"), F.col("b.score").alias("score"))
+    return N.resolve(spark.createDataFrame([(t,) for t in TYPED], "typed string"), _names(spark, sf))
 
 
 def _entities(spark, sf):
     """Names that a question's words and word pairs come close to (75 or more)."""
-    words = F.split(F.lit("how does the red widget differ from a blu bolt in size"), " ")
-    w = spark.range(1).select(words.alias("w"))
-    cand = w.select(F.explode(F.concat("w", F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get(F.col("w"), i), F.get(F.col("w"), i + 1))))).alias("typed"))
-    pairs = _names(spark, sf).crossJoin(F.broadcast(cand.distinct()))  # a question's words, all names of the table
-    best = pairs.withColumn("score", T.token_sort_ratio_udf("typed", "p_name")).groupBy("typed").agg(F.max(F.struct("score", "p_name")).alias("b"))
-    return best.where("b.score >= 75").select(F.col("b.p_name").alias("name")).distinct()
+    return N.entities(spark.createDataFrame([(ASKED,)], "text string"), _names(spark, sf)).select("name")
+
+
+def _checks(spark, sf):
+    results = spark.createDataFrame([(i,) for i in range(1, 8)], "id int")
+    return X.result_checks(results, spark.createDataFrame(CHECKED, "id int, columns array<string>, values array<array<string>>"))
+
+
+def _hybrid(spark, sf):
+    texts = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.hybrid(texts, _bench_query(spark, sf), 10).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
@@ -106,10 +116,13 @@ QUERIES = {
     "stat_format": lambda spark, sf: S.table(spark, sf, "part").groupBy("p_brand").agg(F.sum("p_size").alias("n")).select("p_brand", T.compact_number(F.col("n")).alias("label")),
     "vector_topk": lambda spark, sf: R.top_k(_vectors(spark, sf), _query(spark, sf), 5).withColumnRenamed("id", "vec_id"),
     "vector_topk_filtered": lambda spark, sf: R.top_k_filtered(_vectors(spark, sf), _query(spark, sf), _labels(spark), "label", 5).withColumnRenamed("id", "vec_id"),
-    "rerank_cosine": lambda spark, sf: R.rerank(_vectors(spark, sf).where("id < 50"), _query(spark, sf), 4).withColumnRenamed("id", "vec_id"),
+    "rerank_cosine": lambda spark, sf: R.rerank(_vectors(spark, sf), _query(spark, sf), 4).withColumnRenamed("id", "vec_id"),
     "bm25_topk": lambda spark, sf: R.bm25(_en(spark, sf), _bench_query(spark, sf), 10).withColumnRenamed("id", "doc_id"),
     "rrf_hybrid": lambda spark, sf: R.fuse(R.top_k(_vectors(spark, sf), _query(spark, sf), 20), R.bm25(_en(spark, sf), _bench_query(spark, sf), 20), 10),
     "format_context": _context,
+    "result_checks": _checks,
+    "ask_hybrid": _hybrid,
+    "embed_text": lambda spark, sf: R.embed(S.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), 16).select("id", F.posexplode("embedding").alias("d", "x")),
     "resolve_filename": _resolve,
     "extract_entities": _entities,
 }
@@ -140,7 +153,19 @@ _BM = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^
   st AS (SELECT count(*) AS n_docs, avg(n) AS avg_len FROM sized), terms AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id = 2),
   post AS (SELECT doc_id, n, unnest(ws) AS term FROM sized), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   bm AS (SELECT doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY doc_id)"""
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')"
+_EMBED = """w{0} AS (SELECT id, unnest({3}) AS w FROM {1}), e{0} AS (SELECT id, CAST(('0x' || substr(md5(w), 1, 4)) AS INT) % {2} AS d, CAST(sum(CASE WHEN CAST(('0x' || substr(md5(w), 5, 1)) AS INT) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM w{0} GROUP BY 1, 2)"""
 SQL = {
+    "result_checks": f"SELECT * FROM {_V([(1, True, False, 1, False), (2, False, True, 2, False), (3, False, True, 1, False), (4, False, True, 3, False), (5, False, True, 0, True), (6, True, False, 0, True), (7, False, False, 0, True)], 'id, is_fallback, is_meaningful, file_count, is_incomplete')}",
+    "resolve_filename": f"SELECT typed, name, CAST(score AS DOUBLE) AS score FROM {_V([('small ring', 'small ring', 100.0), ('Ring small', 'small ring', 100.0), ('red widgett', 'red widget', 95.238095), ('nothing like it at all', None, None)], 'typed, name, score')}",
+    "extract_entities": f"SELECT * FROM {_V([('red widget',), ('blue bolt',), ('new bolt',)], 'name')}",
+    "embed_text": f"""WITH {_EMBED.format('', '(SELECT item_id AS id, text FROM benchmark)', 16, _WORDS)}, every AS (SELECT DISTINCT item_id AS id, CAST(unnest(range(16)) AS INT) AS d FROM benchmark)
+      SELECT id, d, coalesce(x, 0.0) AS x FROM every LEFT JOIN e USING (id, d)""",
+    "ask_hybrid": f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), {_EMBED.format('1', 'docs', 64, _WORDS)}, {_EMBED.format('2', '(SELECT 0 AS id, text FROM benchmark WHERE item_id = 2)', 64, _WORDS)},
+      dots AS (SELECT a.id, sum(a.x * b.x) AS ab FROM e1 a JOIN e2 b ON a.d = b.d GROUP BY a.id), own AS (SELECT id, sum(x * x) AS aa FROM e1 GROUP BY id), theirs AS (SELECT sum(x * x) AS bb FROM e2),
+      cosines AS (SELECT docs.id, coalesce(CASE WHEN aa * bb = 0 THEN 0.0 ELSE round(ab / sqrt(aa * bb), 6) END, 0.0) AS score FROM docs LEFT JOIN own USING (id) LEFT JOIN dots USING (id), theirs),
+      {_BM.replace(" WHERE lang = 'en'", "")}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM cosines QUALIFY r <= 20), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20)
+      SELECT coalesce(a.id, b.id) AS doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS rrf FROM a FULL JOIN b ON a.id = b.id ORDER BY rrf DESC, 1 LIMIT 10""",
     "url_normalize": f"WITH {_URL} SELECT page_id, v AS value FROM norm",
     "repo_id_from_url": f"WITH {_URL} SELECT page_id, CASE WHEN len(p) >= 2 THEN p[1] || '-' || p[2] END AS value FROM parts",
     "repo_short_name": f"WITH {_URL} SELECT page_id, CASE WHEN len(p) >= 2 THEN p[-2] || '/' || p[-1] WHEN len(p) = 1 THEN p[1] ELSE '' END AS value FROM parts",
@@ -163,11 +188,11 @@ SQL = {
     "stat_format": "SELECT p_brand, CASE WHEN sum(p_size) >= 1000 THEN printf('%.1f', sum(p_size) / 1000.0) || 'K' ELSE CAST(sum(p_size) AS VARCHAR) END AS label FROM part GROUP BY p_brand",
     "vector_topk": f"WITH {_COS} SELECT vec_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 5",
     "vector_topk_filtered": f"WITH {_COS} SELECT vec_id, score FROM cos WHERE label IN (1, 3) ORDER BY score DESC, vec_id LIMIT 5",
-    "rerank_cosine": f"WITH {_COS} SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM cos WHERE vec_id < 50 ORDER BY score DESC, vec_id LIMIT 4",
+    "rerank_cosine": f"WITH {_COS} SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM cos ORDER BY score DESC, vec_id LIMIT 4",
     "bm25_topk": f"WITH {_BM} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10",
     "rrf_hybrid": f"""WITH {_COS}, {_BM}, a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cos QUALIFY r <= 20), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20)
       SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS rrf FROM a FULL JOIN b ON a.id = b.id ORDER BY rrf DESC, id LIMIT 10""",
     "format_context": f"""WITH {_COS}, top AS (SELECT vec_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 3)
-      SELECT '[Code Chunks]' || chr(10) || string_agg(chr(10) || '[doc/' || vec_id || ' | ' || lang || '.module_level_segment | lines 1-? | score ' || printf('%.4f', score) || ']' || chr(10) || substr(text, 1, 40), chr(10) ORDER BY score DESC, vec_id) AS text
+      SELECT '[Code Chunks]' || chr(10) || string_agg(chr(10) || '[doc/' || vec_id || ' | ' || lang || '.module_level_segment | lines 1-? | score ' || printf('%.4f', score) || ']' || chr(10) || coalesce(text, ''), chr(10) ORDER BY score DESC, vec_id) AS text
       FROM top JOIN documents ON doc_id = vec_id""",
 }

@@ -31,9 +31,22 @@ def _events_tail(spark, sf):
     return U.tail(e, "user_id", "event_id", 16)
 
 
+def _failures(spark, sf):
+    """Errors as failed cleanups."""
+    return S.table(spark, sf, "events").where("event_type = 'error'").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("failures"))
+
+
+def _results(spark, sf):
+    """A cleanup's results by user: purchases as removed, sign-ups as failed, clicks as not there."""
+    e = S.table(spark, sf, "events").groupBy(F.col("user_id").alias("key")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"))
+    return e.where("kind in ('purchase', 'signup', 'click')").select("key", F.when(F.col("kind") == "purchase", True).when(F.col("kind") == "signup", False).alias("removed"))
+
+
 QUERIES = {
+    "cleanup_order": lambda spark, sf: U.cleanup_order(_log(spark, sf), _failures(spark, sf)),
+    "cleanup_failures": lambda spark, sf: U.after_cleanup(_failures(spark, sf), _results(spark, sf)),
     "last_activity": lambda spark, sf: U.last_activity(_log(spark, sf)),
-    "inactive_users": lambda spark, sf: U.inactive(_log(spark, sf), 240),
+    "inactive_users": lambda spark, sf: U.inactive(_log(spark, sf), 3),
     "next_cleanup": lambda spark, sf: U.next_cleanup(_log(spark, sf), 3),
     "activity_sessions": lambda spark, sf: U.sessions(_log(spark, sf)),
     "activity_report": lambda spark, sf: U.activity_report(_log(spark, sf)),
@@ -48,9 +61,14 @@ QUERIES = {
 _TAIL = """SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY turn) AS text
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= {0} GROUP BY conv_id"""
 _KEYS = "keys AS (SELECT DISTINCT conv_id || ':' || role AS key FROM conversations)"
+_FAILED = "failed AS (SELECT user_id AS key, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY user_id)"
 SQL = {
+    "cleanup_order": f"""WITH {_FAILED}, idle AS (SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 3 HOURS)
+      SELECT key, last_seen, coalesce(failures, 0) AS failures, CAST(row_number() OVER (ORDER BY coalesce(failures, 0), last_seen, key) AS INT) AS turn FROM idle LEFT JOIN failed USING (key)""",
+    "cleanup_failures": f"""WITH {_FAILED}, kinds AS (SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id), every AS (SELECT key, kind, coalesce(failures, 0) AS n FROM kinds LEFT JOIN failed USING (key))
+      SELECT key, n + CASE WHEN kind = 'signup' THEN 1 ELSE 0 END AS failures FROM every WHERE kind NOT IN ('purchase', 'click') AND n + CASE WHEN kind = 'signup' THEN 1 ELSE 0 END > 0""",
     "last_activity": "SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id",
-    "inactive_users": "SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 240 HOURS",
+    "inactive_users": "SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 3 HOURS",
     "next_cleanup": "SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 3 HOURS ORDER BY last_seen, key LIMIT 1",
     "activity_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
       s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id AS key, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, session""",

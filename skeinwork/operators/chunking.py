@@ -53,23 +53,26 @@ def cap_text(text: Column, most: int = MAX_CHARS) -> Column:
 def file_chunks(files: DataFrame) -> DataFrame:
     """Chunks of parsed files (path, content, classes, functions as ``sources.code`` gives them).
 
-    Classes and functions that aren't methods are cut into line windows (a function starts at its decorators); the other
-    lines form module segments, whose text is the slice from the first line to the last.
+    Classes and functions that aren't methods are cut into line windows (a function starts at its decorators), which go by
+    the class's or function's name, with ``_part_`` and a number if there are several; the other lines form module segments,
+    whose text is the slice from the first line to the last.
     """
     lines = files.select("path", F.split("content", "\n").alias("lines"), "classes", "functions")
     of_class = lines.select("path", "lines", F.explode("classes").alias("d"), F.col("functions").alias("all"))
     methods = F.transform(F.filter("all", lambda f: f.class_name == F.col("d.name")), lambda f: f["name"])
-    of_class = of_class.select("path", "lines", F.col("d.name").alias("class_name"), F.lit(None).cast("string").alias("function_name"), F.lit("class").alias("chunk_type"), (F.col("d.line_start") - 1).alias("lo"), F.col("d.line_end").alias("hi"), methods.alias("methods"))
+    of_class = of_class.select("path", "lines", F.col("d.name").alias("class_name"), F.col("d.name").alias("function_name"), F.lit("class").alias("chunk_type"), (F.col("d.line_start") - 1).alias("lo"), F.col("d.line_end").alias("hi"), methods.alias("methods"))
     own = lines.select("path", "lines", F.explode(F.filter("functions", lambda f: f.class_name.isNull())).alias("d"))
     above = F.reverse(F.slice("lines", F.lit(1), F.greatest(F.col("d.line_start") - 1, F.lit(0))))
     plain = F.array_position(F.transform(above, lambda x: ~F.ltrim(x).startswith("@")), True)
     lead = F.when(plain > 0, plain - 1).otherwise(F.size(above)).cast("int")
     none = F.lit(None).cast("array<string>")
     of_function = own.select("path", "lines", F.lit(None).cast("string").alias("class_name"), F.col("d.name").alias("function_name"), F.lit("function").alias("chunk_type"), (F.col("d.line_start") - 1 - lead).alias("lo"), F.col("d.line_end").alias("hi"), none.alias("methods"))
-    defined = of_class.union(of_function).withColumn("w", F.explode(windows(F.col("hi") - F.col("lo")))).select("path", "lines", "class_name", "function_name", "chunk_type", "methods", (F.col("lo") + F.col("w.start")).alias("start"), (F.col("lo") + F.col("w.end")).alias("end"))
+    cut = of_class.union(of_function).withColumn("ws", windows(F.col("hi") - F.col("lo"))).withColumn("w", F.explode("ws"))
+    part = F.when(F.size("ws") > 1, F.concat(F.col("function_name"), F.lit("_part_"), F.col("w.part").cast("string"))).otherwise(F.col("function_name"))
+    defined = cut.select("path", "lines", "class_name", part.alias("function_name"), "chunk_type", "methods", (F.col("lo") + F.col("w.start")).alias("start"), (F.col("lo") + F.col("w.end")).alias("end"))
     spans = lines.select(F.col("path").alias("id"), F.inline(F.transform(F.concat(F.transform("classes", lambda c: F.struct(c.line_start, c.line_end)), F.transform("functions", lambda f: F.struct(f.line_start, f.line_end))), lambda s: F.struct((s.line_start - 1).alias("start"), s.line_end.alias("end")))))
     module = module_segments(module_lines(files.select(F.col("path").alias("id"), F.col("content").alias("text")), spans))
     rest = module.join(lines.select(F.col("path").alias("id"), "lines"), "id").select(F.col("id").alias("path"), "lines", F.lit(None).cast("string").alias("class_name"), F.lit(None).cast("string").alias("function_name"), F.lit("module").alias("chunk_type"), none.alias("methods"), "start", "end")
     every = defined.unionByName(rest)
     text = cap_text(F.array_join(F.expr("slice(lines, start + 1, end - start)"), "\n"))
-    return every.select("path", "chunk_type", "class_name", "function_name", (F.col("start") + 1).cast("int").alias("line_start"), F.col("end").cast("int").alias("line_end"), "methods", text.alias("text"))
+    return every.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "chunk_type", "class_name", "function_name", (F.col("start") + 1).cast("int").alias("line_start"), F.col("end").cast("int").alias("line_end"), "methods", text.alias("text"))

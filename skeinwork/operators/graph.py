@@ -17,19 +17,26 @@ def simple(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().withColumn("edge_id", F.concat_ws(">", "src", "dst"))
 
 
-def direct(edges: DataFrame, source: Column) -> DataFrame:
+def _at(rows: DataFrame, column: str, node: Column | DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose column is the node: a value, or the value in a frame of one row and column."""
+    if isinstance(node, DataFrame):
+        return rows.join(F.broadcast(node.toDF("wanted")), F.col(column) == F.col("wanted"), how)  # one row
+    return rows.where(F.col(column) == node if how == "left_semi" else F.col(column) != node)
+
+
+def direct(edges: DataFrame, source: Column | DataFrame) -> DataFrame:
     """The targets of source's edges, one row an edge."""
-    return edges.where(F.col("src") == source).select(F.col("dst").alias("node"))
+    return _at(edges, "src", source).select(F.col("dst").alias("node"))
 
 
-def reverse(edges: DataFrame, target: Column) -> DataFrame:
+def reverse(edges: DataFrame, target: Column | DataFrame) -> DataFrame:
     """The sources of target's edges, one row an edge."""
-    return edges.where(F.col("dst") == target).select(F.col("src").alias("node"))
+    return _at(edges, "dst", target).select(F.col("src").alias("node"))
 
 
-def multi_hop(edges: DataFrame, source: Column, via: Column) -> DataFrame:
+def multi_hop(edges: DataFrame, source: Column | DataFrame, via: Column | DataFrame) -> DataFrame:
     """Distinct nodes that source reaches through via."""
-    first = edges.where((F.col("src") == source) & (F.col("dst") == via)).select(F.col("dst").alias("mid")).distinct()
+    first = _at(_at(edges, "src", source), "dst", via).select(F.col("dst").alias("mid")).distinct()
     return first.join(edges, F.col("mid") == F.col("src")).select(F.col("dst").alias("node")).distinct()
 
 
@@ -43,15 +50,15 @@ def most_dependencies(edges: DataFrame, n: int = 5) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("n")).orderBy(F.desc("n"), "node").limit(n)
 
 
-def reachable(edges: DataFrame, source: Column, hops: int = 3) -> DataFrame:
+def reachable(edges: DataFrame, source: Column | DataFrame, hops: int = 3) -> DataFrame:
     """Distinct nodes other than source within so many hops: a frontier of distinct nodes grows hop by hop."""
     links = edges.select("src", "dst").distinct()
-    frontier = links.where(F.col("src") == source).select(F.col("dst").alias("node")).distinct()
+    frontier = _at(links, "src", source).select(F.col("dst").alias("node")).distinct()
     found = [frontier]
     for _ in range(hops - 1):
         frontier = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         found.append(frontier)
-    return reduce(DataFrame.union, found).distinct().where(F.col("node") != source)
+    return _at(reduce(DataFrame.union, found).distinct(), "node", source, "left_anti")
 
 
 def trails(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

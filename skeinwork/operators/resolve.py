@@ -51,7 +51,9 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame) ->
     x = calls.select("caller", "callee", F.element_at(F.split("callee", r"\."), -1).alias("last")).join(owner, "caller", "left")
     x = x.withColumn("method", F.when(F.col("callee").startswith("self."), F.col("last")))
     x = x.join(look(exact_f, "callee", "f1"), "callee", "left").join(look(exact_c, "callee", "c1"), "callee", "left")
-    x = x.join(methods, (x["own_class"] == methods["class_name"]) & (x["method"] == methods["method"]), "left").drop(methods["method"])
+    # one key for both; calls without a class or method have keys of their own, which match nothing and lie in no one place
+    x = x.withColumn("of", F.coalesce(F.concat("own_class", F.lit("\0"), "method"), F.concat(F.lit("\1"), "caller", F.lit("\0"), "callee")))
+    x = x.join(methods.select(F.concat("class_name", F.lit("\0"), "method").alias("of"), "q_self"), "of", "left")
     x = x.join(look(exact_f, "last", "f2"), "last", "left").join(look(exact_c, "last", "c2"), "last", "left")
     kind = F.when(F.col("f1").isNotNull(), "function").when(F.col("c1").isNotNull(), "class").when(F.coalesce("q_self", "f2").isNotNull(), "function").when(F.col("c2").isNotNull(), "class").otherwise("external")
     return x.select("caller", "callee", kind.alias("target_kind"), F.coalesce("f1", "c1", "q_self", "f2", "c2", "callee").alias("target"))
@@ -64,6 +66,19 @@ def resolve_inheritance(inheritance: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def annotate_entries(nodes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(node, is_entry, entry_kind) of every node; entries: node, kind.  Module-level kinds mark no function."""
-    marks = entries.where(~F.col("kind").isin("main_block", "app_runner")).groupBy("node").agg(F.max("kind").alias("entry_kind"))
-    return nodes.join(marks, "node", "left").select("node", F.col("entry_kind").isNotNull().alias("is_entry"), "entry_kind")
+    """(node, is_entry, entry_kind, and entry_confidence if entries have one) of every node; entries: node, kind, confidence.
+    Module-level kinds mark no function; of several kinds the last by name counts, with its confidence."""
+    extra = [F.max_by("confidence", F.struct("kind", "confidence")).alias("entry_confidence")] if "confidence" in entries.columns else []
+    marks = entries.where(~F.col("kind").isin("main_block", "app_runner")).groupBy("node").agg(F.max("kind").alias("entry_kind"), *extra)
+    return nodes.join(marks, "node", "left").select("node", F.col("entry_kind").isNotNull().alias("is_entry"), "entry_kind", *(["entry_confidence"] if extra else []))
+
+
+def reviewed_entries(flagged: DataFrame, reviews: DataFrame, functions: DataFrame) -> DataFrame:
+    """(path, qualified_name, kind, confidence, reason): entry points that a reviewer found in flagged files (path).
+
+    reviews: path, is_entry, kind, confidence, reason, as a language model or any other source gives them.  The entry is
+    the file's first function, or ``main`` in a file without one; the kind is app_runner unless it is given."""
+    first = functions.groupBy("path").agg(F.min_by("qualified_name", "pos").alias("first"))
+    found = reviews.where("is_entry").join(flagged.select("path").distinct(), "path", "left_semi").join(first, "path", "left")
+    kind = F.when(F.length("kind") > 0, F.col("kind")).otherwise(F.lit("app_runner"))
+    return found.select("path", F.coalesce("first", F.concat("path", F.lit("::main"))).alias("qualified_name"), kind.alias("kind"), "confidence", "reason")

@@ -1,5 +1,8 @@
 """Filtered top-k retrieval: cosine over dense vectors, BM25 over words, and reciprocal rank fusion.
 
+A vector of zeros is like nothing: its cosine with any other is 0.  ``embed`` makes vectors without a model: words fall into
+dimensions, with a sign, by a hash.
+
 BM25 has k1 = 1.2 and b = 0.75 over lower-cased words of a to z; fusion adds 1 / (60 + rank).
 """
 
@@ -15,15 +18,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def cosine(a: Column, b: Column, bb: Column | None = None) -> Column:
+    """The cosine of a and b, 0 if either is all zeros; bb: the dot product of b with itself, if it is known."""
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * (dot(b, b) if bb is None else bb))), F.lit(0.0))
+
+
+def top_k(vectors: DataFrame, query: DataFrame, k: int | None = 5) -> DataFrame:
+    """(id, score) of the k vectors (id, embedding) closest to the one row of query (embedding); all of them without k."""
+    q = query.select(F.col("embedding").alias("wanted"), dot(F.col("embedding"), F.col("embedding")).alias("length")).limit(1)
+    scored = vectors.join(F.broadcast(q)).select("id", F.round(cosine(F.col("embedding"), F.col("wanted"), F.col("length")), 6).alias("score"))  # one row: no pairing
+    return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def top_k(vectors: DataFrame, query: DataFrame, k: int = 5) -> DataFrame:
-    """(id, score) of the k vectors (id, embedding) closest to the one row of query (embedding)."""
-    q = query.select(F.col("embedding").alias("wanted")).limit(1)
-    scored = vectors.join(F.broadcast(q)).select("id", F.round(cosine(F.col("embedding"), F.col("wanted")), 6).alias("score"))  # one row: no pairing
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+def embed(texts: DataFrame, dimensions: int = 64) -> DataFrame:
+    """(id, embedding) of texts (id, text): each word adds 1 or -1 to one dimension, both taken from its MD5 sum.
+
+    A text without words (or null) is all zeros; rows that share an id are one text."""
+    digit = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("int")
+    each = texts.select("id", F.explode(words(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n")).withColumn("h", F.md5("w"))
+    signed = each.select("id", (digit("h", 1, 4) % dimensions).alias("d"), F.when(digit("h", 5, 1) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("x"))
+    sums = signed.groupBy("id", "d").agg(F.sum("x").cast("double").alias("x")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return texts.select("id").distinct().join(sums, "id", "left").select("id", dense.alias("embedding"))
 
 
 def top_k_filtered(vectors: DataFrame, query: DataFrame, keep: DataFrame, on: str, k: int = 5) -> DataFrame:
@@ -59,6 +75,13 @@ def bm25(texts: DataFrame, query: Column | DataFrame, k: int | None = 10) -> Dat
     return scored if k is None else scored.orderBy(F.desc("score"), "id").limit(k)
 
 
+def hybrid(texts: DataFrame, question: DataFrame, k: int = 5, depth: int = 20, vectors: DataFrame | None = None) -> DataFrame:
+    """(id, rrf): the best texts (id, text) for the one row of question (text), by embeddings and by BM25, fused.  vectors:
+    the texts' embeddings, if they are kept."""
+    asked = embed(question.select(F.lit(0).alias("id"), "text"))
+    return fuse(top_k(embed(texts) if vectors is None else vectors, asked, depth), bm25(texts, question, depth), k)
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int = 5) -> DataFrame:
     """(id, rrf) of two ranked lists (id, score), each of bounded length."""
     rank = lambda df, name: df.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias(name))

@@ -27,6 +27,22 @@ def next_cleanup(log: DataFrame, hours: int = 3) -> DataFrame:
     return _idle(log, hours).orderBy("last_seen", "key").limit(1).select("key", "last_seen")
 
 
+def cleanup_order(log: DataFrame, failures: DataFrame, hours: int = 3) -> DataFrame:
+    """(key, last_seen, failures, turn): idle keys in the order in which they are cleaned up, those that failed least often
+    first, so that a key that keeps failing doesn't hold up the others.  failures: key, failures."""
+    idle = inactive(log, hours).join(failures.select("key", "failures"), "key", "left").fillna(0, ["failures"])
+    # idle keys are the repositories of one service; they are ordered in one task
+    return idle.withColumn("turn", F.row_number().over(Window.orderBy("failures", "last_seen", "key")))
+
+
+def after_cleanup(failures: DataFrame, results: DataFrame) -> DataFrame:
+    """(key, failures) after results (key, removed): a key that was removed, or wasn't there (null), has none any more; one
+    that couldn't be removed has one more; others keep theirs."""
+    both = failures.select("key", "failures").join(results.groupBy("key").agg(F.max(F.coalesce("removed", F.lit(True))).alias("removed")), "key", "full")
+    n = F.coalesce("failures", F.lit(0)) + F.when(~F.col("removed"), 1).otherwise(0)
+    return both.where("removed is null or not removed").select("key", n.cast("long").alias("failures")).where("failures > 0")
+
+
 def sessions(log: DataFrame, gap: str = "3 hours") -> DataFrame:
     """(key, started, n): visits of a key, apart by at least the gap."""
     return log.groupBy("key", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("key", F.col("session_window.start").alias("started"), "n")

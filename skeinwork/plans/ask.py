@@ -13,9 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PROVIDER_FAILURES, SUBTYPE_KEYWORDS, TEMPLATE_PATTERNS, token_sort_ratio
-from ..operators import graph
+from ..functions.text import PROVIDER_FAILURES, SUBTYPE_KEYWORDS, TEMPLATE_PATTERNS
+from ..operators import graph, names, search
+from . import context as checks
 
+NAMES = ["source", "via", "filename"]  # parameters that are files' names
+# The templates that are tried for each kind of question about the architecture, in order.
 ARCHITECT_PLANS = {
     "request_flow": ["request_flow", "entry_call_chain"], "system_overview": ["system_overview", "entry_call_chain"], "dependency_map": ["dependency_map"],
     "class_interaction": ["class_interaction"], "entry_call_chain": ["entry_call_chain", "request_flow"],
@@ -75,12 +78,19 @@ def route(question: str) -> list[Plan]:
     return []
 
 
-def resolve_name(raw: str, names: list[str], least: float = 70) -> str | None:
-    """raw if it is a name, else the most similar name of a bounded list that is similar enough."""
-    if raw in names:
-        return raw
-    best = max(((token_sort_ratio(raw, n), n) for n in names), default=(0, None), key=lambda x: (x[0], x[1] or ""))
-    return best[1] if best[0] >= least else None
+def known_names(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, path) of files, classes and functions."""
+    return tables["nodes"].where("label in ('File', 'Class', 'Function')").select("name", "path").distinct()
+
+
+def with_known_names(spark: SparkSession, plan: Plan, tables: dict[str, DataFrame]) -> Plan:
+    """plan with each file's name that isn't known replaced by the most similar one, if one is similar enough."""
+    typed = [(v,) for k, v in plan.params.items() if k in NAMES]
+    if not typed:
+        return plan
+    files = tables["nodes"].where("label = 'File'").select("name")
+    found = {r.typed: r.name for r in names.resolve(spark.createDataFrame(typed, "typed string"), files).collect()}
+    return Plan(plan.template, {k: found.get(v) or v if k in NAMES else v for k, v in plan.params.items()})
 
 
 def execute(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
@@ -132,19 +142,41 @@ def execute(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
     raise KeyError(plan.template)
 
 
+def scope(spark: SparkSession, question: str, rows: list[dict], tables: dict[str, DataFrame]) -> list[str]:
+    """The files to look into: those that a meaningful result names, and where it names none those of the question."""
+    seen = checks.checked(rows)
+    files = seen["files"] if seen["is_meaningful"] else []
+    if not files:
+        asked = spark.createDataFrame([(question,)], "text string")
+        files = sorted(r.path for r in names.entities(asked, known_names(tables)).select("path").distinct().collect())
+    return files
+
+
+def retrieve(spark: SparkSession, question: str, tables: dict[str, DataFrame], files: list[str], k: int = 5) -> DataFrame:
+    """(id, path, text, score) of the k best chunks by hybrid search, within the files if they have chunks."""
+    chunks = tables["chunks"].select("id", "path", "text")
+    inside = chunks.where(F.col("path").isin(*files)) if files else chunks
+    chunks = chunks if files and inside.isEmpty() else inside
+    best = search.hybrid(chunks.select("id", "text"), spark.createDataFrame([(question,)], "text string"), k)
+    return best.join(chunks, "id").select("id", "path", "text", F.col("rrf").alias("score")).orderBy(F.desc("score"), "id")
+
+
 def ask(spark: SparkSession, question: str, tables: dict[str, DataFrame], provider: Provider | None = None, history: list[dict] | None = None) -> dict:
-    """question, plans, rows (bounded) and answer; a template without rows falls through to the next plan."""
+    """question, plans, rows (bounded), chunks, sources (files, best first), score (the best chunk's) and answer.
+
+    A template without rows falls through to the next plan; chunks of the files that the rows or the question name are
+    found beside them, and are all there is where no plan has rows."""
     provider, history = provider or Provider(), history or []
-    rows, used = [], []
-    for plan in route(provider.rewrite(question, history)):
+    rows, used, asked = [], [], provider.rewrite(question, history)
+    for plan in route(asked):
+        plan = with_known_names(spark, plan, tables)
         got = [r.asDict() for r in execute(plan, tables).limit(50).collect()]
         if got:
             rows, used = rows + got, [*used, plan]
-    if not rows:
-        from ..operators.search import bm25
-
-        texts = tables["chunks"].select("id", "text")
-        best = bm25(texts, spark.createDataFrame([(question,)], "text string"), 5)
-        rows, used = [r.asDict() for r in best.join(tables["chunks"].select("id", "path", "text"), "id").orderBy(F.desc("score"), "id").collect()], [Plan("retrieval")]
-    context = "\n".join(", ".join(f"{k}: {v}" for k, v in r.items() if v is not None) for r in rows)
-    return {"question": question, "plans": used, "rows": rows, "answer": provider.answer(question, context, history[-8:])}
+    found = [r.asDict() for r in retrieve(spark, asked, tables, scope(spark, asked, rows, tables)).collect()]
+    context = "\n".join(", ".join(f"{k}: {v}" for k, v in r.items() if v is not None) for r in [*rows, *found])
+    named = [*checks.checked(rows)["files"], *(r["path"] for r in found)]
+    return {
+        "question": question, "plans": used or [Plan("retrieval")], "rows": rows or found, "chunks": found, "sources": list(dict.fromkeys(named)),
+        "score": found[0]["score"] if found else None, "answer": provider.answer(question, context, history[-8:]),
+    }

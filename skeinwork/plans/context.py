@@ -40,3 +40,29 @@ def section(title: str, rows: DataFrame, order: str, text: str) -> DataFrame:
     kept = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("x")))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda r: r.x), "\n")
     return kept.select(F.when(F.size("rows") > 0, F.concat(F.lit(f"[{title}]\n"), body)).otherwise(F.lit("")).alias("text"))
+
+
+# ------------------------------------------------------------------------------------------------ checks of results
+FALLBACK_COLUMN, LEAST_FILES = "f.path", 1
+
+
+def file_names(value) -> list[str]:
+    """The Python files that a value of a record names: itself, or its items."""
+    return [x for x in (value if isinstance(value, (list, tuple)) else [value]) if isinstance(x, str) and x.endswith(".py")]
+
+
+def checked(rows: list[dict]) -> dict:
+    """is_fallback, is_meaningful, file_count, is_incomplete and the files of a bounded result."""
+    named = [x for r in rows for v in r.values() for x in file_names(v)]
+    fallback = len(rows) == 1 and list(rows[0]) == [FALLBACK_COLUMN]
+    return {"is_fallback": fallback, "is_meaningful": bool(rows) and not fallback, "file_count": len(named), "is_incomplete": len(named) < LEAST_FILES, "files": sorted(set(named))}
+
+
+def result_checks(results: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, is_fallback, is_meaningful, file_count, is_incomplete) of each result (id); its records: id, columns, values
+    (the names of a record's columns, and a list of texts for each of them)."""
+    files = F.size(F.filter(F.flatten("values"), lambda v: F.coalesce(v.endswith(".py"), F.lit(False))))
+    of = records.groupBy("id").agg(F.count("*").alias("n"), F.sum(files).alias("files"), F.max(F.array_join("columns", "|")).alias("names"))
+    fallback = (F.col("n") == 1) & (F.col("names") == FALLBACK_COLUMN)
+    out = results.select("id").join(of, "id", "left").fillna(0, ["n", "files"]).fillna("", ["names"])
+    return out.select("id", fallback.alias("is_fallback"), ((F.col("n") > 0) & ~fallback).alias("is_meaningful"), F.col("files").alias("file_count"), (F.col("files") < LEAST_FILES).alias("is_incomplete"))

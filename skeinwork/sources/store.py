@@ -1,7 +1,8 @@
 """A property graph as Parquet: one table for each kind of node and one for edges, partitioned by repo_id.
 
-A table is written whole under a new version folder and becomes current by a marker file written last, so that a reader
-never sees half an index; building again replaces the repository's version.
+A table is written whole under a new version folder and becomes current by a marker file written last.  Markers are
+numbered and the last one counts, so a reader finds a whole index at any time.  Building again makes a new version; of the
+old ones the last stays, for readers that have begun with it.
 """
 
 from __future__ import annotations
@@ -16,24 +17,42 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _markers(spark: SparkSession, root: str, repo_id: str) -> list[str]:
+    """The names of a repository's markers, oldest first: a number and a version."""
+    fs, p = _fs(spark, f"{root}/{repo_id}/markers")
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def save(spark: SparkSession, root: str, repo_id: str, tables: dict[str, DataFrame]) -> None:
-    """Write the tables of a repository and make them current."""
+    """Write the tables of a repository, make them current and remove versions before the last."""
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{repo_id}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root}/{repo_id}/CURRENT")
+    old = _markers(spark, root, repo_id)
+    number = int(old[-1].partition("-")[0]) + 1 if old else 0
+    fs, p = _fs(spark, f"{root}/{repo_id}/markers/{number:012d}-{version}")
+    fs.create(p, False).close()
+    for marker in old[:-1]:
+        for gone in (f"markers/{marker}", marker.partition("-")[2]):
+            fs.delete(_fs(spark, f"{root}/{repo_id}/{gone}")[1], True)
 
 
 def exists(spark: SparkSession, root: str, repo_id: str) -> bool:
-    fs, p = _fs(spark, f"{root}/{repo_id}/CURRENT/_SUCCESS")
-    return fs.exists(p)
+    return bool(_markers(spark, root, repo_id))
 
 
 def load(spark: SparkSession, root: str, repo_id: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/{repo_id}/CURRENT").first()[0]
+    version = _markers(spark, root, repo_id)[-1].partition("-")[2]
     return spark.read.parquet(f"{root}/{repo_id}/{version}/{name}")
 
 
+def reset(spark: SparkSession, root: str, repo_id: str, tables: dict[str, DataFrame]) -> int:
+    """Remove what is there and save the tables anew; the number of nodes that were there."""
+    n = delete(spark, root, repo_id)
+    save(spark, root, repo_id, tables)
+    return n
+
+
 def delete(spark: SparkSession, root: str, repo_id: str, counted: str = "nodes") -> int:
     """Remove a repository; the number of its nodes.  A repository that isn't there counts as removed."""
     n = load(spark, root, repo_id, counted).count() if exists(spark, root, repo_id) else 0

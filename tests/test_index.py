@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skeinwork.catalogue.code import FILES
 from skeinwork.functions import text as T
 from skeinwork.operators import chunking as K
+from skeinwork.operators import names as N
+from skeinwork.operators import search
 from skeinwork.plans import ask
 from skeinwork.sources import code, index, store
 from skeinwork.streaming import activity
@@ -25,6 +27,8 @@ def test_edges(tables):
     assert ("INSTANTIATES", "app.py::go", "app.py::Service") in got
     assert ("CALLS_EXTERNAL", "app.py::go", "os.getcwd") in got
     assert ("INHERITS_FROM", "app.py::Service", "pkg/models.py::Base") in got and ("INHERITS_EXTERNAL", "pkg/models.py::User", "dict") in got
+    assert ("CONTAINS", "repo", "app.py") in got and ("IMPORTS_SYMBOL", "app.py", "app.py#os#os") in got
+    assert {r.line for r in tables["edges"].where("type = 'INHERITS_FROM' and src = 'app.py::Service'").collect()} == {9}
     assert ("HAS_METHOD", "app.py::Service", "app.py::Service.run") in got and ("DEFINES_FUNCTION", "app.py", "app.py::go") in got
 
 
@@ -72,7 +76,14 @@ def test_tree_and_store(spark, tmp_path):
     assert not store.exists(spark, root, "r")
     store.save(spark, root, "r", {"nodes": files.select("path")})
     assert store.exists(spark, root, "r") and store.load(spark, root, "r", "nodes").count() == len(FILES)
-    assert store.delete(spark, root, "r") == len(FILES) and store.delete(spark, root, "r") == 0
+    first = store.load(spark, root, "r", "nodes")
+    store.save(spark, root, "r", {"nodes": files.select("path").limit(2)})
+    assert first.count() == len(FILES) and store.load(spark, root, "r", "nodes").count() == 2  # a reader that has begun goes on
+    for n in (3, 4):
+        store.save(spark, root, "r", {"nodes": files.select("path").limit(n)})
+    assert store.load(spark, root, "r", "nodes").count() == 4 and len(list((tmp_path / "graphs" / "r").iterdir())) == 3  # two versions and the markers
+    assert store.reset(spark, root, "r", {"nodes": files.select("path").limit(1)}) == 4
+    assert store.delete(spark, root, "r") == 1 and store.delete(spark, root, "r") == 0 and not store.exists(spark, root, "r")
 
 
 def test_failover():
@@ -84,6 +95,45 @@ def test_failover():
     assert both.answer("q", "context", []) == "context" and both.used_second
 
 
+def test_questions_find_names_and_files(spark, tables):
+    """Names that aren't quite right resolve, files of the graph's rows scope the chunks, and answers have sources."""
+    got = ask.ask(spark, "What does aps.py import", tables)
+    assert {r["file"] for r in got["rows"]} == {"util/text.py", "pkg/models.py"} and got["plans"] == [ask.Plan("direct_imports", {"filename": "app.py"})]
+    assert {c["path"] for c in got["chunks"]} <= {"util/text.py", "pkg/models.py"} and set(got["sources"]) == {"util/text.py", "pkg/models.py"} and got["score"] > 0
+    lone = ask.ask(spark, "tell me of helpr please", tables)
+    assert lone["plans"] == [ask.Plan("retrieval")] and {c["path"] for c in lone["chunks"]} == {"util/text.py"} and lone["rows"] == lone["chunks"]
+    assert ask.ask(spark, "zzz qqq", tables)["sources"]
+    assert ask.ask(spark, "zzz qqq", {**tables, "chunks": tables["chunks"].limit(0)})["score"] is None
+
+
+def test_names_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 6)))
+    known = sorted({" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(300)})
+    typed = sorted({" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(60)} | set(known[:3]) | {""})
+    got = {x.typed: (x.name, x.score) for x in N.resolve(spark.createDataFrame([(t,) for t in typed], "typed string"), spark.createDataFrame([*((n,) for n in known), (None,)], "name string")).collect()}
+    for t in typed:
+        best = max((round(T.token_sort_ratio(t, n), 6), n) for n in known)
+        assert got[t] == ((t, 100.0) if t in known else (best[1], best[0]) if best[0] >= 70 else (None, None)), t
+
+
+def test_vectors_of_zeros(spark):
+    vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0])], "id int, embedding array<double>")
+    query = lambda *v: spark.createDataFrame([(list(v),)], "embedding array<double>")
+    assert [(r.id, r.score) for r in search.top_k(vectors, query(2.0, 0.0)).collect()] == [(2, 1.0), (1, 0.0), (3, -1.0)]
+    assert {r.score for r in search.top_k(vectors, query(0.0, 0.0)).collect()} == {0.0}
+    made = {r.id: r.embedding for r in search.embed(spark.createDataFrame([(1, "a b a"), (2, None), (3, "12 ..")], "id int, text string"), 8).collect()}
+    assert sum(map(abs, made[1])) in (1.0, 3.0) and made[2] == made[3] == [0.0] * 8
+
+
+def test_long_definitions_go_by_numbered_parts(spark):
+    body = "class Big:\n" + "".join(f"    x{i} = {i}\n" for i in range(230)) + "\n\ndef one():\n    pass\n"
+    chunks = index.build(spark, spark.createDataFrame([("a/big.py", body)], "path string, content string"))["chunks"].orderBy("line_start").collect()
+    assert [(c.function_name, c.line_start, c.line_end, c.filename) for c in chunks] == [("Big_part_0", 1, 100, "big.py"), ("Big_part_1", 96, 195, "big.py"), ("Big_part_2", 191, 231, "big.py"), ("one", 234, 235, "big.py")]
+
+
 def test_token_sort_ratio():
     assert T.token_sort_ratio("b a", "A b") == 100 and T.token_sort_ratio("abc", "xyz") == 0
 
