@@ -14,7 +14,7 @@ which it is read within a sentence.  Items shorter than a window are one window
 
 Defined results: null and empty texts have no windows; an item
 without counting windows is found by its values only, and if it has fewer than LITERALS of them not at all; rows that share a
-doc_id are one document; rows without doc_id or item_id are left out; empty tables give an empty result; extra columns
+doc_id are one document, whose rows' windows and words lie at the same places; rows without doc_id or item_id are left out; empty tables give an empty result; extra columns
 are left alone.
 """
 
@@ -160,47 +160,3 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark, C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-_UNITS = ", ".join(f"'{u}'" for u in UNITS)
-SQL = f"""
-WITH raws AS (
-  SELECT 0 AS src, doc_id AS id, regexp_extract_all(coalesce(text, ''), '{PATTERN.replace("'", "''")}') AS raw FROM documents WHERE doc_id IS NOT NULL
-  UNION ALL
-  SELECT 1, item_id, regexp_extract_all(coalesce(text, ''), '{PATTERN.replace("'", "''")}') FROM benchmark WHERE item_id IS NOT NULL
-), each AS (
-  SELECT src, id, unnest(raw) AS v, unnest(range(len(raw))) AS i FROM raws
-), prev AS (
-  SELECT *, lag(v) OVER (PARTITION BY src, id ORDER BY i) AS p FROM each
-), typed AS (
-  SELECT src, id, i, v, CASE WHEN v IN ('.', '!', '?') THEN NULL
-    WHEN v >= '0' AND v < ':' THEN '<num>'
-    WHEN p IS NOT NULL AND p >= '0' AND p < ':' AND lower(v) IN ({_UNITS}) THEN '<unit>'
-    WHEN p IS NOT NULL AND substr(v, 1, 1) BETWEEN 'A' AND 'Z' AND substr(v, 2, 1) BETWEEN 'a' AND 'z' AND p NOT IN ('.', '!', '?') THEN '<name>'
-    ELSE lower(v) END AS t FROM prev
-), toks AS (
-  SELECT src, id, lower(v) AS v, t, row_number() OVER (PARTITION BY src, id ORDER BY i) - 1 AS ix,
-    count(*) OVER (PARTITION BY src, id) AS n FROM typed WHERE t IS NOT NULL
-), wins AS (
-  SELECT src, id, ix, n, count(*) OVER w AS size, string_agg(t, ' ') OVER w AS key,
-    sum(CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN 0 ELSE 1 END) OVER w AS plain
-  FROM toks WINDOW w AS (PARTITION BY src, id ORDER BY ix ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)
-), wanted AS (
-  SELECT id AS item_id, key, ix AS bpos, count(*) OVER (PARTITION BY id) AS total FROM wins
-  WHERE src = 1 AND size = least(n, {WINDOW}) AND plain >= least(n, {LITERALS})
-), hits AS (
-  SELECT DISTINCT d.id AS doc_id, b.item_id, d.ix AS pos, b.bpos, b.total FROM wins d JOIN wanted b ON d.key = b.key WHERE d.src = 0 AND d.size = {WINDOW}
-), held AS (
-  SELECT doc_id, item_id, total, count(DISTINCT bpos) AS n_matched FROM hits GROUP BY ALL HAVING count(DISTINCT bpos) * 100 >= total * {SHARE}
-), covered AS (
-  SELECT DISTINCT h.doc_id, h.item_id, s.t, s.v, s.ix + h.pos - h.bpos AS dat FROM hits h JOIN held USING (doc_id, item_id)
-  JOIN toks s ON s.src = 1 AND s.id = h.item_id AND s.ix >= h.bpos AND s.ix < h.bpos + {WINDOW} WHERE s.t IN ('<num>', '<unit>', '<name>')
-), per_value AS (
-  SELECT c.doc_id, c.item_id, c.t, c.v, count(DISTINCT d.v) AS kinds, max(CASE WHEN d.v <> c.v THEN 1 ELSE 0 END) AS changed
-  FROM covered c JOIN toks d ON d.src = 0 AND d.id = c.doc_id AND d.ix = c.dat AND d.t = c.t GROUP BY ALL
-), slots AS (
-  SELECT doc_id, item_id, count(*) AS n_slots, count(*) FILTER (kinds = 1) AS n_consistent, CAST(sum(changed) AS BIGINT) AS n_changed FROM per_value GROUP BY ALL
-)
-SELECT doc_id, item_id, total AS n_windows, n_matched, coalesce(n_slots, 0) AS n_slots, coalesce(n_consistent, 0) AS n_consistent, coalesce(n_changed, 0) AS n_changed
-FROM held LEFT JOIN slots USING (doc_id, item_id) WHERE 2 * coalesce(n_consistent, 0) >= coalesce(n_slots, 0)
-"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, planes, quality, secrets, sharding, substrings, toxicity, warc
+from . import decontaminate, minhash, packing, planes, quality, secrets, sharding, substrings, template_sql, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_plane_files": planes.op10_plane_files,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_template_decontamination": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_template_decontamination": template_sql.SQL}

@@ -231,6 +231,29 @@ def test_items_of_numbers_and_first_words(spark):
     assert sorted((r.doc_id, r.item_id, r.n_changed) for r in found) == [(1, 1, 0), (2, 2, 0), (3, 2, 0), (6, 3, 0), (7, 2, 1), (8, 5, 0)]
 
 
+def test_leaks_equal_sql_on_odd_items(spark):
+    """Short items, first words as names, items of numbers, several copies with different fillers: the rows of the SQL."""
+    import duckdb
+    import pandas as pd
+    from skeinwork.llm import template_sql
+
+    items = [(1, QUESTION), (2, "What is the capital of France?"), (3, "Add 5 to 6 and 7 and 8 and 9 and then 10"), (4, "name the five rivers now"), (5, "Compute 12 + 30 - 7 * 4 + 18 = ?"), (6, None), (7, ""), (8, "alone"), (9, prose(40, 77))]
+    other = QUESTION.replace("12", "7").replace("30", "44").replace("5 kg", "9 g").replace("Alice", "Mona")
+    third = QUESTION.replace("12", "8").replace("30", "45").replace("Alice", "Vera")
+    rows = [
+        (1, f"{QUESTION} {other}"), (2, f"{other} {prose(30, 3)}. {third} {QUESTION}"), (3, "Please name the five rivers now, will you. Name The Five rivers now"), (4, "Question: What is the capital of Spain? What is the capital of France?"),
+        (5, "Task Add 5 to 6 and 7 and 8 and 9 and then 10. Add 1 to 2 and 3 and 4 and 5 and then 6"), (6, None), (7, ""), (8, "So: Compute 12 + 30 - 7 * 4 + 18 = ? alone"), (None, QUESTION), (9, prose(20, 1) + ". " + prose(40, 77) + " " + prose(40, 77)),
+        (10, "Alice has 12 apples and buys 30 more apples at the big store"), (11, f"{third} {other} {third}"),
+    ]
+    con = duckdb.connect()
+    for name, columns, data in (("documents", ["doc_id", "text"], rows), ("benchmark", ["item_id", "text"], items)):
+        con.register(name, pd.DataFrame(data, columns=columns).astype({columns[0]: "Int64"}))
+    expected = sorted(con.execute(template_sql.SQL).fetchall())
+    found = decontaminate.leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert found.columns == [d[0] for d in con.description] and sorted(map(tuple, found.collect())) == expected
+    assert {(1, 1), (2, 1), (3, 4), (4, 2), (5, 3), (8, 5), (8, 8), (9, 9), (11, 1)} <= {r[:2] for r in expected} and not {r[0] for r in expected} & {6, 7}
+
+
 # ------------------------------------------------------------------------------------------------ op5
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
