@@ -9,6 +9,7 @@ encoded whole by the library, which gives such names their own ids.  The vocabul
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 
@@ -43,11 +44,14 @@ class Encoder:
             spec = json.load(f)
         self.space = "" if any(p.get("type") == "Split" for p in spec["pre_tokenizer"].get("pretokenizers", [])) else self.letters[32]
         self.special = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        self.opening = re.match(r"[^\w\s]*", os.path.commonprefix(self.special))[0]  # marks that all of them begin with
         self.limit = cache
         self.chunks: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bool:
+        if self.opening not in text:
+            return False
         low = text.lower()
         return any(name in low for name in self.special)
 

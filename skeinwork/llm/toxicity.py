@@ -8,7 +8,8 @@ The words around a hit tell quotation from abuse: quote marks or reporting verbs
 A logistic regression over these counts gives the score.
 
 Only rows whose crc32(doc_id as text) mod 4 is not 2 are learned from, and of those a bounded sample (MAX_TOXIC and
-MAX_CLEAN texts, by a hash of doc_id).
+MAX_CLEAN texts, by a hash of doc_id).  The lexicon, part of that model, has at most MAX_TERMS entries, those of most toxic
+texts of the sample; rarer ones are left to the words around them.
 
 Defined results: a null or empty text gets the score of a text without hits; without labelled rows of both kinds the
 lexicon is empty and every score is the share of toxic rows (0 without any); rows that share a doc_id are scored row by
@@ -31,7 +32,7 @@ from ..runtime import map_arrow
 from . import common as C
 
 MAX_TOXIC, MAX_CLEAN = 2_500, 5_000  # bound on the labelled texts that are learned from
-MAX_TERMS = 200
+MAX_TERMS = 200  # bound on the lexicon: the entries that most toxic texts of the sample have
 MIN_STEM, FUZZY_FROM = 4, 6
 NEAR = 5  # words on either side that make up a hit's context
 THRESHOLD = 0.3
