@@ -185,8 +185,9 @@ class _Search:
     def rest(self, live: DataFrame) -> DataFrame:
         """All pairs (a, b) of texts of ``live`` in different components that may reach the threshold; see the module's 4."""
         of = live.select("doc_id", "c").distinct()
-        sets = C.table(self.spark, self.sets.join(of, "doc_id"), "rest")
-        each = sets.select("doc_id", F.xxhash64("shingles").alias("v"), "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+        sets = self.sets.join(of, "doc_id").select("doc_id", F.xxhash64("shingles").alias("v"), "c", F.size("shingles").alias("n"), "shingles")
+        sets = C.table(self.spark, sets, "rest")  # with v and n, which beside explode would be worked out for every shingle
+        each = sets.select("doc_id", "v", "c", "n", F.explode("shingles").alias("t"))
         shared = each.groupBy("t").agg(F.count("*").alias("df"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t", "df")
         known = C.table(self.spark, each.join(C.table(self.spark, shared, "shared"), "t").select("doc_id", "v", "c", "n", "df", "t"), "shingles")
         ranked = known.groupBy("doc_id", "v", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
