@@ -21,13 +21,13 @@ from skeinwork.llm.tokens import default_path
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the isolation forest keep."""
     kept = quality.judge(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("doc_id").distinct()
-    return docs.join(common.table(spark, kept, "kept"), "doc_id", "left_semi").select(*docs.columns)
+    return minhash.texts_of(docs, common.table(spark, kept, "kept")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
     kept = minhash.near_duplicates(spark, docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(common.table(spark, kept, "kept"), "doc_id", "left_semi").select(*docs.columns)
+    return minhash.texts_of(docs, common.table(spark, kept, "kept")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
