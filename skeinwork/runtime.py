@@ -11,7 +11,11 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH, UNSET = "4m", ("67108864b", "64m", "64MB")  # the session's own bound holds, but for Spark's default of 64 MB
 _shipped: set[str] = set()
+_caches: list[dict] = []
+_running: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,8 +35,13 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """df.mapInArrow with this package importable on the other side; a worker that waits for its next task holds no freed memory."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_CONF) in UNSET:
+        df.sparkSession.conf.set(BATCH_CONF, BATCH)
+
+    kind = f"{fn.__module__}.{fn.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(kind)
         try:
             yield from fn(batches)
         finally:
@@ -41,6 +50,20 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def cache(of: dict) -> dict:
+    """of, emptied when this worker turns to another kind of task."""
+    _caches.append(of)
+    return of
+
+
+def begin(kind: str) -> None:
+    """Empty the caches of the kind of task that this worker ran before, if it was another one."""
+    if _caches and _running.get("kind") != kind:
+        for c in _caches:
+            c.clear()
+    _running["kind"] = kind
+
+
 def give_back() -> None:
     """Return this process's freed memory to the system, where its allocators can."""
     pa.default_memory_pool().release_unused()
