@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import cache
+
 BLOCK = 1 << 20
-TARGET_BYTES, ROWS_AT_ONCE = 2 << 20, 20_000
+TARGET_BYTES, ROWS_AT_ONCE = 1 << 19, 20_000
 U64 = np.uint64
 _folders: dict[str, object] = {}
 
@@ -112,7 +114,7 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = cache({})
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

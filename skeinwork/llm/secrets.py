@@ -362,7 +362,7 @@ def scan(docs: DataFrame, field: Field, redact: bool = False, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-        for b in batches:
+        for b in C.small_batches(batches, text):
             base, every, texts = [], [], []
             for t in b.column(at).to_pylist():
                 x, y = all_spans(t or "", field)

@@ -15,6 +15,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from .. import runtime
+
 CACHE = 700_000
 _EDGE = re.compile(r"(?<=\S)(?=[ \n])")
 _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")  # ASCII marks but the apostrophe
@@ -140,7 +142,7 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = runtime.cache({})
 
 
 def encoder(path: str) -> Encoder:
