@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, decontaminate, minhash, packing, planes, quality, secrets, sharding, substrings, template_sql, toxicity, vector_sql, vectors, warc
+from . import codes, decontaminate, minhash, packing, planes, quality, repair, secrets, sharding, substrings, template_sql, toxicity, vector_sql, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_plane_files": planes.op10_plane_files,
     "op11_term_topk": vectors.op11_term_topk,
     "op12_annular_codes": codes.op12_annular_codes,
+    "op13_ranked_repair": repair.op13_ranked_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_template_decontamination": template_sql.SQL, "op11_term_topk": vector_sql.TOP, "op12_annular_codes": vector_sql.CODES}
