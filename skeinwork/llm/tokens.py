@@ -50,6 +50,15 @@ class Encoder:
         self.limit = cache
         self.chunks: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
+        self.ends: dict[str, bool] = {}
+
+    def _ends_word(self, letter: str) -> bool:
+        """Whether marks after a letter or digit are cut off for certain: its normal form has to end in a letter or digit
+        too, as one that ends in a combining mark is joined with what follows."""
+        if letter not in self.ends:
+            normal = letter if self.normal is None else self.normal.normalize_str(letter)
+            self.ends[letter] = letter.isalnum() and normal[-1:].isalnum()
+        return self.ends[letter]
 
     def _whole(self, text: str) -> bool:
         if self.opening not in text:
@@ -84,7 +93,7 @@ class Encoder:
                 self.chunks[w] = None
                 continue
             m = _TAIL.search(w)
-            if m and m.start() and w[m.start() - 1].isalnum():
+            if m and m.start() and self._ends_word(w[m.start() - 1]):
                 split.append((w, w[: m.start()], m[0]))
             else:
                 plain.append(w)
