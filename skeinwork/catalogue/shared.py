@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..operators import search
+from ..sources import retrieval
+
+_stored: dict[tuple[str, str, str], retrieval.Stored] = {}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -16,6 +22,43 @@ def sql_values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + f") AS t({columns})"
 
 
+# ------------------------------------------------------------------------- stored postings and vectors
+def _written(spark: SparkSession, sf: str, name: str, *parts: str) -> retrieval.Stored:
+    """Stored retrieval tables of a folder, each part written once in an application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    stored = _stored.setdefault(key, retrieval.Stored(spark, runtime.scratch(spark, name)))
+    for part in parts:
+        if (*key, part) not in _stored:
+            _WRITERS[name, part](spark, sf, stored.path)
+            _stored[*key, part] = stored
+    return stored
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+_WRITERS = {
+    ("texts", "postings"): lambda spark, sf, path: retrieval.write_postings(_texts(spark, sf), path),
+    ("texts", "vectors"): lambda spark, sf, path: retrieval.write_vectors(search.embed(_texts(spark, sf)), path),
+    ("vectors", "vectors"): lambda spark, sf, path: retrieval.write_vectors(_vectors(spark, sf), path),
+}
+
+
+def stored_texts(spark: SparkSession, sf: str, *parts: str) -> retrieval.Stored:
+    """documents' postings and hashed vectors."""
+    return _written(spark, sf, "texts", *(parts or ("postings", "vectors")))
+
+
+def stored_vectors(spark: SparkSession, sf: str) -> retrieval.Stored:
+    """embeddings in the cells of a quantiser."""
+    return _written(spark, sf, "vectors", "vectors")
+
+
 # ------------------------------------------------------------------------- files that import files: suppliers
 ALL_IMPORTS_SQL = """
 suppliers AS (SELECT count(*) AS n FROM supplier),

@@ -61,10 +61,6 @@ def _bench_query(spark, sf):
     return S.table(spark, sf, "benchmark").where("item_id = 2").select("text")
 
 
-def _en(spark, sf):
-    return S.table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
-
-
 def _labels(spark):
     return spark.createDataFrame([(1,), (3,)], "label int")
 
@@ -95,8 +91,12 @@ def _checks(spark, sf):
 
 
 def _hybrid(spark, sf):
-    texts = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return R.hybrid(texts, _bench_query(spark, sf), 10).withColumnRenamed("id", "doc_id")
+    return S.stored_texts(spark, sf).hybrid(_bench_query(spark, sf), 10).withColumnRenamed("id", "doc_id")
+
+
+def _rrf(spark, sf):
+    close = S.stored_vectors(spark, sf).top_k(_query(spark, sf), 20)
+    return R.fuse(close, S.stored_texts(spark, sf, "postings").bm25(_bench_query(spark, sf), 20), 10)
 
 
 QUERIES = {
@@ -117,8 +117,10 @@ QUERIES = {
     "vector_topk": lambda spark, sf: R.top_k(_vectors(spark, sf), _query(spark, sf), 5).withColumnRenamed("id", "vec_id"),
     "vector_topk_filtered": lambda spark, sf: R.top_k_filtered(_vectors(spark, sf), _query(spark, sf), _labels(spark), "label", 5).withColumnRenamed("id", "vec_id"),
     "rerank_cosine": lambda spark, sf: R.rerank(_vectors(spark, sf), _query(spark, sf), 4).withColumnRenamed("id", "vec_id"),
-    "bm25_topk": lambda spark, sf: R.bm25(_en(spark, sf), _bench_query(spark, sf), 10).withColumnRenamed("id", "doc_id"),
-    "rrf_hybrid": lambda spark, sf: R.fuse(R.top_k(_vectors(spark, sf), _query(spark, sf), 20), R.bm25(_en(spark, sf), _bench_query(spark, sf), 20), 10),
+    "vector_cells_topk": lambda spark, sf: S.stored_vectors(spark, sf).top_k(_query(spark, sf), 5).withColumnRenamed("id", "vec_id"),
+    "vector_cells_filtered": lambda spark, sf: S.stored_vectors(spark, sf).top_k(_query(spark, sf), 5, _labels(spark), "label").withColumnRenamed("id", "vec_id"),
+    "bm25_topk": lambda spark, sf: S.stored_texts(spark, sf, "postings").bm25(_bench_query(spark, sf), 10).withColumnRenamed("id", "doc_id"),
+    "rrf_hybrid": _rrf,
     "format_context": _context,
     "result_checks": _checks,
     "ask_hybrid": _hybrid,
@@ -149,7 +151,7 @@ _U = {k: "'" + v.replace("'", "''") + "'" for k, v in T.USER_MESSAGES.items()}
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
 _COS = f"""q AS (SELECT embedding AS w FROM embeddings WHERE vec_id = 0),
   cos AS (SELECT vec_id, label, round({_DOT.format('embedding', 'w')} / sqrt({_DOT.format('embedding', 'embedding')} * {_DOT.format('w', 'w')}), 6) AS score FROM embeddings, q)"""
-_BM = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS ws FROM documents WHERE lang = 'en'), sized AS (SELECT doc_id, ws, len(ws) AS n FROM d),
+_BM = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS ws FROM documents), sized AS (SELECT doc_id, ws, len(ws) AS n FROM d),
   st AS (SELECT count(*) AS n_docs, avg(n) AS avg_len FROM sized), terms AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id = 2),
   post AS (SELECT doc_id, n, unnest(ws) AS term FROM sized), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   bm AS (SELECT doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY doc_id)"""
@@ -164,7 +166,7 @@ SQL = {
     "ask_hybrid": f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), {_EMBED.format('1', 'docs', 64, _WORDS)}, {_EMBED.format('2', '(SELECT 0 AS id, text FROM benchmark WHERE item_id = 2)', 64, _WORDS)},
       dots AS (SELECT a.id, sum(a.x * b.x) AS ab FROM e1 a JOIN e2 b ON a.d = b.d GROUP BY a.id), own AS (SELECT id, sum(x * x) AS aa FROM e1 GROUP BY id), theirs AS (SELECT sum(x * x) AS bb FROM e2),
       cosines AS (SELECT docs.id, coalesce(CASE WHEN aa * bb = 0 THEN 0.0 ELSE round(ab / sqrt(aa * bb), 6) END, 0.0) AS score FROM docs LEFT JOIN own USING (id) LEFT JOIN dots USING (id), theirs),
-      {_BM.replace(" WHERE lang = 'en'", "")}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM cosines QUALIFY r <= 20), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20)
+      {_BM}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM cosines QUALIFY r <= 20), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20)
       SELECT coalesce(a.id, b.id) AS doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS rrf FROM a FULL JOIN b ON a.id = b.id ORDER BY rrf DESC, 1 LIMIT 10""",
     "url_normalize": f"WITH {_URL} SELECT page_id, v AS value FROM norm",
     "repo_id_from_url": f"WITH {_URL} SELECT page_id, CASE WHEN len(p) >= 2 THEN p[1] || '-' || p[2] END AS value FROM parts",
@@ -189,6 +191,8 @@ SQL = {
     "vector_topk": f"WITH {_COS} SELECT vec_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 5",
     "vector_topk_filtered": f"WITH {_COS} SELECT vec_id, score FROM cos WHERE label IN (1, 3) ORDER BY score DESC, vec_id LIMIT 5",
     "rerank_cosine": f"WITH {_COS} SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM cos ORDER BY score DESC, vec_id LIMIT 4",
+    "vector_cells_topk": f"WITH {_COS} SELECT vec_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 5",
+    "vector_cells_filtered": f"WITH {_COS} SELECT vec_id, score FROM cos WHERE label IN (1, 3) ORDER BY score DESC, vec_id LIMIT 5",
     "bm25_topk": f"WITH {_BM} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10",
     "rrf_hybrid": f"""WITH {_COS}, {_BM}, a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cos QUALIFY r <= 20), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20)
       SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) AS rrf FROM a FULL JOIN b ON a.id = b.id ORDER BY rrf DESC, id LIMIT 10""",

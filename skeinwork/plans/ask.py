@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PROVIDER_FAILURES, SUBTYPE_KEYWORDS, TEMPLATE_PATTERNS
 from ..operators import graph, names, search
+from ..runtime import written
+from ..sources.retrieval import Stored
 from . import context as checks
 
 NAMES = ["source", "via", "filename"]  # parameters that are files' names
@@ -142,26 +144,30 @@ def execute(plan: Plan, tables: dict[str, DataFrame]) -> DataFrame:
     raise KeyError(plan.template)
 
 
-def scope(spark: SparkSession, question: str, rows: list[dict], tables: dict[str, DataFrame]) -> list[str]:
-    """The files to look into: those that a meaningful result names, and where it names none those of the question."""
+def scope(spark: SparkSession, question: str, rows: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
+    """(path): the files to look into: those that a meaningful result, of bounded size, names, and where it names none those
+    of the question."""
     seen = checks.checked(rows)
-    files = seen["files"] if seen["is_meaningful"] else []
-    if not files:
-        asked = spark.createDataFrame([(question,)], "text string")
-        files = sorted(r.path for r in names.entities(asked, known_names(tables)).select("path").distinct().collect())
-    return files
+    if seen["is_meaningful"] and seen["files"]:
+        return spark.createDataFrame([(f,) for f in seen["files"]], "path string")
+    return names.entities(spark.createDataFrame([(question,)], "text string"), known_names(tables)).select("path").distinct()
 
 
-def retrieve(spark: SparkSession, question: str, tables: dict[str, DataFrame], files: list[str], k: int = 5) -> DataFrame:
-    """(id, path, text, score) of the k best chunks by hybrid search, within the files if they have chunks."""
+def retrieve(spark: SparkSession, question: str, tables: dict[str, DataFrame], files: DataFrame, k: int = 5, stored: Stored | None = None) -> DataFrame:
+    """(id, path, text, score) of the k best chunks by hybrid search, within the files (path) if they have chunks.
+
+    stored: the chunks' postings and vectors; without them they are made for this question."""
     chunks = tables["chunks"].select("id", "path", "text")
-    inside = chunks.where(F.col("path").isin(*files)) if files else chunks
-    chunks = chunks if files and inside.isEmpty() else inside
-    best = search.hybrid(chunks.select("id", "text"), spark.createDataFrame([(question,)], "text string"), k)
+    inside = written(chunks.join(files.select("path").distinct(), "path", "left_semi").select("id"), "scope")
+    keep, asked = None if inside.isEmpty() else inside, spark.createDataFrame([(question,)], "text string")
+    if stored is not None:
+        best = stored.hybrid(asked, k, keep=keep)
+    else:
+        best = search.hybrid((chunks if keep is None else chunks.join(keep, "id", "left_semi")).select("id", "text"), asked, k)
     return best.join(chunks, "id").select("id", "path", "text", F.col("rrf").alias("score")).orderBy(F.desc("score"), "id")
 
 
-def ask(spark: SparkSession, question: str, tables: dict[str, DataFrame], provider: Provider | None = None, history: list[dict] | None = None) -> dict:
+def ask(spark: SparkSession, question: str, tables: dict[str, DataFrame], provider: Provider | None = None, history: list[dict] | None = None, stored: Stored | None = None) -> dict:
     """question, plans, rows (bounded), chunks, sources (files, best first), score (the best chunk's) and answer.
 
     A template without rows falls through to the next plan; chunks of the files that the rows or the question name are
@@ -173,7 +179,7 @@ def ask(spark: SparkSession, question: str, tables: dict[str, DataFrame], provid
         got = [r.asDict() for r in execute(plan, tables).limit(50).collect()]
         if got:
             rows, used = rows + got, [*used, plan]
-    found = [r.asDict() for r in retrieve(spark, asked, tables, scope(spark, asked, rows, tables)).collect()]
+    found = [r.asDict() for r in retrieve(spark, asked, tables, scope(spark, asked, rows, tables), stored=stored).collect()]
     context = "\n".join(", ".join(f"{k}: {v}" for k, v in r.items() if v is not None) for r in [*rows, *found])
     named = [*checks.checked(rows)["files"], *(r["path"] for r in found)]
     return {

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -18,6 +21,28 @@ _caches: list[dict] = []
 _running: dict[str, str] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir, which all executors share; where that is unset and all of them are in this
+    process (tests), below a folder of our own, removed at the end."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if "scratch" not in _running:
+            own = tempfile.TemporaryDirectory(prefix="skeinwork-", ignore_cleanup_errors=True)
+            atexit.register(own.cleanup)
+            _running["scratch"] = own.name
+        root = f"file://{_running['scratch']}"
+    return f"{root.rstrip('/')}/skeinwork-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and what reads it often reads it from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once for each application."""
     sc = spark.sparkContext

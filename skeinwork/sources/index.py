@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_uuid
 from ..operators import chunking, resolve
-from . import code
+from ..runtime import written
+from . import code, retrieval, store
 
 
 def build(spark: SparkSession, files: DataFrame, repo_id: str = "repo", reviews: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -17,7 +18,7 @@ def build(spark: SparkSession, files: DataFrame, repo_id: str = "repo", reviews:
 
     Nodes are Repo, File, Class, Function, Import and ExternalSymbol, with the properties of their label and nulls for the
     others.  reviews: entry points that a reviewer found in flagged files (``resolve.reviewed_entries``)."""
-    parsed = code.parse(files)
+    parsed = written(code.parse(files), "parsed")
     names, imports, classes, functions = (code.facts(parsed, n) for n in ("local_names", "imports", "classes", "functions"))
     calls, bases, entries = (code.facts(parsed, n) for n in ("calls", "inheritance", "entry_points"))
     entries = entries.select("path", "qualified_name", "kind", "confidence", "reason")
@@ -61,6 +62,21 @@ def build(spark: SparkSession, files: DataFrame, repo_id: str = "repo", reviews:
     return {"nodes": nodes, "edges": edges, "chunks": chunks, "imports": imports, "entries": entries, "parsed": parsed}
 
 
+def save(spark: SparkSession, root: str, repo_id: str, tables: dict[str, DataFrame], vectors: DataFrame | None = None) -> None:
+    """Store an index as a new version, with its chunks' postings and vectors (theirs (id, embedding), if a model made some)."""
+
+    def more(path: str) -> None:
+        retrieval.write(spark.read.parquet(f"{path}/chunks").select("id", "text"), f"{path}/retrieval", vectors)
+
+    store.save(spark, root, repo_id, tables, more)
+
+
+def load(spark: SparkSession, root: str, repo_id: str) -> tuple[dict[str, DataFrame], retrieval.Stored]:
+    """The current version's nodes, edges and chunks, and its stored retrieval tables."""
+    path = store.current(spark, root, repo_id)
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "chunks")}, retrieval.Stored(spark, f"{path}/retrieval")
+
+
 def resolve_containment(functions: DataFrame, classes: DataFrame) -> DataFrame:
     """DEFINES_CLASS, DEFINES_FUNCTION and HAS_METHOD edges."""
     none = F.lit(None).cast("int").alias("line")

@@ -8,6 +8,7 @@ old ones the last stays, for readers that have begun with it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,15 @@ def _markers(spark: SparkSession, root: str, repo_id: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def save(spark: SparkSession, root: str, repo_id: str, tables: dict[str, DataFrame]) -> None:
-    """Write the tables of a repository, make them current and remove versions before the last."""
+def save(spark: SparkSession, root: str, repo_id: str, tables: dict[str, DataFrame], more: Callable[[str], None] | None = None) -> None:
+    """Write the tables of a repository, make them current and remove versions before the last.
+
+    more: gets the version's path once its tables are there, and may write others beside them."""
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{repo_id}/{version}/{name}")
+    if more is not None:
+        more(f"{root}/{repo_id}/{version}")
     old = _markers(spark, root, repo_id)
     number = int(old[-1].partition("-")[0]) + 1 if old else 0
     fs, p = _fs(spark, f"{root}/{repo_id}/markers/{number:012d}-{version}")
@@ -41,9 +46,13 @@ def exists(spark: SparkSession, root: str, repo_id: str) -> bool:
     return bool(_markers(spark, root, repo_id))
 
 
+def current(spark: SparkSession, root: str, repo_id: str) -> str:
+    """The path of a repository's current version."""
+    return f"{root}/{repo_id}/{_markers(spark, root, repo_id)[-1].partition('-')[2]}"
+
+
 def load(spark: SparkSession, root: str, repo_id: str, name: str) -> DataFrame:
-    version = _markers(spark, root, repo_id)[-1].partition("-")[2]
-    return spark.read.parquet(f"{root}/{repo_id}/{version}/{name}")
+    return spark.read.parquet(f"{current(spark, root, repo_id)}/{name}")
 
 
 def reset(spark: SparkSession, root: str, repo_id: str, tables: dict[str, DataFrame]) -> int:
