@@ -98,6 +98,9 @@ QUERIES = {
     "most_dependencies_all": lambda spark, sf: G.most_dependencies(S.all_imports(spark, sf)),
     "degree_stats_all": lambda spark, sf: G.degrees(S.files(spark, sf), S.all_imports(spark, sf)),
     "graph_counts_all": lambda spark, sf: G.counts(S.files(spark, sf), S.all_imports(spark, sf)),
+    "dependency_map_all": lambda spark, sf: G.dependency_map(G.simple(S.all_imports(spark, sf)), S.files(spark, sf)),
+    "import_levels": lambda spark, sf: G.longest_levels(S.files(spark, sf), S.imports(spark, sf)),
+    "graph_levels_all": lambda spark, sf: G.longest_levels(S.files(spark, sf), S.all_imports(spark, sf)),
     "node_neighbors": lambda spark, sf: G.neighbours(S.imports(spark, sf), S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("name"))),
     "degree_stats": lambda spark, sf: G.degrees(S.files(spark, sf), S.imports(spark, sf)),
     "graph_roots": lambda spark, sf: G.roots(S.files(spark, sf), S.imports(spark, sf)),
@@ -140,9 +143,6 @@ SQL = {
     "entry_call_chain": f"WITH RECURSIVE {_C}, edges AS (SELECT * FROM calls), {_REC('(SELECT node AS start, kind FROM entries)', ', kind', 6)} SELECT start, kind, array_to_string(chain, '>') AS chain, depth FROM trails ORDER BY depth DESC, start, kind, chain LIMIT 15",
     "request_flow": f"""WITH RECURSIVE {_C}, edges AS (SELECT * FROM calls), {_REC("(SELECT node AS start FROM entries WHERE kind IN ('http_endpoint', 'app_runner'))", '', 6)}
       SELECT start, array_to_string(chain, '>') AS chain, depth FROM trails WHERE node NOT IN (SELECT src FROM calls) OR node IN (SELECT node FROM externals) ORDER BY depth DESC, start, chain LIMIT 10""",
-    "most_dependencies_all": lambda spark, sf: G.most_dependencies(S.all_imports(spark, sf)),
-    "degree_stats_all": lambda spark, sf: G.degrees(S.files(spark, sf), S.all_imports(spark, sf)),
-    "graph_counts_all": lambda spark, sf: G.counts(S.files(spark, sf), S.all_imports(spark, sf)),
     "node_neighbors": f"""WITH {_I}, both_ways AS (SELECT src AS node, 'out' AS direction, dst AS other FROM imports UNION ALL SELECT dst, 'in', src FROM imports)
       SELECT node, direction, other, s_name AS name FROM both_ways JOIN supplier ON s_suppkey = other""",
     "degree_stats": f"""WITH {_I} SELECT node, (SELECT count(*) FROM imports WHERE dst = node) AS n_in, (SELECT count(*) FROM imports WHERE src = node) AS n_out FROM files""",
@@ -176,6 +176,18 @@ SQL = {
     "delete_counts": f"WITH {_I} SELECT src % 5 AS repo, count(DISTINCT src) AS nodes, count(*) AS edges FROM imports GROUP BY 1",
     "dir_groups": "SELECT n_regionkey AS \"group\", min(n_name) AS lowest, max(n_name) AS highest, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) >= 2",
 }
+_LEVELS = """reach AS (SELECT src AS a, dst AS b FROM imports WHERE src <> dst UNION SELECT a, dst FROM reach JOIN imports ON b = src),
+  owner AS (SELECT node, least(node, coalesce(min(r.b), node)) AS c FROM (SELECT node FROM files UNION SELECT src FROM imports UNION SELECT dst FROM imports)
+    LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = node GROUP BY node),
+  links AS (SELECT DISTINCT s.c AS src, d.c AS dst FROM imports JOIN owner s ON s.node = src JOIN owner d ON d.node = dst WHERE s.c <> d.c),
+  far AS (SELECT c, 0 AS level FROM owner WHERE c NOT IN (SELECT dst FROM links) UNION SELECT dst, level + 1 FROM far JOIN links ON c = src)
+  SELECT node, CAST(max(level) AS INT) AS level FROM files JOIN owner USING (node) JOIN far USING (c) GROUP BY node"""
+SQL["import_levels"] = f"WITH RECURSIVE {_I}, {_LEVELS}"
+SQL["graph_levels_all"] = f"WITH RECURSIVE {S.ALL_IMPORTS_SQL}, {_LEVELS}"
+# every trail of the first start through its first four targets, in the order of the chains, which lead to more than are wanted
+SQL["dependency_map_all"] = f"""WITH {S.ALL_IMPORTS_SQL}, {_ID}, h1 AS (SELECT src AS start, dst AS node, src || '>' || dst AS chain, [edge_id] AS used FROM edges WHERE src = (SELECT min(src) FROM edges) ORDER BY src || '>' || dst || '>' LIMIT 4),
+  {", ".join(f"h{k + 1} AS (SELECT start, dst AS node, chain || '>' || dst AS chain, list_append(used, edge_id) AS used FROM h{k} JOIN edges ON src = node AND NOT list_contains(used, edge_id))" for k in (1, 2, 3))}
+  SELECT start, chain, CAST(4 AS INT) AS depth FROM h4 ORDER BY start, chain LIMIT 30"""
 SQL |= {f"{name}_all": SQL[name].replace(_I, S.ALL_IMPORTS_SQL) for name in ("most_dependencies", "degree_stats", "graph_counts")}
 SQL["degree_stats_all"] = f"""WITH {S.ALL_IMPORTS_SQL}, i AS (SELECT dst AS node, count(*) AS n FROM imports GROUP BY dst), o AS (SELECT src AS node, count(*) AS n FROM imports GROUP BY src)
   SELECT node, coalesce(i.n, 0) AS n_in, coalesce(o.n, 0) AS n_out FROM files LEFT JOIN i USING (node) LEFT JOIN o USING (node)"""

@@ -11,6 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
+WIDTH = 4  # prefixes that a search of trails keeps at first, for each one wanted
+COLLECTED = 5_000  # up to so many, prefixes are kept as local rows
+MERGED = 16  # rounds of levels after which their tables are merged
+
 
 def simple(edges: DataFrame) -> DataFrame:
     """(src, dst, edge_id) without parallel edges."""
@@ -80,29 +86,83 @@ def trails(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def longest(paths: DataFrame, n: int, *columns: str) -> DataFrame:
-    """The n longest paths, as text, ties by the whole row."""
-    return paths.select(*columns, F.array_join("chain", ">").alias("chain"), "depth").orderBy(F.desc("depth"), *columns, "chain").limit(n)
+def longest(edges: DataFrame, starts: DataFrame, depth: int, n: int, ends: DataFrame | None = None) -> DataFrame:
+    """(start, further columns of starts, chain, depth): the n longest trails of 1 to depth edges from the starts, as text,
+    ties by the whole row; with ends (node), of those that end there.  Names don't hold the separator ">".
+
+    A bound on the way on is made from the ends back: the nodes from which an end lies exactly so many edges ahead.  Trails
+    of the greatest length are searched first: in each hop only the first prefixes in the order of the result are kept, with
+    their ties, and only those whose bound says that they may still get there.  What isn't kept comes after all that is,
+    whatever it leads to, so the search is whole once it has n trails or has left nothing out; else it is repeated with more
+    prefixes, and then goes on to the next smaller length.  The kept prefixes are few, some times n, whatever the graph is.
+    """
+    spark, extra = edges.sparkSession, [c for c in starts.columns if c != "start"]
+    hop = edges.select(F.col("src").alias("hop_src"), F.col("dst").alias("hop_dst"), F.col("edge_id").cast("string").alias("hop_id"))
+    ahead = [None if ends is None else ends.select("node").distinct()]
+    for k in range(depth):
+        step = hop if ahead[k] is None else hop.join(ahead[k], F.col("hop_dst") == F.col("node"), "left_semi")
+        ahead.append(written(step.select(F.col("hop_src").alias("node")).distinct(), "ahead"))
+    order = ["start", *extra, "key"]
+    first = starts.select("start", *extra, F.col("start").alias("node"), F.col("start").cast("string").alias("chain"), F.array().cast("array<string>").alias("used"))
+    found: list[tuple] = []
+    for length in range(depth, 0, -1):
+        kept, whole, got = WIDTH * n, False, []
+        while not whole and len(got) < n - len(found):
+            level, whole = _search(first, hop, ahead, length, kept, order)
+            got = level.orderBy(*order).limit(n - len(found)).collect()
+            kept *= 8
+        found += [(*(r[c] for c in ["start", *extra, "chain"]), length) for r in got]
+        if len(found) == n:
+            break
+    types = {f.name: f.dataType.simpleString() for f in first.schema}
+    return spark.createDataFrame(found, ", ".join([*(f"`{c}` {types[c]}" for c in ["start", *extra, "chain"]), "depth int"]))
+
+
+def _search(level: DataFrame, hop: DataFrame, ahead: list, length: int, kept: int, order: list[str]) -> tuple[DataFrame, bool]:
+    """The first trails of a length in the order, from the first so many prefixes of each hop, and whether none was left out."""
+    whole = True
+    for k in range(length + 1):
+        if k:
+            level = level.join(hop, F.col("node") == F.col("hop_src")).where(~F.array_contains("used", F.col("hop_id"))).select(
+                *order[:-1], F.col("hop_dst").alias("node"), F.concat("chain", F.lit(">"), F.col("hop_dst").cast("string")).alias("chain"), F.concat("used", F.array("hop_id")).alias("used")
+            )
+        if ahead[length - k] is not None:
+            level = level.join(ahead[length - k], "node", "left_semi")
+        # a prefix compares as the trails that it leads to do, so the separator is part of its key
+        level, every = _first(level.withColumn("key", F.concat("chain", F.lit(">")) if k < length else F.col("chain")), kept, order)
+        whole = whole and every
+    return level, whole
+
+
+def _first(rows: DataFrame, kept: int, order: list[str]) -> tuple[DataFrame, bool]:
+    """The first rows in the order, with all ties of the last one, and whether that is all; few come by the driver."""
+    spark, values = rows.sparkSession, lambda r: [r[c] for c in order]
+    if kept > COLLECTED:
+        last = rows.orderBy(*order).offset(kept - 1).limit(1).collect()
+        upto = rows.where(F.struct(*order) <= F.struct(*(F.lit(v) for v in values(last[0])))) if last else rows
+        return written(upto, "trails"), not last
+    got = rows.orderBy(*order).limit(kept + 1).collect()
+    if len(got) > kept:
+        last = values(got[kept - 1])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(order, last)])
+        return spark.createDataFrame([r for r in got[:kept] if values(r) != last] + rows.where(same).collect(), rows.schema), False
+    return spark.createDataFrame(got, rows.schema), True
 
 
 def entry_chains(edges: DataFrame, entries: DataFrame, depth: int = 6, n: int = 15) -> DataFrame:
     """Call chains from entry points (node, kind), longest first."""
-    starts = entries.select(F.col("node").alias("start"), F.col("kind"))
-    return longest(trails(edges, starts, depth), n, "start", "kind")
+    return longest(edges, entries.select(F.col("node").alias("start"), F.col("kind")), depth, n)
 
 
 def request_flows(edges: DataFrame, entries: DataFrame, externals: DataFrame, kinds: list[str], depth: int = 6, n: int = 10) -> DataFrame:
     """Call chains from entries of some kinds to nodes that call nothing, or that call something external."""
     starts = entries.where(F.col("kind").isin(*kinds)).select(F.col("node").alias("start"))
-    paths = trails(edges, starts, depth)
-    calling = edges.select(F.col("src").alias("node"), F.lit(True).alias("calls")).distinct()
-    outside = externals.select("node", F.lit(True).alias("outside")).distinct()
-    ends = paths.join(calling, "node", "left").join(outside, "node", "left").where(F.col("calls").isNull() | F.col("outside").isNotNull())
-    return longest(ends, n, "start")
+    silent = edges.select(F.col("dst").alias("node")).join(edges.select(F.col("src").alias("node")), "node", "left_anti")
+    return longest(edges, starts, depth, n, silent.union(externals.select("node").join(edges.select(F.col("dst").alias("node")), "node", "left_semi")))
 
 
 def dependency_map(edges: DataFrame, nodes: DataFrame, depth: int = 4, n: int = 30) -> DataFrame:
-    return longest(trails(edges, nodes.select(F.col("node").alias("start")), depth), n, "start")
+    return longest(edges, nodes.select(F.col("node").alias("start")), depth, n)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,12 +180,85 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame, depth: int = 4) -> DataFrame:
-    """Each node's longest distance from a root, up to depth; a bound, as cycles have no longest path."""
+    """Each node's longest distance from a root by trails, up to depth; a bound, as cycles have no longest path."""
     start = roots(nodes, edges)
     far = trails(edges, start.select(F.col("node").alias("start")), depth).select("node", "depth").union(start.select("node", F.lit(0)))
     return far.groupBy("node").agg(F.max("depth").alias("level"))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that lie on a cycle with another one: component is the smallest of those that reach
+    each other.
+
+    Rounds of a few steps, each a join of what has changed: nodes without edges in or out are trimmed; the smallest node that
+    reaches a node becomes its colour; of each colour, those that its own node can be reached from are a component.  What is
+    left of a colour goes on by itself."""
+    left = written(edges.where("src <> dst").select("src", "dst").distinct(), "strong")
+    out = left.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while True:
+        left = _trimmed(left)
+        if left.isEmpty():
+            return out
+        colours = _spread(left.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct(), left)
+        at = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        inner = written(left.join(at("src"), "src").join(at("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")), "strong")
+        frontier = seen = written(colours.where("node = colour"), "strong")
+        while not frontier.isEmpty():
+            more = frontier.join(inner.select(F.col("dst").alias("node"), F.col("src").alias("before")), "node").select(F.col("before").alias("node"), "colour").distinct()
+            frontier = written(more.join(seen, ["node", "colour"], "left_anti"), "strong")
+            seen = seen.union(frontier)
+        done = written(seen.select("node", F.col("colour").alias("component")), "strong")
+        out = out.union(done)
+        gone = done.select("node")
+        left = written(inner.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti").select("src", "dst"), "strong")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that have edges both in and out, again and again: all that may lie on a cycle."""
+    n = edges.count()
+    while n:
+        both = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node")
+        edges = written(edges.join(both, F.col("src") == F.col("node"), "left_semi").join(both, F.col("dst") == F.col("node"), "left_semi"), "strong")
+        n, before = edges.count(), n
+        if n == before:
+            break
+    return edges
+
+
+def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest colour that reaches each node; a round's joins start at the nodes that changed in the last."""
+    colours = changed = written(colours, "colours")
+    while not changed.isEmpty():
+        sent = changed.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("sent")).withColumnRenamed("dst", "to")
+        changed = written(colours.join(sent, F.col("node") == F.col("to")).where("sent < colour").select("node", F.col("sent").alias("colour")), "colours")
+        colours = written(colours.union(changed).groupBy("node").agg(F.min("colour").alias("colour")), "colours")
+    return colours
+
+
+def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): the length of the longest way to each node from one that nothing leads to; nodes on a common cycle count
+    as one, and an edge to itself doesn't count.
+
+    Cycles are condensed to one node each.  Then rounds of relaxation: a round's nodes are the distinct targets of the last
+    round's, and a node's level is the last round that it is in, so no path is listed and a round costs the edges of the
+    nodes that changed."""
+    on_cycle = written(strong_components(edges), "levels").select(F.col("node").alias("member"), "component")
+    group = lambda df, c: df.join(on_cycle, F.col(c) == F.col("member"), "left").withColumn(c, F.coalesce("component", c)).drop("member", "component")
+    links = written(group(group(edges.select("src", "dst"), "src"), "dst").where("src <> dst").distinct(), "levels")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    every = group(nodes.select("node").union(ends).distinct().select(F.col("node").alias("name"), "node"), "node")
+    frontier = written(every.select("node").distinct().join(links.select(F.col("dst").alias("node")), "node", "left_anti"), "levels")
+    reached, turn = frontier.select("node", F.lit(0).alias("level")), 0
+    while not frontier.isEmpty():
+        turn += 1
+        frontier = written(frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct(), "levels")
+        reached = reached.union(frontier.select("node", F.lit(turn).alias("level")))
+        if turn % MERGED == 0:
+            reached = written(reached.groupBy("node").agg(F.max("level").alias("level")), "levels")
+    named = every.join(reached.groupBy("node").agg(F.max("level").alias("level")), "node").select(F.col("name").alias("node"), "level")
+    return nodes.select("node").join(named, "node")
+
+
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes, edges, and edges as an undirected match counts them: twice but for loops."""
     n = nodes.agg(F.count("*").alias("nodes"))
