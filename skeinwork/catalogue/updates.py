@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import state as U
+from ..streaming import activity as A
 from . import shared as S
 
+_replayed: dict[tuple[str, str], object] = {}
+
 
 def _log(spark, sf):
     return S.table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts")
@@ -42,7 +45,26 @@ def _results(spark, sf):
     return e.where("kind in ('purchase', 'signup', 'click')").select("key", F.when(F.col("kind") == "purchase", True).when(F.col("kind") == "signup", False).alias("removed"))
 
 
+def _watched(spark, sf):
+    """events as a stream that has ended, replayed once in an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _replayed:
+        _replayed[key] = A.replay(spark, f"{sf}/events.parquet", [F.col("user_id").alias("key"), "ts"])
+    return _replayed[key]
+
+
+def _properties(spark, sf):
+    """A property of every event, read from its JSON text: null where the text isn't JSON or lacks it."""
+    v = S.table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    k = F.try_variant_get("v", "$.k", "long")
+    return v.select("event_id", F.col("v").isNotNull().alias("valid"), k.alias("k"))
+
+
 QUERIES = {
+    "event_properties": _properties,
+    "property_sums": lambda spark, sf: _properties(spark, sf).groupBy((F.col("k") % 10).alias("digit")).agg(F.count("*").alias("n"), F.sum("k").alias("total")),
+    "stream_last_activity": lambda spark, sf: A.last_of(_watched(spark, sf)),
+    "stream_inactive": lambda spark, sf: A.idle_of(_watched(spark, sf)),
     "cleanup_order": lambda spark, sf: U.cleanup_order(_log(spark, sf), _failures(spark, sf)),
     "cleanup_failures": lambda spark, sf: U.after_cleanup(_failures(spark, sf), _results(spark, sf)),
     "last_activity": lambda spark, sf: U.last_activity(_log(spark, sf)),
@@ -62,7 +84,12 @@ _TAIL = """SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || lower(substr(
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= {0} GROUP BY conv_id"""
 _KEYS = "keys AS (SELECT DISTINCT conv_id || ':' || role AS key FROM conversations)"
 _FAILED = "failed AS (SELECT user_id AS key, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY user_id)"
+_PROPS = "props AS (SELECT event_id, coalesce(json_valid(props), false) AS valid, CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events)"
 SQL = {
+    "event_properties": f"WITH {_PROPS} SELECT event_id, valid, k FROM props",
+    "property_sums": f"WITH {_PROPS} SELECT k % 10 AS digit, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM props GROUP BY 1",
+    "stream_last_activity": "SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id",
+    "stream_inactive": "SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 3 HOURS",
     "cleanup_order": f"""WITH {_FAILED}, idle AS (SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 3 HOURS)
       SELECT key, last_seen, coalesce(failures, 0) AS failures, CAST(row_number() OVER (ORDER BY coalesce(failures, 0), last_seen, key) AS INT) AS turn FROM idle LEFT JOIN failed USING (key)""",
     "cleanup_failures": f"""WITH {_FAILED}, kinds AS (SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id), every AS (SELECT key, kind, coalesce(failures, 0) AS n FROM kinds LEFT JOIN failed USING (key))
