@@ -18,20 +18,20 @@ def _of_source(f):
     """f with the smallest node that has edges, in a frame of one row."""
 
     def run(spark, sf):
-        e = S.imports(spark, sf)
+        e = S.all_imports(spark, sf)
         return f(e, e.agg(F.min("src")))
 
     return run
 
 
 def _hot_target(spark, sf):
-    e = S.imports(spark, sf)
+    e = S.all_imports(spark, sf)
     return G.reverse(e, e.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select("dst"))
 
 
 def _two_hops(spark, sf):
     """The first edge between different nodes that goes on."""
-    e = S.imports(spark, sf)
+    e = S.all_imports(spark, sf)
     first = e.where("src <> dst").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").agg(F.min(F.struct("src", "dst")).alias("x"))
     return G.multi_hop(e, first.select("x.src"), first.select("x.dst"))
 
@@ -45,7 +45,7 @@ def _nodes(spark, sf):
 
 
 def _edges(spark, sf):
-    i = S.imports(spark, sf).select("src", "dst", F.lit("IMPORTS").alias("type"))
+    i = S.all_imports(spark, sf).select("src", "dst", F.lit("IMPORTS").alias("type"))
     c = S.calls(spark, sf).select("src", "dst", F.lit("CALLS").alias("type"))
     o = S.externals(spark, sf).select(F.col("node").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit("CALLS_EXTERNAL").alias("type"))
     nodes = S.files(spark, sf).select(F.col("node").alias("id"))
@@ -79,7 +79,7 @@ def _file_index(spark, sf):
 def _both(spark, sf):
     """Two templates' results in one frame, their rows as JSON."""
     b = S.brands(spark, sf)
-    structure, most = G.file_structure(b["classes"], b["functions"]), G.most_dependencies(S.imports(spark, sf))
+    structure, most = G.file_structure(b["classes"], b["functions"]), G.most_dependencies(S.all_imports(spark, sf))
     return G.as_records({"file_structure": structure, "most_dependencies": most}).select("template", "record")
 
 
@@ -89,7 +89,7 @@ QUERIES = {
     "direct_imports": _of_source(G.direct),
     "reverse_lookup": _hot_target,
     "multi_hop_imports": _two_hops,
-    "leaf_nodes": lambda spark, sf: G.leaf_nodes(S.files(spark, sf), S.imports(spark, sf)),
+    "leaf_nodes": lambda spark, sf: G.leaf_nodes(S.files(spark, sf), S.all_imports(spark, sf)),
     "most_dependencies": lambda spark, sf: G.most_dependencies(S.imports(spark, sf)),
     "transitive_dependencies": _of_source(G.reachable),
     "dependency_map": lambda spark, sf: G.dependency_map(G.simple(S.imports(spark, sf)), S.files(spark, sf)),
@@ -101,9 +101,9 @@ QUERIES = {
     "dependency_map_all": lambda spark, sf: G.dependency_map(G.simple(S.all_imports(spark, sf)), S.files(spark, sf)),
     "import_levels": lambda spark, sf: G.longest_levels(S.files(spark, sf), S.imports(spark, sf)),
     "graph_levels_all": lambda spark, sf: G.longest_levels(S.files(spark, sf), S.all_imports(spark, sf)),
-    "node_neighbors": lambda spark, sf: G.neighbours(S.imports(spark, sf), S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("name"))),
+    "node_neighbors": lambda spark, sf: G.neighbours(S.all_imports(spark, sf), S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("name"))),
     "degree_stats": lambda spark, sf: G.degrees(S.files(spark, sf), S.imports(spark, sf)),
-    "graph_roots": lambda spark, sf: G.roots(S.files(spark, sf), S.imports(spark, sf)),
+    "graph_roots": lambda spark, sf: G.roots(S.files(spark, sf), S.all_imports(spark, sf)),
     "graph_levels": lambda spark, sf: G.levels(S.files(spark, sf), G.simple(S.imports(spark, sf)), 4),
     "graph_counts": lambda spark, sf: G.counts(S.files(spark, sf), S.imports(spark, sf)),
     "graph_data_nodes": _nodes,
@@ -120,11 +120,11 @@ QUERIES = {
     "node_complexity": lambda spark, sf: (lambda b: b["files"].join(b["classes"].union(b["functions"]).groupBy("path").agg(F.count("*").alias("n")), "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("size")))(S.brands(spark, sf)),
     "node_badges": lambda spark, sf: G.badges(S.brands(spark, sf)["classes"]),
     "template_union": _both,
-    "delete_counts": lambda spark, sf: S.imports(spark, sf).groupBy((F.col("src") % 5).alias("repo")).agg(F.countDistinct("src").alias("nodes"), F.count("*").alias("edges")),
+    "delete_counts": lambda spark, sf: S.all_imports(spark, sf).groupBy((F.col("src") % 5).alias("repo")).agg(F.countDistinct("src").alias("nodes"), F.count("*").alias("edges")),
     "dir_groups": lambda spark, sf: G.groups(S.table(spark, sf, "nation").select(F.col("n_regionkey").alias("group"), F.col("n_name").alias("value")), 2),
 }
 
-_I, _C, _B = S.IMPORTS_SQL, S.CALLS_SQL, S.BRANDS_SQL
+_I, _A, _C, _B = S.IMPORTS_SQL, S.ALL_IMPORTS_SQL, S.CALLS_SQL, S.BRANDS_SQL
 _MIN = "(SELECT min(src) FROM imports)"
 _NODES = """nodes AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, 'File' AS node_type, n_name AS label FROM nation
   UNION ALL SELECT 'r' || r_regionkey, 'Class', r_name FROM region UNION ALL SELECT 's' || s_suppkey, 'Function', 's' || s_suppkey FROM supplier)"""
@@ -132,27 +132,27 @@ _AGG = "array_to_string(list_sort(list(DISTINCT {0})), ',')"
 SQL = {
     "tree_paths": "SELECT n_name AS path FROM nation ORDER BY path",
     "all_files": "SELECT n_name AS path FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region) ORDER BY path",
-    "direct_imports": f"WITH {_I} SELECT dst AS node FROM imports WHERE src = {_MIN}",
-    "reverse_lookup": f"WITH {_I} SELECT src AS node FROM imports WHERE dst = (SELECT dst FROM imports GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)",
-    "multi_hop_imports": f"WITH {_I}, via AS (SELECT dst AS v FROM imports WHERE src <> dst AND dst IN (SELECT src FROM imports) ORDER BY src, dst LIMIT 1) SELECT DISTINCT b.dst AS node FROM imports b, via WHERE b.src = v",
-    "leaf_nodes": f"WITH {_I} SELECT node FROM files WHERE node NOT IN (SELECT src FROM imports)",
+    "direct_imports": f"WITH {_A} SELECT dst AS node FROM imports WHERE src = {_MIN}",
+    "reverse_lookup": f"WITH {_A} SELECT src AS node FROM imports WHERE dst = (SELECT dst FROM imports GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)",
+    "multi_hop_imports": f"WITH {_A}, via AS (SELECT dst AS v FROM imports WHERE src <> dst AND dst IN (SELECT src FROM imports) ORDER BY src, dst LIMIT 1) SELECT DISTINCT b.dst AS node FROM imports b, via WHERE b.src = v",
+    "leaf_nodes": f"WITH {_A} SELECT node FROM files WHERE node NOT IN (SELECT src FROM imports)",
     "most_dependencies": f"WITH {_I} SELECT src AS node, count(DISTINCT dst) AS n FROM imports GROUP BY src ORDER BY n DESC, node LIMIT 5",
-    "transitive_dependencies": f"""WITH {_I}, h1 AS (SELECT dst AS node FROM imports WHERE src = {_MIN}), h2 AS (SELECT DISTINCT dst AS node FROM imports JOIN h1 ON src = node),
+    "transitive_dependencies": f"""WITH {_A}, h1 AS (SELECT dst AS node FROM imports WHERE src = {_MIN}), h2 AS (SELECT DISTINCT dst AS node FROM imports JOIN h1 ON src = node),
       h3 AS (SELECT DISTINCT dst AS node FROM imports JOIN h2 ON src = node) SELECT DISTINCT node FROM (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3) WHERE node <> {_MIN}""",
     "dependency_map": f"WITH RECURSIVE {_I}, {_ID}, {_REC('(SELECT node AS start FROM files)', '', 4)} SELECT start, array_to_string(chain, '>') AS chain, depth FROM trails ORDER BY depth DESC, start, chain LIMIT 30",
     "entry_call_chain": f"WITH RECURSIVE {_C}, edges AS (SELECT * FROM calls), {_REC('(SELECT node AS start, kind FROM entries)', ', kind', 6)} SELECT start, kind, array_to_string(chain, '>') AS chain, depth FROM trails ORDER BY depth DESC, start, kind, chain LIMIT 15",
     "request_flow": f"""WITH RECURSIVE {_C}, edges AS (SELECT * FROM calls), {_REC("(SELECT node AS start FROM entries WHERE kind IN ('http_endpoint', 'app_runner'))", '', 6)}
       SELECT start, array_to_string(chain, '>') AS chain, depth FROM trails WHERE node NOT IN (SELECT src FROM calls) OR node IN (SELECT node FROM externals) ORDER BY depth DESC, start, chain LIMIT 10""",
-    "node_neighbors": f"""WITH {_I}, both_ways AS (SELECT src AS node, 'out' AS direction, dst AS other FROM imports UNION ALL SELECT dst, 'in', src FROM imports)
+    "node_neighbors": f"""WITH {_A}, both_ways AS (SELECT src AS node, 'out' AS direction, dst AS other FROM imports UNION ALL SELECT dst, 'in', src FROM imports)
       SELECT node, direction, other, s_name AS name FROM both_ways JOIN supplier ON s_suppkey = other""",
     "degree_stats": f"""WITH {_I} SELECT node, (SELECT count(*) FROM imports WHERE dst = node) AS n_in, (SELECT count(*) FROM imports WHERE src = node) AS n_out FROM files""",
-    "graph_roots": f"WITH {_I}, d AS (SELECT node, (SELECT count(*) FROM imports WHERE dst = node) AS n FROM files) SELECT node FROM d WHERE n = (SELECT min(n) FROM d)",
+    "graph_roots": f"WITH {_A}, d AS (SELECT node, (SELECT count(*) FROM imports WHERE dst = node) AS n FROM files) SELECT node FROM d WHERE n = (SELECT min(n) FROM d)",
     "graph_levels": f"""WITH RECURSIVE {_I}, {_ID}, d AS (SELECT node, (SELECT count(*) FROM imports WHERE dst = node) AS n FROM files), starts AS (SELECT node AS start FROM d WHERE n = (SELECT min(n) FROM d)),
       {_REC('starts', '', 4)} SELECT node, max(depth) AS level FROM (SELECT node, depth FROM trails UNION ALL SELECT start, 0 FROM starts) GROUP BY node""",
     "graph_counts": f"""WITH {_I} SELECT (SELECT count(*) FROM files) AS nodes, (SELECT count(*) FROM imports) AS edges_directed,
       (SELECT CAST(coalesce(sum(CASE WHEN src = dst THEN 1 ELSE 2 END), 0) AS BIGINT) FROM imports) AS edges_undirected""",
     "graph_data_nodes": f"WITH {_NODES} SELECT id, node_type, label FROM nodes",
-    "graph_data_edges": f"""WITH {_I}, {_C}, every AS (SELECT src, dst, 'IMPORTS' AS type FROM imports UNION ALL SELECT src, dst, 'CALLS' FROM calls UNION ALL SELECT node, -1, 'CALLS_EXTERNAL' FROM externals)
+    "graph_data_edges": f"""WITH {_A}, {_C}, every AS (SELECT src, dst, 'IMPORTS' AS type FROM imports UNION ALL SELECT src, dst, 'CALLS' FROM calls UNION ALL SELECT node, -1, 'CALLS_EXTERNAL' FROM externals)
       SELECT src, dst, type FROM every WHERE type IN ('IMPORTS', 'CALLS') AND src IN (SELECT node FROM files) AND dst IN (SELECT node FROM files)""",
     "call_graph": f"WITH {_C} SELECT dst AS called FROM calls WHERE src IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "class_hierarchy": "SELECT n_name AS class, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE 'N%1' OR n_nationkey = 7",
@@ -169,11 +169,11 @@ SQL = {
     "node_complexity": f"WITH {_B}, x AS (SELECT path, name FROM classes UNION ALL SELECT path, name FROM functions) SELECT path, (SELECT count(*) FROM x WHERE x.path = a.path) AS size FROM allfiles a",
     "node_badges": f"""WITH {_B}, c AS (SELECT path, list_sort(list(DISTINCT name)) AS l FROM classes GROUP BY path)
       SELECT path, array_to_string(l[1:2], ',') AS shown, CAST(greatest(len(l) - 2, 0) AS INT) AS more FROM c""",
-    "template_union": f"""WITH {_B}, {_I}, c AS (SELECT path, {_AGG.format('name')} AS classes FROM classes GROUP BY path), f AS (SELECT path, {_AGG.format('name')} AS functions FROM functions GROUP BY path),
+    "template_union": f"""WITH {_B}, {_A}, c AS (SELECT path, {_AGG.format('name')} AS classes FROM classes GROUP BY path), f AS (SELECT path, {_AGG.format('name')} AS functions FROM functions GROUP BY path),
       m AS (SELECT src AS node, count(DISTINCT dst) AS n FROM imports GROUP BY src ORDER BY n DESC, node LIMIT 5)
       SELECT 'file_structure' AS template, '{{"path":' || path || ',"classes":"' || classes || '","functions":"' || functions || '"}}' AS record FROM c JOIN f USING (path)
       UNION ALL SELECT 'most_dependencies', '{{"node":' || node || ',"n":' || n || '}}' FROM m""",
-    "delete_counts": f"WITH {_I} SELECT src % 5 AS repo, count(DISTINCT src) AS nodes, count(*) AS edges FROM imports GROUP BY 1",
+    "delete_counts": f"WITH {_A} SELECT src % 5 AS repo, count(DISTINCT src) AS nodes, count(*) AS edges FROM imports GROUP BY 1",
     "dir_groups": "SELECT n_regionkey AS \"group\", min(n_name) AS lowest, max(n_name) AS highest, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) >= 2",
 }
 _LEVELS = """reach AS (SELECT src AS a, dst AS b FROM imports WHERE src <> dst UNION SELECT a, dst FROM reach JOIN imports ON b = src),
