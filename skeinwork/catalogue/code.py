@@ -1,6 +1,7 @@
-"""Queries over source code: an inline project is parsed, resolved and chunked; plus chunks of documents.
+"""Queries over source code: a project for each supplier, with names of its own, is parsed and resolved; plus chunks of
+documents.
 
-The SQL of the parsed facts is rows that were derived by hand from the inline project.
+The SQL of the parsed facts is rows that were derived by hand from the project, for each supplier.
 """
 
 from __future__ import annotations
@@ -68,18 +69,29 @@ SECOND = [
 REVIEWS = [("svc/__init__.py", True, None, 0.7, "re-exports"), ("svc/jobs.py", True, "http_endpoint", 0.9, "wasn't flagged"), ("serve.py", False, None, 0.2, "no")]
 
 
-def _index(spark):
-    files = spark.createDataFrame(SECOND, "path string, content string")
-    return index.build(spark, files, "svc", spark.createDataFrame(REVIEWS, "path string, is_entry boolean, kind string, confidence double, reason string"))
+OWN = "svc|Job|nightly|tool|Late|serve|README"  # each supplier's own names in the second project
+
+
+def _index(spark, sf):
+    """The index of all suppliers' second projects, as one repository; built once in an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _built:
+        files = S.each_supplier(spark, sf, S.marked(SECOND, OWN), "path string, content string").select("path", "content")
+        reviews = S.each_supplier(spark, sf, S.marked(REVIEWS, OWN), "path string, is_entry boolean, kind string, confidence double, reason string").drop("of")
+        _built[key] = index.build(spark, files, "all", reviews)
+    return _built[key]
+
+
+_built: dict[tuple[str, str], dict] = {}
 
 
 def _index_nodes(spark, sf):
     joined = [F.array_join(c, ",").alias(c) for c in ("classes", "functions", "imports", "bases")]
-    return _index(spark)["nodes"].select("id", "label", "name", "path", *joined, "class_name", "line_start", "line_end", "is_entry", "entry_kind", "entry_confidence", "module", "alias", "line")
+    return _index(spark, sf)["nodes"].select("id", "label", "name", "path", *joined, "class_name", "line_start", "line_end", "is_entry", "entry_kind", "entry_confidence", "module", "alias", "line")
 
 
 _NODES = [
-    ("svc", "Repo", "svc", None, None, None, None, None, None, None, None, None, None, None, None, None, None),
+    ("all", "Repo", "all", None, None, None, None, None, None, None, None, None, None, None, None, None, None),
     ("svc/__init__.py", "File", "__init__.py", "svc/__init__.py", "", "", "nightly,tool", None, None, None, None, True, None, None, None, None, None),
     ("svc/cli.py", "File", "cli.py", "svc/cli.py", "", "tool", "click,nightly", None, None, None, None, True, None, None, None, None, None),
     ("svc/jobs.py", "File", "jobs.py", "svc/jobs.py", "Job", "go,nightly", "shared_task", None, None, None, None, True, None, None, None, None, None),
@@ -102,7 +114,7 @@ _NODES = [
     ("object", "ExternalSymbol", "object", None, None, None, None, None, None, None, None, None, None, None, None, None, None),
 ]
 _EDGES = [
-    *(("CONTAINS", "svc", p, None) for p, _ in SECOND), ("IMPORTS", "svc/__init__.py", "svc/jobs.py", None), ("IMPORTS", "svc/__init__.py", "svc/cli.py", None), ("IMPORTS", "svc/cli.py", "svc/jobs.py", None),
+    *(("CONTAINS", "all", p, None) for p, _ in SECOND), ("IMPORTS", "svc/__init__.py", "svc/jobs.py", None), ("IMPORTS", "svc/__init__.py", "svc/cli.py", None), ("IMPORTS", "svc/cli.py", "svc/jobs.py", None),
     ("IMPORTS", "serve.py", "svc/jobs.py", None), ("IMPORTS_SYMBOL", "svc/__init__.py", "svc/__init__.py#svc.jobs#nightly", None), ("IMPORTS_SYMBOL", "svc/__init__.py", "svc/__init__.py#svc.cli#tool", None),
     ("IMPORTS_SYMBOL", "svc/cli.py", "svc/cli.py#click#click", None), ("IMPORTS_SYMBOL", "svc/cli.py", "svc/cli.py#svc.jobs#nightly", None), ("IMPORTS_SYMBOL", "svc/jobs.py", "svc/jobs.py#celery#shared_task", None),
     ("IMPORTS_SYMBOL", "serve.py", "serve.py#uvicorn#uvicorn", None), ("IMPORTS_SYMBOL", "serve.py", "serve.py#svc.jobs#Job", None), ("CALLS_EXTERNAL", "svc/cli.py::tool", "job", 7),
@@ -116,12 +128,21 @@ _MARKS = [
 ]
 
 
-def _parsed(spark):
-    return code.parse(spark.createDataFrame(FILES, "path string, content string").repartition(2))
+NAMES = "Service|Base|User|helper|clean"  # each supplier's own names in the first project
+
+
+def _parsed(spark, sf):
+    files = [(f"s{S.MARK}/{path}", S.marked(content, NAMES)) for path, content in FILES]
+    return code.parse(S.each_supplier(spark, sf, files, "path string, content string"))
 
 
 def _fact(name, *columns):
-    return lambda spark, sf: code.facts(_parsed(spark), name).select(*columns)
+    return lambda spark, sf: code.facts(_parsed(spark, sf), name).select(*columns)
+
+
+def _facts_sql(rows, columns):
+    """Facts of the first project, whose first column begins with a path, for each supplier."""
+    return f"SELECT {columns} FROM {S.each_supplier_sql([(f's{S.MARK}/{r[0]}', *r[1:]) for r in S.marked(rows, NAMES)], columns)}"
 
 
 _IMPORTS = [
@@ -150,21 +171,25 @@ _CALL = [("a.py::S.run", "self.step"), ("a.py::S.run", "step"), ("a.py::go", "S"
 _INH = [("a.py::S", "T"), ("b.py::T", "mod.T"), ("b.py::S", "S"), ("b.py::T", "dict")]
 
 
-def _frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+_ANY = r"(?!py\b|self\b)[A-Za-z]\w*"
+_IMP, _SYM, _MOD, _FN, _CL, _CALL, _INH = (S.marked(rows, _ANY) for rows in (_IMP, _SYM, [(m,) for m in _MOD], _FN, _CL, _CALL, _INH))
+
+
+def _frame(spark, sf, rows, schema):
+    return S.each_supplier(spark, sf, rows, schema).drop("of")
 
 
-def _functions(spark):
-    return _frame(spark, _FN, "name string, qualified_name string, class_name string, path string, pos int")
+def _functions(spark, sf):
+    return _frame(spark, sf, _FN, "name string, qualified_name string, class_name string, path string, pos int")
 
 
-def _classes(spark):
-    return _frame(spark, _CL, "name string, qualified_name string, path string, pos int")
+def _classes(spark, sf):
+    return _frame(spark, sf, _CL, "name string, qualified_name string, path string, pos int")
 
 
 def _resolved_imports(spark, sf):
-    files = _frame(spark, [(m,) for m in _MOD], "path string")
-    return R.resolve_imports(_frame(spark, _IMP, "path string, module string, name string"), R.module_index(files), R.name_index(_frame(spark, _SYM, "name string, path string, kind int, pos int")))
+    symbols = _frame(spark, sf, _SYM, "name string, path string, kind int, pos int")
+    return R.resolve_imports(_frame(spark, sf, _IMP, "path string, module string, name string"), R.module_index(_frame(spark, sf, _MOD, "path string")), R.name_index(symbols))
 
 
 def _page_paths(spark, sf):
@@ -199,18 +224,18 @@ _LINES_SQL = r"""lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(10
 
 QUERIES = {
     "index_nodes": _index_nodes,
-    "index_edges": lambda spark, sf: _index(spark)["edges"],
-    "index_entries": lambda spark, sf: _index(spark)["entries"].select("path", "qualified_name", "kind", "confidence"),
+    "index_edges": lambda spark, sf: _index(spark, sf)["edges"],
+    "index_entries": lambda spark, sf: _index(spark, sf)["entries"].select("path", "qualified_name", "kind", "confidence"),
     "ast_imports": _fact("imports", "path", "module", "name", "alias", "line"),
-    "ast_classes": lambda spark, sf: code.facts(_parsed(spark), "classes").select("qualified_name", F.array_join("bases", ",").alias("bases"), "line_start", "line_end"),
+    "ast_classes": lambda spark, sf: code.facts(_parsed(spark, sf), "classes").select("qualified_name", F.array_join("bases", ",").alias("bases"), "line_start", "line_end"),
     "ast_functions": _fact("functions", "qualified_name", "class_name", "line_start", "line_end"),
     "ast_calls": _fact("calls", "caller", "callee", "line"),
     "entry_points": _fact("entry_points", "qualified_name", "kind"),
-    "entry_flagged": lambda spark, sf: _parsed(spark).select("path", "entry_flagged", "flag_reason", F.col("parse_error").isNotNull().alias("failed")),
+    "entry_flagged": lambda spark, sf: _parsed(spark, sf).select("path", "entry_flagged", "flag_reason", F.col("parse_error").isNotNull().alias("failed")),
     "module_suffix_index": lambda spark, sf: R.module_index(_page_paths(spark, sf)),
     "resolve_imports": _resolved_imports,
-    "resolve_calls": lambda spark, sf: R.resolve_calls(_frame(spark, _CALL, "caller string, callee string"), _functions(spark), _classes(spark)),
-    "resolve_inheritance": lambda spark, sf: R.resolve_inheritance(_frame(spark, _INH, "class string, base string"), _classes(spark)),
+    "resolve_calls": lambda spark, sf: R.resolve_calls(_frame(spark, sf, _CALL, "caller string, callee string"), _functions(spark, sf), _classes(spark, sf)),
+    "resolve_inheritance": lambda spark, sf: R.resolve_inheritance(_frame(spark, sf, _INH, "class string, base string"), _classes(spark, sf)),
     "line_windows": _windows(100, 5),
     "line_windows_small": _windows(10, 2),
     "module_lines_anti": lambda spark, sf: _segments(spark, sf).select(F.col("id").alias("doc_id"), "line"),
@@ -219,24 +244,24 @@ QUERIES = {
     "batching": lambda spark, sf: K.batches(_docs(spark, sf).select("id", (F.col("id") % 7).alias("k")), "k", ["id"], 4).select(F.col("id").alias("doc_id"), "k", "batch"),
 }
 
-_V = S.sql_values
-_RES = f"""imp AS (SELECT * FROM {_V(_IMP, "path, module, name")}), sym AS (SELECT * FROM {_V(_SYM, "name, path, kind, pos")}), f AS (SELECT * FROM {_V([(m,) for m in _MOD], "path")}),
+_V = S.each_supplier_sql
+_RES = f"""imp AS (SELECT * FROM {_V(_IMP, "path, module, name")}), sym AS (SELECT * FROM {_V(_SYM, "name, path, kind, pos")}), f AS (SELECT * FROM {_V(_MOD, "path")}),
   parts AS (SELECT path, string_split(regexp_replace(path, '\\.py$', ''), '/') AS p FROM f WHERE path LIKE '%.py'), suffix AS (SELECT path, unnest(range(1, len(p) + 1)) AS i, p FROM parts),
   modules AS (SELECT array_to_string(p[i:], '.') AS module, max(path) AS path FROM suffix GROUP BY 1), names AS (SELECT name, arg_max(path, (path, kind, pos)) AS path FROM sym GROUP BY name)"""
 _CODE = f"""fn AS (SELECT * FROM {_V(_FN, "name, qualified_name, class_name, path, pos")}), cl AS (SELECT * FROM {_V(_CL, "name, qualified_name, path, pos")}), call AS (SELECT * FROM {_V(_CALL, "caller, callee")}),
   inh AS (SELECT * FROM {_V(_INH, "class, base")}), fi AS (SELECT name AS k, arg_min(qualified_name, (path, pos)) AS q FROM fn GROUP BY name UNION SELECT qualified_name, qualified_name FROM fn),
   ci AS (SELECT name AS k, arg_min(qualified_name, (path, pos)) AS q FROM cl GROUP BY name)"""
 SQL = {
-    "index_nodes": f"""SELECT * REPLACE (CAST(entry_confidence AS DOUBLE) AS entry_confidence)
-      FROM {_V(_NODES, 'id, label, name, path, classes, functions, imports, bases, class_name, line_start, line_end, is_entry, entry_kind, entry_confidence, module, alias, line')}""",
-    "index_edges": f"SELECT * FROM {_V(_EDGES, 'type, src, dst, line')}",
-    "index_entries": f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM {_V(_MARKS, 'path, qualified_name, kind, confidence')}",
-    "ast_imports": f"SELECT * FROM {_V(_IMPORTS, 'path, module, name, alias, line')}",
-    "ast_classes": f"SELECT * FROM {_V(_CLASSES, 'qualified_name, bases, line_start, line_end')}",
-    "ast_functions": f"SELECT * FROM {_V(_FUNCTIONS, 'qualified_name, class_name, line_start, line_end')}",
-    "ast_calls": f"SELECT * FROM {_V(_CALLS, 'caller, callee, line')}",
-    "entry_points": f"SELECT * FROM {_V(_ENTRIES, 'qualified_name, kind')}",
-    "entry_flagged": f"SELECT * FROM {_V(_FLAGS, 'path, entry_flagged, flag_reason, failed')}",
+    "index_nodes": f"""SELECT DISTINCT id, label, name, path, classes, functions, imports, bases, class_name, line_start, line_end, is_entry, entry_kind, CAST(entry_confidence AS DOUBLE) AS entry_confidence, module, alias, line
+      FROM {_V(S.marked(_NODES, OWN), 'id, label, name, path, classes, functions, imports, bases, class_name, line_start, line_end, is_entry, entry_kind, entry_confidence, module, alias, line')}""",
+    "index_edges": f"SELECT DISTINCT type, src, dst, line FROM {_V(S.marked(_EDGES, OWN), 'type, src, dst, line')}",
+    "index_entries": f"SELECT path, qualified_name, kind, CAST(confidence AS DOUBLE) AS confidence FROM {_V(S.marked(_MARKS, OWN), 'path, qualified_name, kind, confidence')}",
+    "ast_imports": _facts_sql(_IMPORTS, "path, module, name, alias, line"),
+    "ast_classes": _facts_sql(_CLASSES, "qualified_name, bases, line_start, line_end"),
+    "ast_functions": _facts_sql(_FUNCTIONS, "qualified_name, class_name, line_start, line_end"),
+    "ast_calls": _facts_sql(_CALLS, "caller, callee, line"),
+    "entry_points": _facts_sql(_ENTRIES, "qualified_name, kind"),
+    "entry_flagged": _facts_sql(_FLAGS, "path, entry_flagged, flag_reason, failed"),
     "module_suffix_index": r"""WITH f AS (SELECT regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', ''), '/+$', '') || '.py' AS path FROM pages),
       parts AS (SELECT path, string_split(regexp_replace(path, '\.py$', ''), '/') AS p FROM f), suffix AS (SELECT path, unnest(range(1, len(p) + 1)) AS i, p FROM parts)
       SELECT array_to_string(p[i:], '.') AS module, max(path) AS path FROM suffix GROUP BY 1""",

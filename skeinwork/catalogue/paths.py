@@ -89,7 +89,7 @@ QUERIES = {
     "direct_imports": _of_source(G.direct),
     "reverse_lookup": _hot_target,
     "multi_hop_imports": _two_hops,
-    "leaf_nodes": lambda spark, sf: G.leaf_nodes(S.files(spark, sf), S.all_imports(spark, sf)),
+    "leaf_nodes": lambda spark, sf: G.leaf_nodes(S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("node")), S.calls(spark, sf)),
     "most_dependencies": lambda spark, sf: G.most_dependencies(S.imports(spark, sf)),
     "transitive_dependencies": _of_source(G.reachable),
     "dependency_map": lambda spark, sf: G.dependency_map(G.simple(S.imports(spark, sf)), S.files(spark, sf)),
@@ -135,7 +135,7 @@ SQL = {
     "direct_imports": f"WITH {_A} SELECT dst AS node FROM imports WHERE src = {_MIN}",
     "reverse_lookup": f"WITH {_A} SELECT src AS node FROM imports WHERE dst = (SELECT dst FROM imports GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)",
     "multi_hop_imports": f"WITH {_A}, via AS (SELECT dst AS v FROM imports WHERE src <> dst AND dst IN (SELECT src FROM imports) ORDER BY src, dst LIMIT 1) SELECT DISTINCT b.dst AS node FROM imports b, via WHERE b.src = v",
-    "leaf_nodes": f"WITH {_A} SELECT node FROM files WHERE node NOT IN (SELECT src FROM imports)",
+    "leaf_nodes": f"WITH {_C} SELECT o_orderkey AS node FROM ordered WHERE nxt IS NULL",
     "most_dependencies": f"WITH {_I} SELECT src AS node, count(DISTINCT dst) AS n FROM imports GROUP BY src ORDER BY n DESC, node LIMIT 5",
     "transitive_dependencies": f"""WITH {_A}, h1 AS (SELECT dst AS node FROM imports WHERE src = {_MIN}), h2 AS (SELECT DISTINCT dst AS node FROM imports JOIN h1 ON src = node),
       h3 AS (SELECT DISTINCT dst AS node FROM imports JOIN h2 ON src = node) SELECT DISTINCT node FROM (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3) WHERE node <> {_MIN}""",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import runtime
 from ..operators import search
@@ -22,6 +26,34 @@ def sql_values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + f") AS t({columns})"
 
 
+# ------------------------------------------------------------------------- rows for each supplier
+MARK = "~"
+
+
+def marked(value, names: str):
+    """value (text, or tuples and lists of such) with MARK after each of the names, alternatives of a pattern."""
+    if isinstance(value, (list, tuple)):
+        return type(value)(marked(v, names) for v in value)
+    return re.sub(rf"\b({names})\b", rf"\1{MARK}", value) if isinstance(value, str) else value
+
+
+def each_supplier(spark: SparkSession, sf: str, rows: list[tuple], schema: str) -> DataFrame:
+    """The rows for each supplier, with MARK in their texts replaced by its key, which is the column ``of``."""
+    kind = T.DataType.fromDDL(schema)
+    text = json.dumps([dict(zip(kind.names, r)) for r in rows])
+    every = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("of"), F.inline(F.from_json(F.lit(text), T.ArrayType(kind))))
+    key = F.col("of").cast("string")
+    return every.select("of", *(F.replace(F.col(f.name), F.lit(MARK), key).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in kind.fields))
+
+
+def each_supplier_sql(rows: list[tuple], columns: str) -> str:
+    """each_supplier's relation in DuckDB."""
+    names = [c.strip() for c in columns.split(",")]
+    texts = {c for i, c in enumerate(names) if any(isinstance(r[i], str) for r in rows)}
+    shown = ", ".join(f"replace({c}, '{MARK}', CAST(s_suppkey AS VARCHAR)) AS {c}" if c in texts else c for c in names)
+    return f"(SELECT s_suppkey AS \"of\", {shown} FROM {sql_values(rows, columns)}, supplier)"
+
+
 # ------------------------------------------------------------------------- stored postings and vectors
 def _written(spark: SparkSession, sf: str, name: str, *parts: str) -> retrieval.Stored:
     """Stored retrieval tables of a folder, each part written once in an application."""

@@ -34,6 +34,10 @@ CHECKED = [
     (1, ["f.path"], [["a.py"]]), (2, ["f.path"], [["a.py"]]), (2, ["f.path"], [["b.py"]]), (3, ["f.path", "n"], [["a.py"], ["3"]]), (4, ["files", "name"], [["x.py", "y.py", "z.txt"], ["w.py"]]),
     (5, ["name"], [["setup"]]), (6, ["f.path"], [[None]]),
 ]
+# what follows is asked, said or found for each supplier, under names of its own
+QUESTIONS = S.marked(QUESTIONS, r"app(?=\.py)|main(?=\.py)|util|state|config|Run|Student|disk")
+QUERY_TEXTS, MESSAGES = S.marked(QUERY_TEXTS, "secret|owner|weight"), S.marked(MESSAGES, "zero|digit")
+RESULTS, RECORDS = S.marked(RESULTS, "app|a|b"), S.marked(RECORDS, "a|b|c|d|e|x|plain|thing")
 URLS_EXTRA = [(-1, " github.com/user/project.git "), (-2, "https://host.example/u/p//"), (-3, "git@host:u/p"), (-4, "http://host.example/only"), (-5, ""), (-6, "https://host.example/a/b/c?x=1#y")]
 
 
@@ -41,12 +45,12 @@ def _urls(spark, sf):
     return S.table(spark, sf, "pages").select("page_id", "url").union(spark.createDataFrame(URLS_EXTRA, "page_id long, url string"))
 
 
-def _questions(spark):
-    return spark.createDataFrame(QUESTIONS, "id int, question string")
+def _questions(spark, sf):
+    return S.each_supplier(spark, sf, QUESTIONS, "id int, question string")
 
 
-def _messages(spark):
-    return spark.createDataFrame(MESSAGES, "id int, message string, kind string")
+def _messages(spark, sf):
+    return S.each_supplier(spark, sf, MESSAGES, "id int, message string, kind string")
 
 
 def _vectors(spark, sf):
@@ -86,8 +90,9 @@ def _entities(spark, sf):
 
 
 def _checks(spark, sf):
-    results = spark.createDataFrame([(i,) for i in range(1, 8)], "id int")
-    return X.result_checks(results, spark.createDataFrame(CHECKED, "id int, columns array<string>, values array<array<string>>"))
+    one = lambda df: df.withColumn("id", F.concat_ws("-", "of", "id"))
+    results = S.each_supplier(spark, sf, [(i,) for i in range(1, 8)], "id int")
+    return X.result_checks(one(results), one(S.each_supplier(spark, sf, CHECKED, "id int, columns array<string>, values array<array<string>>")))
 
 
 def _hybrid(spark, sf):
@@ -105,13 +110,13 @@ QUERIES = {
     "repo_short_name": lambda spark, sf: _urls(spark, sf).select("page_id", T.repo_short_name(T.normalize_url(F.col("url"))).alias("value")),
     "explorer_filter": lambda spark, sf: S.table(spark, sf, "pages").where(F.lower("url").contains("example.net")).select("page_id", "url"),
     "path_tree": lambda spark, sf: G.path_tree(S.table(spark, sf, "pages").select(F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "").alias("path"))),
-    "match_template": lambda spark, sf: _questions(spark).select("id", T.match_template(F.col("question")).alias("m")).select("id", "m.template", "m.args"),
-    "architect_subtype": lambda spark, sf: _questions(spark).select("id", T.architect_subtype(F.col("question")).alias("subtype")),
-    "sanitize_props": lambda spark, sf: spark.createDataFrame(QUERY_TEXTS, "id int, query string").select("id", F.array_join(T.unknown_properties(F.col("query")), ",").alias("unknown")),
-    "friendly_error": lambda spark, sf: _messages(spark).select("id", T.friendly_error(F.col("message")).alias("said")),
-    "is_provider_failure": lambda spark, sf: _messages(spark).select("id", T.is_provider_failure(F.col("message"), F.col("kind")).alias("failed")),
-    "result_confidence": lambda spark, sf: spark.createDataFrame(RESULTS, "id int, question string, n int").select("id", T.result_confidence(F.col("question"), F.col("n")).cast("double").alias("confidence")),
-    "critical_path_files": lambda spark, sf: X.critical_files(spark.createDataFrame(RECORDS, "pos int, value string")).select("path", "pos"),
+    "match_template": lambda spark, sf: _questions(spark, sf).select("of", "id", T.match_template(F.col("question")).alias("m")).select("of", "id", "m.template", "m.args"),
+    "architect_subtype": lambda spark, sf: _questions(spark, sf).select("of", "id", T.architect_subtype(F.col("question")).alias("subtype")),
+    "sanitize_props": lambda spark, sf: S.each_supplier(spark, sf, QUERY_TEXTS, "id int, query string").select("of", "id", F.array_join(T.unknown_properties(F.col("query")), ",").alias("unknown")),
+    "friendly_error": lambda spark, sf: _messages(spark, sf).select("of", "id", T.friendly_error(F.col("message")).alias("said")),
+    "is_provider_failure": lambda spark, sf: _messages(spark, sf).select("of", "id", T.is_provider_failure(F.col("message"), F.col("kind")).alias("failed")),
+    "result_confidence": lambda spark, sf: S.each_supplier(spark, sf, RESULTS, "id int, question string, n int").select("of", "id", T.result_confidence(F.col("question"), F.col("n")).cast("double").alias("confidence")),
+    "critical_path_files": lambda spark, sf: X.critical_files(S.each_supplier(spark, sf, RECORDS, "pos int, value string")).select("path", "pos"),
     "file_union": lambda spark, sf: X.file_union(S.table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("path")), S.table(spark, sf, "nation").where("n_regionkey > 1").select(F.col("n_name").alias("path"))),
     "stat_format": lambda spark, sf: S.table(spark, sf, "part").groupBy("p_brand").agg(F.sum("p_size").alias("n")).select("p_brand", T.compact_number(F.col("n")).alias("label")),
     "vector_topk": lambda spark, sf: R.top_k(_vectors(spark, sf), _query(spark, sf), 5).withColumnRenamed("id", "vec_id"),
@@ -141,7 +146,7 @@ def _template_sql() -> str:
         match.append(f"WHEN regexp_matches(q, '{pattern}') THEN '{name}'")
         got = " || ',' || ".join(f"regexp_extract(q, '{pattern}', {i + 1})" for i in range(len(groups))) or "''"
         args.append(f"WHEN regexp_matches(q, '{pattern}') THEN {got}")
-    return f"WITH x AS (SELECT id, lower(question) AS q FROM {_V(QUESTIONS, 'id, question')}) SELECT id, CASE {' '.join(match)} END AS template, CASE {' '.join(args)} END AS args FROM x"
+    return f"WITH x AS (SELECT \"of\", id, lower(question) AS q FROM {S.each_supplier_sql(QUESTIONS, 'id, question')}) SELECT \"of\", id, CASE {' '.join(match)} END AS template, CASE {' '.join(args)} END AS args FROM x"
 
 
 _SUBTYPES = " ".join("WHEN " + " OR ".join(f"contains(q, '{k}')" for k in ks) + f" THEN '{n}'" for n, ks in T.SUBTYPE_KEYWORDS)
@@ -158,7 +163,7 @@ _BM = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')"
 _EMBED = """w{0} AS (SELECT id, unnest({3}) AS w FROM {1}), e{0} AS (SELECT id, CAST(('0x' || substr(md5(w), 1, 4)) AS INT) % {2} AS d, CAST(sum(CASE WHEN CAST(('0x' || substr(md5(w), 5, 1)) AS INT) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM w{0} GROUP BY 1, 2)"""
 SQL = {
-    "result_checks": f"SELECT * FROM {_V([(1, True, False, 1, False), (2, False, True, 2, False), (3, False, True, 1, False), (4, False, True, 3, False), (5, False, True, 0, True), (6, True, False, 0, True), (7, False, False, 0, True)], 'id, is_fallback, is_meaningful, file_count, is_incomplete')}",
+    "result_checks": f"SELECT s_suppkey || '-' || id AS id, is_fallback, is_meaningful, file_count, is_incomplete FROM supplier, {_V([(1, True, False, 1, False), (2, False, True, 2, False), (3, False, True, 1, False), (4, False, True, 3, False), (5, False, True, 0, True), (6, True, False, 0, True), (7, False, False, 0, True)], 'id, is_fallback, is_meaningful, file_count, is_incomplete')}",
     "resolve_filename": f"SELECT typed, name, CAST(score AS DOUBLE) AS score FROM {_V([('small ring', 'small ring', 100.0), ('Ring small', 'small ring', 100.0), ('red widgett', 'red widget', 95.238095), ('nothing like it at all', None, None)], 'typed, name, score')}",
     "extract_entities": f"SELECT * FROM {_V([('red widget',), ('blue bolt',), ('new bolt',)], 'name')}",
     "embed_text": f"""WITH {_EMBED.format('', '(SELECT item_id AS id, text FROM benchmark)', 16, _WORDS)}, every AS (SELECT DISTINCT item_id AS id, CAST(unnest(range(16)) AS INT) AS d FROM benchmark)
@@ -175,16 +180,16 @@ SQL = {
     "path_tree": """WITH p AS (SELECT list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x: x <> '') AS parts FROM pages),
       e AS (SELECT parts, unnest(range(1, len(parts) + 1)) AS level FROM p) SELECT array_to_string(parts[1:level - 1], '/') AS parent, parts[level] AS name, CAST(level AS INT) AS level, bool_or(level = len(parts)) AS is_file FROM e GROUP BY 1, 2, 3""",
     "match_template": _template_sql(),
-    "architect_subtype": f"WITH x AS (SELECT id, lower(question) AS q FROM {_V(QUESTIONS, 'id, question')}) SELECT id, CASE {_SUBTYPES} ELSE 'system_overview' END AS subtype FROM x",
-    "sanitize_props": f"""WITH x AS (SELECT id, regexp_replace(query, '''[^'']*''|"[^"]*"', '''''', 'g') AS q FROM {_V(QUERY_TEXTS, 'id, query')}),
-      u AS (SELECT id, list_filter(list_distinct(regexp_extract_all(q, '\\b\\w+\\.(\\w+)\\b', 1)), lambda p: NOT list_contains([{_KNOWN}], p)) AS l FROM x) SELECT id, array_to_string(list_sort(l), ',') AS "unknown" FROM u""",
-    "friendly_error": f"""WITH x AS (SELECT id, lower(message) AS m FROM {_V(MESSAGES, 'id, message, kind')}) SELECT id, CASE WHEN contains(m, 'allocate memory') OR contains(m, 'onnxruntime') THEN {_U['memory']}
+    "architect_subtype": f"WITH x AS (SELECT \"of\", id, lower(question) AS q FROM {S.each_supplier_sql(QUESTIONS, 'id, question')}) SELECT \"of\", id, CASE {_SUBTYPES} ELSE 'system_overview' END AS subtype FROM x",
+    "sanitize_props": f"""WITH x AS (SELECT "of", id, regexp_replace(query, '''[^'']*''|"[^"]*"', '''''', 'g') AS q FROM {S.each_supplier_sql(QUERY_TEXTS, 'id, query')}),
+      u AS (SELECT "of", id, list_filter(list_distinct(regexp_extract_all(q, '\\b\\w+\\.(\\w+)\\b', 1)), lambda p: NOT list_contains([{_KNOWN}], p)) AS l FROM x) SELECT "of", id, array_to_string(list_sort(l), ',') AS "unknown" FROM u""",
+    "friendly_error": f"""WITH x AS (SELECT "of", id, lower(message) AS m FROM {S.each_supplier_sql(MESSAGES, 'id, message, kind')}) SELECT "of", id, CASE WHEN contains(m, 'allocate memory') OR contains(m, 'onnxruntime') THEN {_U['memory']}
       WHEN contains(m, 'git') AND (contains(m, 'clone') OR contains(m, 'failed') OR contains(m, 'not found')) THEN {_U['download']} WHEN contains(m, 'neo4j') THEN {_U['graph']} WHEN contains(m, 'qdrant') THEN {_U['vectors']}
       WHEN contains(m, 'openai') OR contains(m, 'api key') OR contains(m, 'authentication') THEN {_U['provider']} WHEN contains(m, 'groq') THEN {_U['second']} ELSE {_U['other']} END AS said FROM x""",
-    "is_provider_failure": f"WITH x AS (SELECT id, lower(message) AS m, lower(kind) AS k FROM {_V(MESSAGES, 'id, message, kind')}) SELECT id, {_FAIL} AS failed FROM x",
-    "result_confidence": f"""WITH x AS (SELECT id, lower(question) AS q, n FROM {_V(RESULTS, 'id, question, n')}) SELECT id, CAST(CASE WHEN n = 0 THEN NULL WHEN n = 1 AND (contains(q, 'indirectly') OR contains(q, 'transitive') OR contains(q, 'through')) THEN 0.3
+    "is_provider_failure": f'WITH x AS (SELECT "of", id, lower(message) AS m, lower(kind) AS k FROM {S.each_supplier_sql(MESSAGES, "id, message, kind")}) SELECT "of", id, {_FAIL} AS failed FROM x',
+    "result_confidence": f"""WITH x AS (SELECT "of", id, lower(question) AS q, n FROM {S.each_supplier_sql(RESULTS, 'id, question, n')}) SELECT "of", id, CAST(CASE WHEN n = 0 THEN NULL WHEN n = 1 AND (contains(q, 'indirectly') OR contains(q, 'transitive') OR contains(q, 'through')) THEN 0.3
       WHEN n > 1 THEN least(1.0, n / 5.0) ELSE 0.5 END AS DOUBLE) AS confidence FROM x""",
-    "critical_path_files": f"""WITH x AS (SELECT pos, value, CASE WHEN contains(value, '::') THEN string_split(value, '::')[1] ELSE value END AS path FROM {_V(RECORDS, 'pos, value')})
+    "critical_path_files": f"""WITH x AS (SELECT pos, value, CASE WHEN contains(value, '::') THEN string_split(value, '::')[1] ELSE value END AS path FROM {S.each_supplier_sql(RECORDS, 'pos, value')})
       SELECT path, min(pos) AS pos FROM x WHERE path LIKE '%.py' OR (contains(value, '/') AND NOT contains(value, '::')) GROUP BY path ORDER BY 2, 1 LIMIT 4""",
     "file_union": "SELECT n_name AS path FROM nation WHERE n_regionkey < 3 UNION SELECT n_name FROM nation WHERE n_regionkey > 1",
     "stat_format": "SELECT p_brand, CASE WHEN sum(p_size) >= 1000 THEN printf('%.1f', sum(p_size) / 1000.0) || 'K' ELSE CAST(sum(p_size) AS VARCHAR) END AS label FROM part GROUP BY p_brand",
