@@ -34,12 +34,11 @@ def embed(texts: DataFrame, dimensions: int = 64) -> DataFrame:
     """(id, embedding) of texts (id, text): each word adds 1 or -1 to one dimension, both taken from its MD5 sum.
 
     A text without words (or null) is all zeros; rows that share an id are one text."""
-    digit = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("int")
-    each = texts.select("id", F.explode(words(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n")).withColumn("h", F.md5("w"))
-    signed = each.select("id", (digit("h", 1, 4) % dimensions).alias("d"), F.when(digit("h", 5, 1) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("x"))
-    sums = signed.groupBy("id", "d").agg(F.sum("x").cast("double").alias("x")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return texts.select("id").distinct().join(sums, "id", "left").select("id", dense.alias("embedding"))
+    digit = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("int")
+    each = texts.select("id", F.explode_outer(words(F.col("text"))).alias("w")).withColumn("h", F.md5("w"))
+    signed = each.select("id", (digit(1, 4) % dimensions).alias("d"), F.when(digit(5, 1) % 2 == 0, 1.0).otherwise(-1.0).alias("x"))
+    sums = [F.coalesce(F.sum(F.when(F.col("d") == i, F.col("x"))), F.lit(0.0)) for i in range(dimensions)]
+    return signed.groupBy("id").agg(F.array(*sums).alias("embedding"))  # a task adds a text's words up before they are shuffled
 
 
 def top_k_filtered(vectors: DataFrame, query: DataFrame, keep: DataFrame, on: str, k: int = 5) -> DataFrame:

@@ -1,8 +1,9 @@
 """Stored postings and vectors of texts: what retrieval reads, written once with the texts' version.
 
-``postings`` (bucket, term, slab, id, tf, len) is partitioned by a hash of the term and sorted within; a slab is SLAB texts
-that follow each other by id.  ``blocks`` (bucket, term, slab, n, most) has the size of each slab's part of a list and the
-highest weight in it.  A question reads the lists of its own words alone:
+``texts`` (slab, place, id, len, terms) has each text's words and how often it has them; a slab is at most SLAB texts that
+follow each other where they are read, and a text goes by its place in one.  ``postings`` (bucket, term, slab, place, tf,
+len) is partitioned by a hash of the term and sorted within.  ``blocks`` (bucket, term, slab, n, most) has the size of each
+slab's part of a list and the highest weight in it.  A question reads the lists of its own words alone:
 
 1. the blocks give a bound on the score of every slab; the slabs with the highest bounds are scored, and the k-th best of
    their texts is a floor for all;
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import search
+from ..runtime import written
 
-BUCKETS, SLAB, SLABS_FIRST, LISTED = 64, 1024, 4, 1000
+BUCKETS, SLAB, SLABS_FIRST, LISTED, PIECE = 64, 1024, 4, 1000, 1_000_000
 SAMPLE, CELLS, PROBED, ROUNDS = 50_000, 1024, 8, 5
 SLACK = 1e-6  # scores are rounded to 6 places
 
@@ -54,25 +56,37 @@ def _write(df: DataFrame, path: str, name: str, by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
+def _counted(ws: Column) -> Column:
+    """The distinct words of a sorted array, with their numbers: runs of equal ones, without a row a word."""
+    last = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: (i == F.size(ws)) | (F.get(ws, i) != F.get(ws, i - 1)))
+    runs = lambda ends: F.transform(ends, lambda e, j: F.struct(F.get(ws, e - 1).alias("term"), (e - F.when(j == 0, 0).otherwise(F.get(ends, j - 1))).cast("short").alias("tf")))
+    return F.when(F.size(ws) > 0, F.element_at(F.transform(F.array(last), runs), 1)).otherwise(F.array().cast("array<struct<term:string,tf:short>>"))
+
+
 def write_postings(texts: DataFrame, path: str, buckets: int = BUCKETS, slab: int = SLAB) -> None:
-    """Write postings, blocks and stats of texts (id, text) below path."""
+    """Write texts, postings, blocks and stats of texts (id, text) below path."""
     spark = texts.sparkSession
-    ws = search.words(F.col("text"))
-    texts.select(F.size(ws).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/stats")
-    avg_len = spark.read.parquet(f"{path}/stats").first().avg_len or 1.0
-    ordered = texts.select("id", "text").repartitionByRange("id").sortWithinPartitions("id")
-    each = ordered.select("id", F.floor(F.monotonically_increasing_id() / slab).alias("slab"), ws.alias("ws")).select("slab", "id", F.size("ws").alias("len"), F.explode("ws").alias("term"))
-    counted = each.groupBy("slab", "id", "len", "term").agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", _bucket(F.col("term"), buckets))
-    order = ["bucket", "term", "slab", "id"]  # a frequent word's list is split by slab
-    postings = _write(counted.repartitionByRange(*order).sortWithinPartitions(*order), path, "postings", "bucket")
-    lists = postings.groupBy("bucket", "term", "slab").agg(F.count("*").cast("int").alias("n"), F.max(_weight(avg_len)).alias("most"))
-    _write(lists.repartitionByRange(*order[:3]).sortWithinPartitions(*order[:3]), path, "blocks", "bucket")
+    number = F.monotonically_increasing_id()  # of one pass: the table is what all others are made of
+    sorted_words = texts.select("id", number.alias("number"), F.array_sort(search.words(F.col("text"))).alias("ws"))
+    shaped = sorted_words.select(F.floor(F.col("number") / slab).alias("slab"), (F.col("number") % slab).cast("short").alias("place"), "id", F.size("ws").alias("len"), _counted(F.col("ws")).alias("terms"))
+    shaped.write.parquet(f"{path}/texts")
+    kept = spark.read.schema(shaped.schema).parquet(f"{path}/texts")
+    kept.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats").first()
+    each = kept.select("slab", "place", "len", F.inline("terms")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    pieces = max(1, stats.n_docs // PIECE)  # a frequent word's list, and its bucket, are split by slab
+    dealt = each.repartition("bucket", F.pmod(F.xxhash64("slab"), F.lit(pieces))).sortWithinPartitions("bucket", "term", "slab")
+    postings = _write(dealt, path, "postings", "bucket")
+    lists = postings.groupBy("bucket", "term", "slab").agg(F.count("*").cast("int").alias("n"), F.max(_weight(stats.avg_len or 1.0)).alias("most"))
+    order = ["bucket", "term", "slab"]
+    _write(lists.repartitionByRange(*order).sortWithinPartitions(*order), path, "blocks", "bucket")
 
 
 def write_vectors(vectors: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> None:
     """Write vectors and cells of vectors (id, embedding, any further columns) below path."""
     spark = vectors.sparkSession
     e = F.col("embedding")
+    vectors = written(vectors, "vectors")
     squared = vectors.withColumn("square", F.coalesce(search.dot(e, e), F.lit(0.0)))
     usable = squared.where("square > 0 and not isnan(square) and square < double('infinity')")
     n = usable.count()
@@ -99,7 +113,7 @@ class Stored:
         self.spark, self.path, self.schemas = spark, path, {}
 
     def table(self, name: str) -> DataFrame:
-        if name in ("stats", "cells"):
+        if name in ("stats", "cells", "texts"):
             return self.spark.read.parquet(f"{self.path}/{name}")
         if name not in self.schemas:
             self.schemas[name] = T.StructType.fromJson(json.loads(self.spark.read.parquet(f"{self.path}/schemas/{name}").first().json))
@@ -113,41 +127,51 @@ class Stored:
         asked = terms.select("term", _bucket(F.col("term"), stats.buckets).alias("bucket")).collect()  # one question's words
         lists = lambda name: self.table(name).where(F.col("bucket").isin(sorted({r.bucket for r in asked})) & F.col("term").isin(sorted(r.term for r in asked)))
         blocks, postings = lists("blocks"), lists("postings")
-        postings = postings if keep is None else postings.join(keep.select("id").distinct(), "id", "left_semi")
+        if keep is not None:
+            kept = self.table("texts").select("id", "slab", "place").join(keep.select("id").distinct(), "id", "left_semi")
+            postings = postings.join(kept.select("slab", "place"), ["slab", "place"], "left_semi")
         known = {r.term: r for r in blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")).collect()}
         idf = {t: math.log(1 + (stats.n_docs - r.df + 0.5) / (r.df + 0.5)) for t, r in known.items()}
         if not known:
-            return postings.select("id", F.lit(0.0).alias("score")).limit(0)
+            return self.table("texts").select("id", F.lit(0.0).alias("score")).limit(0)
         rarity = F.create_map(*(F.lit(x) for kv in idf.items() for x in kv))[F.col("term")]
-        share = rarity * _weight(stats.avg_len)
-        best = lambda rows: rows.groupBy("id").agg(F.round(F.sum("x"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        rows = postings.select("slab", "place", "term", (rarity * _weight(stats.avg_len)).alias("x"))
         bounds = blocks.groupBy("slab").agg(F.sum(rarity * F.col("most")).alias("bound"))
         first = [r.slab for r in bounds.orderBy(F.desc("bound"), "slab").limit(SLABS_FIRST + 1).collect()]
-        near = best(postings.where(F.col("slab").isin(first[:SLABS_FIRST])).select("id", share.alias("x")))
+        near = self._best(rows.where(F.col("slab").isin(first[:SLABS_FIRST])), k, first[:SLABS_FIRST])
         if len(first) <= SLABS_FIRST:
             return near
         found = near.collect()
         if len(found) < k:
-            return best(postings.select("id", share.alias("x")))
-        return best(self._above(postings, bounds, {t: idf[t] * r.most for t, r in known.items()}, share, found[-1].score - SLACK))
-
-    def _above(self, postings: DataFrame, bounds: DataFrame, most: dict[str, float], share: Column, floor: float) -> DataFrame:
-        """(id, x): the shares of all texts that may reach the floor."""
+            return self._best(rows, k)
+        floor = found[-1].score - SLACK
+        return self._best(self._above(rows, bounds, {t: idf[t] * r.most for t, r in known.items()}, floor), k, floor=floor)
+
+    def _best(self, rows: DataFrame, k: int, slabs: list[int] | None = None, floor: float | None = None) -> DataFrame:
+        """(id, score) of the k best texts by the sums of rows (slab, place, x); of some slabs, or above a floor, where it is known."""
+        sums = rows.groupBy("slab", "place").agg(F.round(F.sum("x"), 6).alias("score"))
+        sums = sums if floor is None else sums.where(F.col("score") >= floor)
+        texts = self.table("texts").select("slab", "place", "id")
+        texts = texts if slabs is None else texts.where(F.col("slab").isin(slabs))
+        return sums.join(texts, ["slab", "place"]).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+
+    def _above(self, rows: DataFrame, bounds: DataFrame, most: dict[str, float], floor: float) -> DataFrame:
+        """The rows (slab, place, x) of all texts that may reach the floor."""
         slabs = bounds.where(F.col("bound") >= floor).select("slab")
         few = slabs.limit(LISTED + 1).collect()
-        rows = postings.where(F.col("slab").isin([r.slab for r in few])) if len(few) <= LISTED else postings.join(slabs, "slab", "left_semi")
+        rows = rows.where(F.col("slab").isin([r.slab for r in few])) if len(few) <= LISTED else rows.join(slabs, "slab", "left_semi")
         weak, left = [], floor
         for term in sorted(most, key=lambda t: (most[t], t)):
             if most[term] >= left:
                 break
             weak.append(term)
             left -= most[term]
-        strong = rows.where(~F.col("term").isin(weak)).select("slab", "id", share.alias("x"))
+        strong = rows.where(~F.col("term").isin(weak))
         if not weak:
-            return strong.select("id", "x")
-        sums = strong.groupBy("slab", "id").agg(F.sum("x").alias("x")).where(F.col("x") >= left)
-        more = rows.where(F.col("term").isin(weak)).select("slab", "id", share.alias("x")).join(sums.select("slab", "id"), ["slab", "id"], "left_semi")
-        return sums.select("id", "x").union(more.select("id", "x"))
+            return strong.select("slab", "place", "x")
+        sums = strong.groupBy("slab", "place").agg(F.sum("x").alias("x")).where(F.col("x") >= left)
+        more = rows.where(F.col("term").isin(weak)).join(sums.select("slab", "place"), ["slab", "place"], "left_semi")
+        return sums.select("slab", "place", "x").union(more.select("slab", "place", "x"))
 
     # ------------------------------------------------------------------------------------------ vectors
     def top_k(self, query: DataFrame, k: int = 5, keep: DataFrame | None = None, on: str = "id", exact: bool = True, probed: int = PROBED) -> DataFrame:

@@ -49,8 +49,8 @@ def test_some_lists_are_left_out(spark, stored, monkeypatch):
     above = retrieval.Stored._above
     monkeypatch.setattr(retrieval.Stored, "_above", lambda self, *a: seen.append((a, out := above(self, *a))) or out)
     stored.bm25(q, 3).collect()
-    (postings, *_), kept = seen[0]
-    assert kept.count() < postings.count() / 4
+    (rows, *_), kept = seen[0]
+    assert kept.count() < rows.count() / 4
     plan = stored.bm25(q, 3)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "In(term" in plan and "split(" not in plan  # the lists of the question's words alone; no text is split
