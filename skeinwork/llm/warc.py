@@ -143,16 +143,30 @@ def payload_of(block: bytes, expected: str) -> bytes:
 
 
 # ------------------------------------------------------------------------------------------------ Spark
-def roles(spark: SparkSession, pages: DataFrame, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
+def roles(spark: SparkSession, pages: DataFrame, payload: str, least_bytes: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, first: the page that a revisit refers to (null for responses), and named: whether the row is
-    the one response of a repeated payload that revisits refer to."""
+    the one response of a repeated payload that revisits refer to.  It is chosen by its page_id and url, so that the choice
+    holds however often and in whatever order the pages are read."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), body.alias("payload"), F.unhex(F.sha1(body)).alias("sha"), F.monotonically_increasing_id().alias("row"))
-    firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("least"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first", F.col("least.row").alias("first_row"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"), F.unhex(F.sha1(body)).alias("sha"))
+    rows = keyed.groupBy("sha", "page_id", "url").agg(F.count("*").alias("same"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "same"))).alias("least")
+    firsts = rows.groupBy("sha").agg(least, F.sum("same").alias("n")).where("n > 1 and least is not null").select("sha", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"), F.col("least.same").alias("same"))
     firsts = C.table(spark, firsts, "firsts")
-    out = keyed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "sha", "left")
-    again = (F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return out.select("page_id", "url", "payload", F.when(again, F.col("first")).alias("first"), F.coalesce(~again & (F.col("row") == F.col("first_row")), F.lit(False)).alias("named"))
+    few = F.broadcast if firsts.count() <= BROADCAST_ROWS else lambda df: df
+    out = keyed.join(few(firsts), "sha", "left")
+    is_first = F.coalesce(F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url")) & F.col("same").isNotNull(), F.lit(False))
+    shown = ["page_id", "url", "payload", "first", "named"]
+    repeated = firsts.where("same > 1")
+    if repeated.isEmpty():
+        out, again = out.withColumn("named", is_first), None
+    else:  # rows that are alike in everything: made anew from their number, so that one of them can be named
+        alike = out.where(is_first & (F.col("same") > 1)).groupBy("page_id", "url", "payload", "first").agg(F.count("*").alias("n"))
+        again = alike.select("page_id", "url", "payload", "first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k")).withColumn("named", F.col("k") == 1)
+        out = out.where(~(is_first & (F.col("same") > 1))).withColumn("named", is_first)
+    revisit = (F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    out = (out.select(*shown) if again is None else out.select(*shown).union(again.select(*shown)))
+    return out.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("first"), F.col("named") & ~F.coalesce(revisit, F.lit(False))).toDF(*shown)
 
 
 def write(pages: DataFrame, folder: str, segment: int = SEGMENT, date: str | None = None) -> DataFrame:

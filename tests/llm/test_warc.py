@@ -50,6 +50,17 @@ def test_repeated_page_ids(spark, tmp_path):
     assert sorted(((r.page_id or 0), r.payload_bytes, r.record_type, (r.refers_to or 0)) for r in got) == [(0, big, "revisit", 1), (1, 5, "response", 0), (1, big, "response", 0), (1, big, "response", 0), (1, big + 1, "response", 0), (2, big, "revisit", 1)]
 
 
+def test_revisits_name_records_that_exist(spark, tmp_path):
+    rows = [(i % 50, f"http://{i % 3}" if i % 4 else None, f"page {i % 20}") for i in range(300)] + [(0, "http://a", "all alike")] * 5 + [(1, "http://b", "all alike")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    paths = [r.path for r in warc.write(warc.roles(spark, pages, "html"), f"file://{tmp_path}/w").collect()]
+    heads = [warc.parse(m)[0] for p in paths for m in warc.members(p)]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(heads) == len(rows) and len(set(ids)) == len(ids)
+    targets = {h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit"}
+    assert targets and targets <= {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+
+
 def test_segments_may_lie_anywhere(spark, tmp_path):
     parts = list(warc.records(9, 0, "u", BIG.encode(), None, 1000))
     assert len(parts) > 50
