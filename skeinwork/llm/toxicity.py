@@ -4,12 +4,13 @@ A lexicon of terms and stems is learned from labelled texts.  The Levenshtein au
 into a table, and every token of every text runs through that table, all tokens of a batch at a time.  Symbols are code
 points, and any one of them, the first too, may be edited in an entry of any length.  Ordinary words that lie one edit
 from an entry (lower and loser) are learned from the clean labelled texts and are no hits.  A hit is exact or misspelled.
-The words around a hit tell quotation from abuse: quote marks or reporting verbs near it count apart.
+The words around a hit tell quotation from abuse: hits between a pair of quote marks, after a verb of reporting that isn't
+denied or before one with its speaker, and hits that are named as a word, count apart.  An apostrophe within a word is no
+quote mark.  Labels hold few quotations, so made ones, with little weight, teach what they are worth.
 A logistic regression over these counts gives the score.
 
 Only rows whose crc32(doc_id as text) mod 4 is not 2 are learned from, and of those a bounded sample (MAX_TOXIC and
-MAX_CLEAN texts, by a hash of doc_id).  The lexicon, part of that model, has at most MAX_TERMS entries, those of most toxic
-texts of the sample; rarer ones are left to the words around them.
+MAX_CLEAN texts, by a hash of doc_id).
 
 Defined results: a null or empty text gets the score of a text without hits; without labelled rows of both kinds the
 lexicon is empty and every score is the share of toxic rows (0 without any); rows that share a doc_id are scored row by
@@ -32,13 +33,15 @@ from ..runtime import map_arrow
 from . import common as C
 
 MAX_TOXIC, MAX_CLEAN = 2_500, 5_000  # bound on the labelled texts that are learned from
-MAX_TERMS = 200  # bound on the lexicon: the entries that most toxic texts of the sample have
-MIN_STEM, FUZZY_FROM = 4, 6
+MIN_STEM = 4
+MADE = 0.1  # the weight of made quotations, of that of the toxic texts
 NEAR = 5  # words on either side that make up a hit's context
 THRESHOLD = 0.3
-# Words that introduce speech, and quote marks.
-REPORTING = ["said", "says", "called", "calls", "wrote", "quoted", "quote", "quoting", "word", "term", "reported", "dit", "sagte", "dijo"]
-QUOTES = "\"'“”„«»‘’"
+# Verbs that report speech, words that deny them, speakers that may follow a report, and names of words.
+REPORTING = ["said", "says", "called", "calls", "wrote", "writes", "quoted", "quotes", "quoting", "reported", "yelled", "shouted", "dit", "sagte", "nannte", "dijo"]
+DENYING = ["never", "not", "no", "nobody", "without", "didn't", "don't", "doesn't", "hasn't", "haven't", "nicht", "nie", "pas", "jamais", "nunca"]
+SPEAKERS = ["he", "she", "they", "it", "one", "someone", "er", "sie", "il", "elle", "ella"]
+WORD_NAMES = ["word", "term", "insult", "slur", "mot", "wort", "palabra"]
 _TOKEN = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*", re.UNICODE)
 _INNER = np.zeros(256, bool)
 _INNER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 36, 64]] = True
@@ -77,7 +80,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> list[tuple[str, bool]]:
                 break
             p = nxt
         found.append((t_open[p], p, t_exact[p] >= 0.8 * t_open[p]))
-    return [(p, whole) for _, p, whole in sorted(found, key=lambda x: (-x[0], x[1]))[:MAX_TERMS]]
+    return [(p, whole) for _, p, whole in sorted(found, key=lambda x: (-x[0], x[1]))]
 
 
 # ------------------------------------------------------------------------------------------------ automaton
@@ -126,14 +129,12 @@ class Automaton:
         return self.kind[state]
 
 
-def compile_automaton(entries: list[tuple[str, bool]], anywhere: bool = False, ordinary: Iterable[str] = ()) -> Automaton:
+def compile_automaton(entries: list[tuple[str, bool]], ordinary: Iterable[str] = ()) -> Automaton:
     """The product of the lexicon's trie with one-edit Levenshtein automata, as a deterministic table over code points.
 
     A configuration is (trie node, edits used).  Reading a symbol matches a child, or with an edit left substitutes,
-    inserts or skips one.  With anywhere, as in ``train``, an edit may fall on any symbol of any entry; without, entries
-    shorter than FUZZY_FROM are matched exactly only and the first symbol is kept.  ordinary: words that are no misspellings.
+    inserts or skips one, anywhere in an entry of any length.  ordinary: words that are no misspellings.
     """
-    least = 0 if anywhere else FUZZY_FROM
     trie: list[dict[int, int]] = [{}]
     ends: list[int] = [0]  # 1 exact word, 2 stem
     longest: list[int] = [0]  # of the entries below; ordinary words don't count and are never edited
@@ -157,10 +158,6 @@ def compile_automaton(entries: list[tuple[str, bool]], anywhere: bool = False, o
         ends[node] = max(ends[node], 1 if whole else 2)
     for text in ordinary:
         plain.add(grow(text, -1))
-    depth = [0] * len(trie)
-    for i, kids in enumerate(trie):
-        for j in kids.values():
-            depth[j] = depth[i] + 1
     symbols = sorted({c for kids in trie for c in kids})
     classes = np.zeros(128, np.int32)  # class 0: any other code point
     wide: dict[int, int] = {}
@@ -174,31 +171,31 @@ def compile_automaton(entries: list[tuple[str, bool]], anywhere: bool = False, o
     def closed(conf: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         out = set(conf)
         for node, e in conf:  # skip one symbol of the entry
-            if e == 0 and (node or anywhere):
-                out |= {(j, 1) for j in trie[node].values() if longest[j] >= least}
+            if e == 0:
+                out |= {(j, 1) for j in trie[node].values() if longest[j] >= 0}
         return frozenset((n, e) for n, e in out if not (e == 1 and (n, 0) in out))
 
     def kind_of(conf: frozenset[tuple[int, int]]) -> int:
         best = 0
         for node, e in conf:
-            if ends[node] and (e == 0 or depth[node] >= least):
+            if ends[node]:
                 best = max(best, 2 if e == 0 else 1)
-            if e == 0 and node and any(ends[j] == 1 and depth[j] >= least for j in trie[node].values()):
+            if e == 0 and node and any(ends[j] == 1 for j in trie[node].values()):
                 best = max(best, 1)
         return 0 if best == 1 and any(e == 0 and node in plain for node, e in conf) else best
 
     def step(conf: frozenset[tuple[int, int]], symbol: int) -> frozenset[tuple[int, int]]:
         out = set()
         for node, e in conf:
-            if ends[node] == 2 and (e == 0 or depth[node] >= least):
+            if ends[node] == 2:
                 out.add((node, e))  # a stem holds whatever follows
             for c, j in trie[node].items():
                 if c == symbol:
                     if e == 0 or longest[j] >= 0:
                         out.add((j, e))
-                elif e == 0 and (node or anywhere) and longest[j] >= least:
+                elif e == 0 and longest[j] >= 0:
                     out.add((j, 1))
-            if e == 0 and (node or anywhere) and longest[node] >= least:
+            if e == 0 and longest[node] >= 0:
                 out.add((node, 1))  # one symbol too many
         return closed(out)
 
@@ -225,7 +222,7 @@ def ordinary_words(entries: list[tuple[str, bool]], toxic: list[str], clean: lis
     counts = [Counter(w for t in set(texts) for w in {w.lower() for w in _TOKEN.findall(t or "")}) for texts in (toxic, clean)]
     words = sorted(counts[1])
     data, offs = _pack(words)
-    near = compile_automaton(entries, True).run(data, offs[:-1], offs[1:]) == 1
+    near = compile_automaton(entries).run(data, offs[:-1], offs[1:]) == 1
     scale = len(toxic) / max(len(clean), 1)
     return [w for w, n in zip(words, near) if n and counts[0][w] < 20 * scale * counts[1][w]]
 
@@ -233,12 +230,30 @@ def ordinary_words(entries: list[tuple[str, bool]], toxic: list[str], clean: lis
 def compile_lexicon(toxic: list[str], clean: list[str]) -> Automaton:
     """The automaton of what labelled texts teach: one edit anywhere, but for ordinary words."""
     entries = learn_lexicon(toxic, clean)
-    return compile_automaton(entries, True, ordinary_words(entries, toxic, clean))
+    return compile_automaton(entries, ordinary_words(entries, toxic, clean))
 
 
 # ------------------------------------------------------------------------------------------------ features
-_REPORT = {w.encode() for w in REPORTING}
-_QUOTE_BYTES = [q.encode() for q in QUOTES]
+_BETWEEN_LETTERS = re.compile(r"(?<=\w)['’](?=\w)")
+_OPENING, _CLOSING = re.compile(r"(?<!\w)['‘]+(?=\w)|[“„«]"), re.compile(r"(?<=[\w.,!?])['’](?!\w)|[”»]|“(?!\w)")
+_SPOKEN = re.compile(rf"\W*(?:(?:{'|'.join(SPEAKERS)})\s+(?:{'|'.join(REPORTING)})|(?:{'|'.join(REPORTING)})\s+(?:{'|'.join(SPEAKERS)}))\b", re.IGNORECASE)
+_WORDS = re.compile(r"[\w'’]+")
+
+
+def quoted(before: str, after: str) -> bool:
+    """Whether the few words before and after a hit make it a quotation."""
+    bare, rest = _BETWEEN_LETTERS.sub("", before), _BETWEEN_LETTERS.sub("", after)
+    if bare.count('"') % 2 and '"' in rest:
+        return True
+    last = [m.start() for m in _OPENING.finditer(bare + "x")]  # the hit follows what stands before it
+    if last and not _CLOSING.search(bare, last[-1] + 1) and _CLOSING.search("x" + rest):
+        return True
+    words = [w.lower().replace("’", "'") for w in _WORDS.findall(before)]
+    if words and words[-1] in WORD_NAMES or _SPOKEN.match(after):
+        return True
+    return any(w in REPORTING and not set(words[max(0, i - 3) : i]) & set(DENYING) for i, w in enumerate(words))
+
+
 NAMES = ["exact", "misspelled", "exact_quoted", "misspelled_quoted", "share", "kinds"]
 
 
@@ -249,6 +264,12 @@ def features(data: np.ndarray, offs: np.ndarray, automaton: Automaton) -> np.nda
     if not len(data):
         return out
     inside = _INNER[data]
+    for mark in map(str.encode, "“”„‘’«»"):  # marks of several bytes part words as others do
+        at = np.flatnonzero(data[: max(0, len(data) - len(mark) + 1)] == mark[0])
+        for k in range(1, len(mark)):
+            at = at[data[at + k] == mark[k]]
+        for k in range(len(mark)):
+            inside[at + k] = False
     before = np.ones(len(data), bool)
     before[1:] = ~inside[:-1]
     filled = offs[:-1][np.diff(offs) > 0]
@@ -267,10 +288,10 @@ def features(data: np.ndarray, offs: np.ndarray, automaton: Automaton) -> np.nda
         lo, hi = max(t - NEAR, int(np.searchsorted(s, offs[d]))), min(t + NEAR, len(s) - 1)
         while doc[hi] != d:
             hi -= 1
-        around = data[s[lo] : e[hi]].tobytes()
-        near = {w.lower() for w in around.split()}
-        quoted = bool(near & _REPORT) or any(around.count(q) >= 2 for q in _QUOTE_BYTES)
-        out[d, (2 if quoted else 0) + (kind[t] == 1)] += 1
+        lo, hi = int(s[lo]), int(e[hi])
+        lo, hi = max(int(offs[d]), lo - 4), min(int(offs[d + 1]), hi + 4)  # marks at the borders
+        said = quoted(data[lo : s[t]].tobytes().decode(errors="ignore"), data[e[t] : hi].tobytes().decode(errors="ignore"))
+        out[d, (2 if said else 0) + (kind[t] == 1)] += 1
         seen.setdefault(int(d), set()).add(data[s[t] : e[t]].tobytes().lower())
     plain = out[:, 0] + out[:, 1]
     out[:, 4] = plain / np.maximum(total, 1) * 100
@@ -328,6 +349,20 @@ def respelled(texts: list[str], automaton: Automaton) -> list[str]:
     return out
 
 
+def in_quotation(texts: list[str], automaton: Automaton) -> list[str]:
+    """texts with each exact hit as a quotation, in turn between marks, named as a word, and in what someone said."""
+    forms, out, n = ['"{}"', "the word {}", "he called it {}", "“{}”", "{}, he said,"], [], 0
+    for t in texts:
+        found = list(_TOKEN.finditer(t or ""))
+        data, offs = _pack([m[0] for m in found])
+        pieces, at = [], 0
+        for i in np.flatnonzero(automaton.run(data, offs[:-1], offs[1:]) == 2).tolist():
+            pieces += [t[at : found[i].start()], forms[n % len(forms)].format(found[i][0])]
+            at, n = found[i].end(), n + 1
+        out.append("".join([*pieces, (t or "")[at:]]))
+    return out
+
+
 def parts(texts: list[str], n: int = 200) -> Iterator[list[str]]:
     """texts in lists of n, so that the driver holds the arrays of few texts at a time."""
     for at in range(0, len(texts), n):
@@ -349,9 +384,9 @@ def train(toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> Mod
     share_toxic, share_clean = n_toxic / max(len(toxic), 1), n_clean / max(len(clean), 1)
     for lt, lc, st, sc in ((ta, ca, tb, cb), (tb, cb, ta, ca)):
         automaton = compile_lexicon(lt, lc)
-        x.append(np.concatenate([features(*_pack(part), automaton) for part in parts([*st, *respelled(st, automaton), *sc])]))
-        y.append(np.r_[np.ones(2 * len(st)), np.zeros(len(sc))])
-        weight.append(np.r_[np.full(2 * len(st), share_toxic / 2), np.full(len(sc), share_clean)])
+        x.append(np.concatenate([features(*_pack(part), automaton) for part in parts([*st, *respelled(st, automaton), *sc, *in_quotation(st, automaton)])]))
+        y.append(np.r_[np.ones(2 * len(st)), np.zeros(len(sc) + len(st))])
+        weight.append(np.r_[np.full(2 * len(st), share_toxic / 2), np.full(len(sc), share_clean), np.full(len(st), MADE * share_toxic)])
     y_all, weight = np.concatenate(y), np.concatenate(weight)
     return Model(compile_lexicon(toxic, clean), fit(np.concatenate(x), y_all, weight / weight.mean()))
 

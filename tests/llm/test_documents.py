@@ -137,8 +137,7 @@ def test_automaton_equals_edit_distance():
     for w, kind in zip(words, got):
         lower = w.lower()
         exact = any(lower == e if whole else lower.startswith(e) for e, whole in entries)
-        # the first letter is kept: an edit never replaces or drops it
-        near = any(len(e) >= toxicity.FUZZY_FROM and any(distance(p, e) <= 1 and p[:1] == e[:1] for p in ([lower] if whole else [lower[:k] for k in range(len(lower) + 1)])) for e, whole in entries)
+        near = any(any(distance(p, e) <= 1 for p in ([lower] if whole else [lower[:k] for k in range(len(lower) + 1)])) for e, whole in entries)
         assert (kind == 2) == exact, w
         assert (kind >= 1) == (exact or near), w
 
@@ -167,7 +166,7 @@ def test_toxicity(spark, empty):
 
 def test_one_edit_anywhere_in_short_entries():
     entries = [("moron", False), ("idiot", True), ("clown", True), ("scum", True), ("trash", True), ("loser", True), ("stupid", True), ("naïf", True)]
-    auto = toxicity.compile_automaton(entries, True, ["crown", "lower"])
+    auto = toxicity.compile_automaton(entries, ["crown", "lower"])
     near = ["m0ron", "idi0t", "cl0wn", "scvm", "tr@sh", "l0ser", "ztupid", "tupid", "oron", "xscum", "idiöt", "Idi😀t", "naif", "NAÏFF", "m0ronic", "cum"]
     words = [*near, *(w for w, _ in entries), "NAÏF", "crown", "Lower", "slower", "house", "é", "iidiiot"]
     data, offs = toxicity._pack(words)
@@ -185,10 +184,26 @@ def test_misspelled_short_terms_score_as_toxic():
     assert (got[:3] >= toxicity.THRESHOLD).all() and got[3] < toxicity.THRESHOLD
 
 
+QUOTED = ['he said "moron" loudly', "the word moron", "they called him a moron", "“what a moron” was the line", "‘moron’ is rude", "«ein moron» war es", "moron, he said, and left", "you moron, said she", "it's a 'moron' that's written"]
+PLAIN = [
+    "you are a moron", "you're a moron and I don't care", "it's you, moron, that's all", "I never said so, moron", "moron: I said so", "a word salad of a moron", "the dogs' moron owners' club", 'a "thing" and a moron and a "thing"', "don't moron can't",
+]
+
+
 def test_quotation_is_told_apart():
     auto = toxicity.compile_automaton([("moron", True)])
-    x = toxicity.features(*toxicity._pack(["you are a moron", 'he said "moron" loudly', "the word moron", ""]), auto)
-    assert (x[:, 0] > 0).tolist() == [True, False, False, False] and (x[:, 2] > 0).tolist() == [False, True, True, False]
+    x = toxicity.features(*toxicity._pack([*PLAIN, *QUOTED, ""]), auto)
+    assert (x[:, 0] > 0).tolist() == [True] * len(PLAIN) + [False] * (len(QUOTED) + 1)
+    assert (x[:, 2] > 0).tolist() == [False] * len(PLAIN) + [True] * len(QUOTED) + [False]
+
+
+def test_contractions_change_no_score_and_reports_lower_it():
+    r = random.Random(13)
+    texts = {k: [" ".join([*prose(40, 900 * i + k).split(" "), *([r.choice(["trash", "moron"])] * k)]) for i in range(300)] for k in (0, 1)}
+    model = toxicity.train(texts[1], texts[0], 300, 300)
+    base = prose(40, 5)
+    got = model.score(*toxicity._pack([f"{base} {x}" for x in ["you are a moron and I do not care", "you are a moron and I don't care'n", 'they wrote "moron" on it yesterday again ok']]))
+    assert abs(got[0] - got[1]) < 0.01 and min(got[:2]) >= toxicity.THRESHOLD > got[2]
 
 
 # ------------------------------------------------------------------------------------------------ op4
