@@ -122,6 +122,7 @@ QUERIES = {
     "vector_topk": lambda spark, sf: R.top_k(_vectors(spark, sf), _query(spark, sf), 5).withColumnRenamed("id", "vec_id"),
     "vector_topk_filtered": lambda spark, sf: R.top_k_filtered(_vectors(spark, sf), _query(spark, sf), _labels(spark), "label", 5).withColumnRenamed("id", "vec_id"),
     "rerank_cosine": lambda spark, sf: R.rerank(_vectors(spark, sf), _query(spark, sf), 4).withColumnRenamed("id", "vec_id"),
+    "rerank_reused": lambda spark, sf: R.rerank(_vectors(spark, sf).join(R.top_k(_vectors(spark, sf), _query(spark, sf), None), "id"), _query(spark, sf), 4).withColumnRenamed("id", "vec_id"),
     "vector_cells_topk": lambda spark, sf: S.stored_vectors(spark, sf).top_k(_query(spark, sf), 5).withColumnRenamed("id", "vec_id"),
     "vector_cells_filtered": lambda spark, sf: S.stored_vectors(spark, sf).top_k(_query(spark, sf), 5, _labels(spark), "label").withColumnRenamed("id", "vec_id"),
     "bm25_topk": lambda spark, sf: S.stored_texts(spark, sf, "postings").bm25(_bench_query(spark, sf), 10).withColumnRenamed("id", "doc_id"),
@@ -196,6 +197,7 @@ SQL = {
     "vector_topk": f"WITH {_COS} SELECT vec_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 5",
     "vector_topk_filtered": f"WITH {_COS} SELECT vec_id, score FROM cos WHERE label IN (1, 3) ORDER BY score DESC, vec_id LIMIT 5",
     "rerank_cosine": f"WITH {_COS} SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM cos ORDER BY score DESC, vec_id LIMIT 4",
+    "rerank_reused": f"WITH {_COS} SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM cos ORDER BY score DESC, vec_id LIMIT 4",
     "vector_cells_topk": f"WITH {_COS} SELECT vec_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 5",
     "vector_cells_filtered": f"WITH {_COS} SELECT vec_id, score FROM cos WHERE label IN (1, 3) ORDER BY score DESC, vec_id LIMIT 5",
     "bm25_topk": f"WITH {_BM} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10",

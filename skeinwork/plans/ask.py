@@ -17,9 +17,11 @@ from ..functions.text import PROVIDER_FAILURES, SUBTYPE_KEYWORDS, TEMPLATE_PATTE
 from ..operators import graph, names, search
 from ..runtime import written
 from ..sources.retrieval import Stored
+from ..sources.store import Results
 from . import context as checks
 
 NAMES = ["source", "via", "filename"]  # parameters that are files' names
+ROWS = 50  # that an answer takes of a plan
 # The templates that are tried for each kind of question about the architecture, in order.
 ARCHITECT_PLANS = {
     "request_flow": ["request_flow", "entry_call_chain"], "system_overview": ["system_overview", "entry_call_chain"], "dependency_map": ["dependency_map"],
@@ -154,33 +156,41 @@ def scope(spark: SparkSession, question: str, rows: list[dict], tables: dict[str
 
 
 def retrieve(spark: SparkSession, question: str, tables: dict[str, DataFrame], files: DataFrame, k: int = 5, stored: Stored | None = None) -> DataFrame:
-    """(id, path, text, score) of the k best chunks by hybrid search, within the files (path) if they have chunks.
+    """(id, path, class_name, function_name, line_start, line_end, text, score) of the k best chunks by hybrid search, within the files (path) if they have chunks.
 
     stored: the chunks' postings and vectors; without them they are made for this question."""
-    chunks = tables["chunks"].select("id", "path", "text")
+    chunks = tables["chunks"].select("id", "path", "class_name", "function_name", "line_start", "line_end", "text")
     inside = written(chunks.join(files.select("path").distinct(), "path", "left_semi").select("id"), "scope")
     keep, asked = None if inside.isEmpty() else inside, spark.createDataFrame([(question,)], "text string")
     if stored is not None:
         best = stored.hybrid(asked, k, keep=keep)
     else:
         best = search.hybrid((chunks if keep is None else chunks.join(keep, "id", "left_semi")).select("id", "text"), asked, k)
-    return best.join(chunks, "id").select("id", "path", "text", F.col("rrf").alias("score")).orderBy(F.desc("score"), "id")
+    return best.join(chunks, "id").select(*chunks.columns, F.col("rrf").alias("score")).orderBy(F.desc("score"), "id")
 
 
-def ask(spark: SparkSession, question: str, tables: dict[str, DataFrame], provider: Provider | None = None, history: list[dict] | None = None, stored: Stored | None = None) -> dict:
+def ask(
+    spark: SparkSession, question: str, tables: dict[str, DataFrame], provider: Provider | None = None, history: list[dict] | None = None, stored: Stored | None = None, results: Results | None = None
+) -> dict:
     """question, plans, rows (bounded), chunks, sources (files, best first), score (the best chunk's) and answer.
 
     A template without rows falls through to the next plan; chunks of the files that the rows or the question name are
-    found beside them, and are all there is where no plan has rows."""
+    found beside them, and are all there is where no plan has rows.  stored and results: the stored version's postings and
+    vectors, and the results that were kept with it."""
     provider, history = provider or Provider(), history or []
-    rows, used, asked = [], [], provider.rewrite(question, history)
+    rows, used, frames, asked = [], [], [], provider.rewrite(question, history)
     for plan in route(asked):
         plan = with_known_names(spark, plan, tables)
-        got = [r.asDict() for r in execute(plan, tables).limit(50).collect()]
+        make = lambda plan=plan: execute(plan, tables).limit(ROWS)
+        found = make() if results is None else results.get(plan.template, plan.params, make)
+        got = found.collect()
         if got:
-            rows, used = rows + got, [*used, plan]
-    found = [r.asDict() for r in retrieve(spark, asked, tables, scope(spark, asked, rows, tables), stored=stored).collect()]
-    context = "\n".join(", ".join(f"{k}: {v}" for k, v in r.items() if v is not None) for r in [*rows, *found])
+            rows, used = rows + [r.asDict() for r in got], [*used, plan]
+            frames.append(spark.createDataFrame(got, found.schema))
+    best = retrieve(spark, asked, tables, scope(spark, asked, rows, tables), stored=stored)
+    near = best.collect()
+    found = [r.asDict() for r in near]
+    context = checks.context(spark, frames, spark.createDataFrame(near, best.schema) if near else None)
     named = [*checks.checked(rows)["files"], *(r["path"] for r in found)]
     return {
         "question": question, "plans": used or [Plan("retrieval")], "rows": rows or found, "chunks": found, "sources": list(dict.fromkeys(named)),

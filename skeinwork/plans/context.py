@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +44,29 @@ def section(title: str, rows: DataFrame, order: str, text: str) -> DataFrame:
     return kept.select(F.when(F.size("rows") > 0, F.concat(F.lit(f"[{title}]\n"), body)).otherwise(F.lit("")).alias("text"))
 
 
+def _text_of(df: DataFrame, name: str) -> Column:
+    """A field as text: a list's items, but for empty ones, are joined."""
+    if df.schema[name].dataType.typeName() == "array":
+        return F.array_join(F.filter(F.col(f"`{name}`").cast("array<string>"), lambda x: x.isNotNull() & (x != "")), ", ")
+    return F.col(f"`{name}`").cast("string")
+
+
+def context(spark: SparkSession, records: list[DataFrame], chunks: DataFrame | None) -> str:
+    """The context of an answer: the graph section of the records, numbered on through all frames of bounded size, and the
+    code section of chunks (path, class_name, function_name, line_start, line_end, score, text), best first."""
+    parts, n = [], 0
+    for df in records:
+        place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + n
+        fields = {c: _text_of(df, c) for c in df.columns}
+        parts.append(df.select(place.alias("pos"), *(v.alias(f"field_{i}") for i, v in enumerate(fields.values()))).select("pos", record_text(F.col("pos"), {c: F.col(f"field_{i}") for i, c in enumerate(fields)}).alias("one")))
+        n += df.count()
+    sections = [section("Graph Relationships", reduce(DataFrame.union, parts), "pos", "one")] if parts else []
+    if chunks is not None:
+        one = chunk_text(*(F.col(c) for c in ("path", "class_name", "function_name", "line_start", "line_end", "score", "text")))
+        sections.append(section("Code Chunks", chunks.select(F.struct((-F.col("score")).alias("a"), "id").alias("place"), one.alias("one")), "place", "one"))
+    return "\n\n".join(t for t in (s.first().text for s in sections) if t).strip()
+
+
 # ------------------------------------------------------------------------------------------------ checks of results
 FALLBACK_COLUMN, LEAST_FILES = "f.path", 1
 

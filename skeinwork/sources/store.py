@@ -7,6 +7,8 @@ old ones the last stays, for readers that have begun with it.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
@@ -68,3 +70,19 @@ def delete(spark: SparkSession, root: str, repo_id: str, counted: str = "nodes")
     fs, p = _fs(spark, f"{root}/{repo_id}")
     fs.delete(p, True)
     return n
+
+
+class Results:
+    """Materialised results of a stored repository's current version, by name and parameters.  They lie in the version's
+    folder, so a new version begins without any and they go with theirs."""
+
+    def __init__(self, spark: SparkSession, root: str, repo_id: str) -> None:
+        self.spark, self.path = spark, f"{current(spark, root, repo_id)}/results"
+
+    def get(self, name: str, params: dict, make: Callable[[], DataFrame]) -> DataFrame:
+        """The result that is kept for a name and parameters; where there is none, make's, which is then kept."""
+        key = hashlib.sha256(json.dumps([name, params], sort_keys=True).encode()).hexdigest()[:32]
+        fs, whole = _fs(self.spark, f"{self.path}/{key}/_SUCCESS")
+        if not fs.exists(whole):
+            make().write.mode("overwrite").parquet(f"{self.path}/{key}")
+        return self.spark.read.parquet(f"{self.path}/{key}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinwork.catalogue.code import FILES
 from skeinwork.operators import search
 from skeinwork.plans import ask
-from skeinwork.sources import index, retrieval
+from skeinwork.sources import index, retrieval, store
 
 rng = random.Random(11)
 RARE = [f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
@@ -108,7 +108,39 @@ def test_ask_with_stored_tables(spark, tmp_path):
     tables, stored = index.load(spark, root, "r")
     asked = ask.ask(spark, "strip text helper", tables, stored=stored)
     assert asked["plans"] == [ask.Plan("retrieval")] and asked["chunks"]
+    assert asked["answer"].startswith("[Code Chunks]\n\n[util/text.py | module_level.") and "lines 1-2 | score 0.03" in asked["answer"]
     fresh = ask.ask(spark, "strip text helper", tables)["chunks"]  # its words are as rare as they are in the named files
     assert {c["id"] for c in asked["chunks"]} == {c["id"] for c in fresh} and {c["path"] for c in fresh} == {"util/text.py"}
     q = spark.createDataFrame([("class with a step",)], "text string")
     assert stored.hybrid(q, 3).collect() == search.hybrid(tables["chunks"].select("id", "text"), q, 3).collect()
+
+
+class Words(ask.Provider):
+    def answer(self, question, context, history):
+        return context
+
+
+def test_results_are_kept_with_their_version(spark, tmp_path):
+    built = index.build(spark, spark.createDataFrame(FILES, "path string, content string"))
+    root = f"file://{tmp_path}"
+    index.save(spark, root, "r", {k: built[k] for k in ("nodes", "edges", "chunks")})
+    tables, stored = index.load(spark, root, "r")
+    kept = store.Results(spark, root, "r")
+    question = "What does app.py import"
+    first = ask.ask(spark, question, tables, Words(), stored=stored, results=kept)
+    assert first["answer"].startswith("[Graph Relationships]\n\nRecord 1:\n  file: ") and "\n\nRecord 2:\n  file: " in first["answer"] and "\n\n[Code Chunks]\n" in first["answer"]
+    without = {**tables, "edges": tables["edges"].limit(0)}
+    again = ask.ask(spark, question, without, stored=stored, results=kept)  # is read, not made
+    assert again["rows"] == first["rows"] and len(first["rows"]) == 2
+    index.save(spark, root, "r", {"nodes": tables["nodes"], "edges": tables["edges"].where("dst <> 'util/text.py'"), "chunks": tables["chunks"]})
+    tables, stored = index.load(spark, root, "r")
+    new = ask.ask(spark, question, tables, stored=stored, results=store.Results(spark, root, "r"))
+    assert [r["file"] for r in new["rows"]] == ["pkg/models.py"]
+
+
+def test_scores_are_used_again(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 0.1), (2, [0.0, 1.0], 0.9), (3, [1.0, 1.0], 0.5)], "id long, embedding array<double>, score double")
+    q = spark.createDataFrame([([1.0, 0.0],)], "embedding array<double>")
+    ranked = lambda df: [r.id for r in search.rerank(df, q, 2).orderBy("rank").collect()]
+    assert ranked(vectors) == [2, 3] and ranked(vectors.drop("score")) == [1, 3]
+    assert ranked(vectors.withColumn("score", F.when(F.col("id") > 1, F.col("score")))) == [1, 3]
