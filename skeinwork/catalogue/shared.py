@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import runtime
-from ..operators import search
 from ..sources import retrieval
 
 _stored: dict[tuple[str, str, str], retrieval.Stored] = {}
@@ -76,7 +75,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 _WRITERS = {
     ("texts", "postings"): lambda spark, sf, path: retrieval.write_postings(_texts(spark, sf), path),
-    ("texts", "vectors"): lambda spark, sf, path: retrieval.write_vectors(search.embed(_texts(spark, sf)), path),
+    ("texts", "vectors"): lambda spark, sf, path: retrieval.write_vectors(retrieval.embedded(spark, path), path),
     ("vectors", "vectors"): lambda spark, sf, path: retrieval.write_vectors(_vectors(spark, sf), path),
 }
 

@@ -34,9 +34,14 @@ def embed(texts: DataFrame, dimensions: int = 64) -> DataFrame:
     """(id, embedding) of texts (id, text): each word adds 1 or -1 to one dimension, both taken from its MD5 sum.
 
     A text without words (or null) is all zeros; rows that share an id are one text."""
+    return embed_counts(texts.select("id", F.explode_outer(words(F.col("text"))).alias("term"), F.lit(1).alias("tf")), dimensions)
+
+
+def embed_counts(counted: DataFrame, dimensions: int = 64) -> DataFrame:
+    """embed of words that have been counted (id, term, tf); a text without words has a row with nulls."""
     digit = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("int")
-    each = texts.select("id", F.explode_outer(words(F.col("text"))).alias("w")).withColumn("h", F.md5("w"))
-    signed = each.select("id", (digit(1, 4) % dimensions).alias("d"), F.when(digit(5, 1) % 2 == 0, 1.0).otherwise(-1.0).alias("x"))
+    each = counted.select("id", F.md5("term").alias("h"), F.col("tf").cast("double").alias("n"))
+    signed = each.select("id", (digit(1, 4) % dimensions).alias("d"), F.when(digit(5, 1) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("x"))
     sums = [F.coalesce(F.sum(F.when(F.col("d") == i, F.col("x"))), F.lit(0.0)) for i in range(dimensions)]
     return signed.groupBy("id").agg(F.array(*sums).alias("embedding"))  # a task adds a text's words up before they are shuffled
 

@@ -59,8 +59,8 @@ def _write(df: DataFrame, path: str, name: str, by: str) -> DataFrame:
 def _counted(ws: Column) -> Column:
     """The distinct words of a sorted array, with their numbers: runs of equal ones, without a row a word."""
     last = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: (i == F.size(ws)) | (F.get(ws, i) != F.get(ws, i - 1)))
-    runs = lambda ends: F.transform(ends, lambda e, j: F.struct(F.get(ws, e - 1).alias("term"), (e - F.when(j == 0, 0).otherwise(F.get(ends, j - 1))).cast("short").alias("tf")))
-    return F.when(F.size(ws) > 0, F.element_at(F.transform(F.array(last), runs), 1)).otherwise(F.array().cast("array<struct<term:string,tf:short>>"))
+    runs = lambda ends: F.transform(ends, lambda e, j: F.struct(F.get(ws, e - 1).alias("term"), (e - F.when(j == 0, 0).otherwise(F.get(ends, j - 1))).cast("int").alias("tf")))
+    return F.when(F.size(ws) > 0, F.element_at(F.transform(F.array(last), runs), 1)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
 
 def write_postings(texts: DataFrame, path: str, buckets: int = BUCKETS, slab: int = SLAB) -> None:
@@ -73,9 +73,15 @@ def write_postings(texts: DataFrame, path: str, buckets: int = BUCKETS, slab: in
     kept = spark.read.schema(shaped.schema).parquet(f"{path}/texts")
     kept.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats").first()
-    each = kept.select("slab", "place", "len", F.inline("terms")).withColumn("bucket", _bucket(F.col("term"), buckets))
     pieces = max(1, stats.n_docs // PIECE)  # a frequent word's list, and its bucket, are split by slab
-    dealt = each.repartition("bucket", F.pmod(F.xxhash64("slab"), F.lit(pieces))).sortWithinPartitions("bucket", "term", "slab")
+    # two numbers and a word are shuffled for each posting
+    each = kept.select((F.col("slab") * slab + F.col("place")).alias("number"), "len", F.inline("terms")).select("number", "term", F.shiftleft(F.col("len").cast("long"), 32).bitwiseOR(F.col("tf").cast("long")).alias("both"))
+    each = each.repartition(_bucket(F.col("term"), buckets), F.pmod(F.xxhash64(F.floor(F.col("number") / slab)), F.lit(pieces)))
+    each = each.select(
+        "term", F.floor(F.col("number") / slab).alias("slab"), (F.col("number") % slab).cast("short").alias("place"), F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("tf"),
+        F.shiftright("both", 32).cast("int").alias("len"), _bucket(F.col("term"), buckets).alias("bucket"),
+    )
+    dealt = each.sortWithinPartitions("bucket", "term", "slab")
     postings = _write(dealt, path, "postings", "bucket")
     lists = postings.groupBy("bucket", "term", "slab").agg(F.count("*").cast("int").alias("n"), F.max(_weight(stats.avg_len or 1.0)).alias("most"))
     order = ["bucket", "term", "slab"]
@@ -217,5 +223,10 @@ class Stored:
 def write(texts: DataFrame, path: str, vectors: DataFrame | None = None) -> Stored:
     """Postings and vectors of texts (id, text), written below path; vectors: theirs (id, embedding), if a model made some."""
     write_postings(texts, path)
-    write_vectors(search.embed(texts) if vectors is None else vectors, path)
+    write_vectors(embedded(texts.sparkSession, path) if vectors is None else vectors, path)
     return Stored(texts.sparkSession, path)
+
+
+def embedded(spark: SparkSession, path: str, dimensions: int = 64) -> DataFrame:
+    """search.embed of the texts whose postings are below path, from their counted words."""
+    return search.embed_counts(spark.read.parquet(f"{path}/texts").select("id", F.inline_outer("terms")), dimensions)
