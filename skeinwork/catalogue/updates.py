@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import state as U
+from ..runtime import scratch
 from ..streaming import activity as A
+from ..streaming import order as O
 from . import shared as S
 
 _replayed: dict[tuple[str, str], object] = {}
@@ -53,6 +55,25 @@ def _watched(spark, sf):
     return _replayed[key]
 
 
+def _out_of_order(spark, sf):
+    """All events as a log that arrives up to 90 minutes late in four parts, every third one twice; every fiftieth one comes
+    when all others have.  Rows as put in order, and those too late for it."""
+    e = S.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    delay = lambda seed: F.make_interval(secs=F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(5400)))
+    held = F.col("event_id") % 50 == 0
+    once = e.withColumn("at", F.col("ts") + delay(1))
+    log = once.unionByName(once.where("event_id % 3 = 0").withColumn("at", F.col("ts") + delay(2)))
+    lo, hi = log.agg(F.min("at"), F.max("at")).first()
+    part = F.when(held, 4).otherwise(F.least(F.width_bucket(F.unix_seconds(F.col("at").cast("timestamp")).cast("double"), *(F.unix_seconds(F.lit(t).cast("timestamp")).cast("double") for t in (lo, hi)), F.lit(4)), F.lit(4)) - 1)
+    folder, root, states = (scratch(spark, f"order-{x}") for x in ("log", "tables", "states"))
+    sink = O.Ordered(root, "event_id")
+    for k in range(5):
+        log.where(part == k).select(*e.columns).write.mode("append").parquet(folder)
+        O.arrive(spark, folder, e.schema, sink, states)
+    released, late = sink.released(spark, e.schema, ended=True), sink.late_rows(spark, e.schema)
+    return released.withColumn("late", F.lit(False)).unionByName(late.distinct().withColumn("late", F.lit(True)))
+
+
 def _properties(spark, sf):
     """A property of every event, read from its JSON text: null where the text isn't JSON or lacks it."""
     v = S.table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("v"))
@@ -65,6 +86,7 @@ QUERIES = {
     "property_sums": lambda spark, sf: _properties(spark, sf).groupBy((F.col("k") % 10).alias("digit")).agg(F.count("*").alias("n"), F.sum("k").alias("total")),
     "stream_last_activity": lambda spark, sf: A.last_of(_watched(spark, sf)),
     "stream_inactive": lambda spark, sf: A.idle_of(_watched(spark, sf)),
+    "stream_ordered": _out_of_order,
     "cleanup_order": lambda spark, sf: U.cleanup_order(_log(spark, sf), _failures(spark, sf)),
     "cleanup_failures": lambda spark, sf: U.after_cleanup(_failures(spark, sf), _results(spark, sf)),
     "last_activity": lambda spark, sf: U.last_activity(_log(spark, sf)),
@@ -90,6 +112,7 @@ SQL = {
     "property_sums": f"WITH {_PROPS} SELECT k % 10 AS digit, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM props GROUP BY 1",
     "stream_last_activity": "SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id",
     "stream_inactive": "SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 3 HOURS",
+    "stream_ordered": "SELECT event_id, user_id, ts, event_id % 50 = 0 AND ts < (SELECT max(ts) - INTERVAL 2 HOURS FROM events WHERE event_id % 50 <> 0) AS late FROM events",
     "cleanup_order": f"""WITH {_FAILED}, idle AS (SELECT user_id AS key, max(ts) AS last_seen FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 3 HOURS)
       SELECT key, last_seen, coalesce(failures, 0) AS failures, CAST(row_number() OVER (ORDER BY coalesce(failures, 0), last_seen, key) AS INT) AS turn FROM idle LEFT JOIN failed USING (key)""",
     "cleanup_failures": f"""WITH {_FAILED}, kinds AS (SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id), every AS (SELECT key, kind, coalesce(failures, 0) AS n FROM kinds LEFT JOIN failed USING (key))

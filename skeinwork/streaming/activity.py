@@ -139,6 +139,14 @@ def idle_of(watched: DataFrame) -> DataFrame:
     return found.where("idle_since = last_seen").select("key", "last_seen")
 
 
+def marks(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the batches that a sink has finished below root."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{root}/done")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 class Cleanup:
     """A foreachBatch sink for watch's rows: each idle key is removed; failures are a table below ``root``.
 
@@ -151,20 +159,14 @@ class Cleanup:
     def __init__(self, root: str, remove: Callable) -> None:
         self.root, self.remove = root.rstrip("/"), remove
 
-    def _done(self, spark: SparkSession) -> list[int]:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/done")
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p)) if fs.exists(p) else []
-
     def failures(self, spark: SparkSession, schema: str) -> DataFrame:
         """(key, failures, last_seen) after the last whole batch."""
-        done = self._done(spark)
+        done = marks(spark, self.root)
         return spark.read.schema(schema).parquet(f"{self.root}/failures/{done[-1]}") if done else spark.createDataFrame([], schema)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark, remove = batch.sparkSession, self.remove
-        if number in self._done(spark):
+        if number in marks(spark, self.root):
             return
         ship(spark)
         kind, time = (dict(batch.dtypes)[c] for c in ("key", "last_seen"))

@@ -1,12 +1,16 @@
 """Streams of activity against batches, and cleanups that are played twice."""
 
 import datetime
+import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import state
 from skeinwork.streaming import activity as A
+from skeinwork.streaming.activity import marks
+from skeinwork.streaming.order import Ordered, arrive
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -96,5 +100,43 @@ def test_cleanup_of_a_stream(spark, tmp_path):
     out = A.watch(stream).writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/states").trigger(availableNow=True)
     A.with_rocks(spark, out.start).awaitTermination()
     assert {(r.key, r.failures) for r in sink.failures(spark, "key long, failures long, last_seen timestamp").collect()} == {(13, 1)}
-    tried = spark.read.parquet(*[f"{tmp_path}/cleanup/results/{n}" for n in sink._done(spark)])
+    tried = spark.read.parquet(*[f"{tmp_path}/cleanup/results/{n}" for n in marks(spark, sink.root)])
     assert {r.key for r in tried.where("removed").collect()} == {1}
+
+
+def test_log_put_in_order(spark, tmp_path):
+    """A shuffled replay with copies equals the batch, in order; late, null and unfinished parts have their places."""
+    r = random.Random(4)
+    rows = [(k, at(0.1 * k), f"v{k}") for k in range(200)]
+    arrivals = sorted((k * 0.1 + r.uniform(0, 1.4), row) for k, row in enumerate(rows) for _ in range(r.choice([1, 1, 2, 3])))
+    arrivals += [(99, (500, at(1), "too late")), (99, (0, at(0), "v0")), (99, (None, at(20), "no key")), (99, (501, None, "no time"))]
+    shape = spark.createDataFrame([], "id long, ts timestamp, v string").schema
+    sink = Ordered(f"{tmp_path}/order", "id")
+    for part in range(0, len(arrivals), 90):
+        spark.createDataFrame([row for _, row in arrivals[part : part + 90]], shape).write.mode("append").parquet(f"{tmp_path}/log")
+        arrive(spark, f"{tmp_path}/log", shape, sink, f"{tmp_path}/states")
+    late = sorted((tuple(x) for x in sink.late_rows(spark, shape).collect()), key=str)
+    assert late == sorted([x for _, x in arrivals[-4:]], key=str)
+    ended = [tuple(x) for x in sink.released(spark, shape, ended=True).collect()]
+    assert sorted(ended) == rows and sink.released(spark, shape).count() < len(rows)
+    done = marks(spark, sink.root)
+    times = [[x.ts for x in spark.read.parquet(f"{sink.root}/ordered/{n}").collect()] for n in done]
+    assert len(done) >= 4 and all(max(a) < min(b) for a, b in zip([t for t in times if t], [t for t in times if t][1:]))
+    # a finished batch that is played again does nothing; one without its mark is written anew, to the same tables
+    again = spark.createDataFrame([(900, at(100), "again")], shape)
+    sink(again, done[-1])
+    assert sorted(tuple(x) for x in sink.released(spark, shape, ended=True).collect()) == rows
+    new = spark.createDataFrame([(901, at(30), "next"), (901, at(30), "copy"), (199, at(19.9), "v199")], shape)
+    sink(new, done[-1] + 1)
+    first = sorted(tuple(x) for x in sink.released(spark, shape, ended=True).collect())
+    shutil.rmtree(f"{sink.root}/done/{done[-1] + 1}")
+    sink(new, done[-1] + 1)
+    assert sorted(tuple(x) for x in sink.released(spark, shape, ended=True).collect()) == first == [*rows, (901, at(30), "copy")]
+
+
+def test_order_of_an_empty_log(spark, tmp_path):
+    shape = spark.createDataFrame([], "id long, ts timestamp_ntz").schema
+    sink = Ordered(f"{tmp_path}/order", "id")
+    for n in (0, 1):
+        sink(spark.createDataFrame([], shape), n)
+        assert sink.released(spark, shape, ended=True).count() == sink.late_rows(spark, shape).count() == 0
