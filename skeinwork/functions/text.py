@@ -133,9 +133,28 @@ def friendly_error(message: Column) -> Column:
     return table[cause]
 
 
+def fixed(x: Column, places: int) -> Column:
+    """x with so many decimals (1 to 7), the nearest to its binary value, ties to even, as C's printf has it; ``format_string``
+    rounds the shortest decimal half up instead."""
+    scale = 10**places
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole
+    scaled = part * float(scale)
+    high = part * 134217729.0 - (part * 134217729.0 - part)  # 26 bits of part, so that both products below are exact
+    lost = (high * float(scale) - scaled) + (part - high) * float(scale)
+    below = F.floor(scaled)
+    half = scaled - below - 0.5
+    up = (half > 0) | (half == 0) & ((lost > 0) | (lost == 0) & (below % 2 == 1))
+    last = below + up.cast("long")
+    shown = F.concat((whole + F.floor(last / scale)).cast("string"), F.lit("."), F.lpad((last % scale).cast("string"), places, "0"))
+    signed = F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), shown)
+    return F.when(size < float(1 << 62), signed).otherwise(F.format_string(f"%.{places}f", x))
+
+
 def compact_number(n: Column) -> Column:
     """1234 as 1.2K."""
-    return F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000), F.lit("K"))).otherwise(n.cast("string"))
+    return F.when(n >= 1000, F.concat(fixed(n / 1000, 1), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def result_confidence(question: Column, n_rows: Column) -> Column:

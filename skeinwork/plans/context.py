@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 
 def critical_files(records: DataFrame, n: int = 4) -> DataFrame:
     """(path, pos): the first n distinct files named in records (pos, value); ``path::name`` names its path."""
@@ -32,7 +34,7 @@ def chunk_text(path: Column, class_name: Column, function_name: Column, lo: Colu
     part = lambda c, other: F.coalesce(c, F.lit(other))
     head = F.concat(
         F.lit("\n["), part(path, "unknown"), F.lit(" | "), part(class_name, "module_level"), F.lit("."), part(function_name, "module_level_segment"), F.lit(" | lines "),
-        part(lo.cast("string"), "?"), F.lit("-"), part(hi.cast("string"), "?"), F.lit(" | score "), F.format_string("%.4f", score), F.lit("]"),
+        part(lo.cast("string"), "?"), F.lit("-"), part(hi.cast("string"), "?"), F.lit(" | score "), fixed(score, 4), F.lit("]"),
     )
     return F.concat_ws("\n", head, text)
 
