@@ -1,11 +1,12 @@
 """Stored postings and vectors of texts: what retrieval reads, written once with the texts' version.
 
 ``texts`` (slab, place, id, len, terms) has each text's words and how often it has them; a slab is at most SLAB texts that
-follow each other where they are read, and a text goes by its place in one.  ``postings`` (bucket, term, slab, place, tf,
-len) is partitioned by a hash of the term and sorted within.  ``blocks`` (bucket, term, slab, n, most) has the size of each
-slab's part of a list and the highest weight in it.  A question reads the lists of its own words alone:
+follow each other where they are read, and a text goes by its place in one.  ``postings`` (bucket, term, slab, n, most, place,
+tf, len) is partitioned by a hash of the term and sorted within.  A row is a slab's part of a word's list: its size, the highest
+weight in it, and arrays with the texts' places, counts and lengths; a slab that several tasks read has several such rows.  A
+question reads the lists of its own words alone:
 
-1. the blocks give a bound on the score of every slab; the slabs with the highest bounds are scored, and the k-th best of
+1. the rows' highest weights give a bound on the score of every slab; the slabs with the highest bounds are scored, and the k-th best of
    their texts is a floor for all;
 2. slabs under the floor are left out; of the words, those that even together stay under the floor can't bring a text in by
    themselves (MaxScore), so their lists are read for texts alone that other words bring near enough.
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import search
-from ..runtime import written
+from ..runtime import map_arrow, written
+from .postings import counter, packer
 
-BUCKETS, SLAB, SLABS_FIRST, LISTED, PIECE = 64, 1024, 4, 1000, 1_000_000
+BUCKETS, SLAB, SLABS_FIRST, LISTED, PIECE = 64, 1024, 4, 1000, 200_000
 SAMPLE, CELLS, PROBED, ROUNDS = 50_000, 1024, 8, 5
 SLACK = 1e-6  # scores are rounded to 6 places
 
@@ -56,36 +58,21 @@ def _write(df: DataFrame, path: str, name: str, by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
-def _counted(ws: Column) -> Column:
-    """The distinct words of a sorted array, with their numbers: runs of equal ones, without a row a word."""
-    last = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: (i == F.size(ws)) | (F.get(ws, i) != F.get(ws, i - 1)))
-    runs = lambda ends: F.transform(ends, lambda e, j: F.struct(F.get(ws, e - 1).alias("term"), (e - F.when(j == 0, 0).otherwise(F.get(ends, j - 1))).cast("int").alias("tf")))
-    return F.when(F.size(ws) > 0, F.element_at(F.transform(F.array(last), runs), 1)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
-
-
 def write_postings(texts: DataFrame, path: str, buckets: int = BUCKETS, slab: int = SLAB) -> None:
-    """Write texts, postings, blocks and stats of texts (id, text) below path."""
+    """Write texts, postings and stats of texts (id, text) below path."""
     spark = texts.sparkSession
     number = F.monotonically_increasing_id()  # of one pass: the table is what all others are made of
-    sorted_words = texts.select("id", number.alias("number"), F.array_sort(search.words(F.col("text"))).alias("ws"))
-    shaped = sorted_words.select(F.floor(F.col("number") / slab).alias("slab"), (F.col("number") % slab).cast("short").alias("place"), "id", F.size("ws").alias("len"), _counted(F.col("ws")).alias("terms"))
+    ws = texts.select("id", number.alias("number"), search.words(F.col("text")).alias("ws")).select("id", "number", F.size("ws").alias("len"), "ws")
+    shaped = map_arrow(ws, counter(slab), f"slab long, place short, id {texts.schema['id'].dataType.simpleString()}, len int, terms array<struct<term:string,tf:int>>")
     shaped.write.parquet(f"{path}/texts")
     kept = spark.read.schema(shaped.schema).parquet(f"{path}/texts")
     kept.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats").first()
-    pieces = max(1, stats.n_docs // PIECE)  # a frequent word's list, and its bucket, are split by slab
-    # two numbers and a word are shuffled for each posting
-    each = kept.select((F.col("slab") * slab + F.col("place")).alias("number"), "len", F.inline("terms")).select("number", "term", F.shiftleft(F.col("len").cast("long"), 32).bitwiseOR(F.col("tf").cast("long")).alias("both"))
-    each = each.repartition(_bucket(F.col("term"), buckets), F.pmod(F.xxhash64(F.floor(F.col("number") / slab)), F.lit(pieces)))
-    each = each.select(
-        "term", F.floor(F.col("number") / slab).alias("slab"), (F.col("number") % slab).cast("short").alias("place"), F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("tf"),
-        F.shiftright("both", 32).cast("int").alias("len"), _bucket(F.col("term"), buckets).alias("bucket"),
-    )
-    dealt = each.sortWithinPartitions("bucket", "term", "slab")
-    postings = _write(dealt, path, "postings", "bucket")
-    lists = postings.groupBy("bucket", "term", "slab").agg(F.count("*").cast("int").alias("n"), F.max(_weight(stats.avg_len or 1.0)).alias("most"))
-    order = ["bucket", "term", "slab"]
-    _write(lists.repartitionByRange(*order).sortWithinPartitions(*order), path, "blocks", "bucket")
+    pieces = max(1, stats.n_docs // PIECE)  # a bucket is split by slab, so that a task sorts no more as the table grows
+    # a row is shuffled for each word of a slab, not for each posting
+    lists = map_arrow(kept.select("slab", "place", "len", "terms"), packer(stats.avg_len or 1.0), "term string, slab long, n int, most double, place array<short>, tf array<int>, len array<int>")
+    lists = lists.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(buckets * pieces, "bucket", F.pmod(F.xxhash64("slab"), F.lit(pieces)))
+    _write(lists.sortWithinPartitions("bucket", "term", "slab"), path, "postings", "bucket")
 
 
 def write_vectors(vectors: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> None:
@@ -131,8 +118,8 @@ class Stored:
         stats = self.table("stats").first()
         terms = question.select(F.explode(F.array_distinct(search.words(F.col("text")))).alias("term")).distinct()
         asked = terms.select("term", _bucket(F.col("term"), stats.buckets).alias("bucket")).collect()  # one question's words
-        lists = lambda name: self.table(name).where(F.col("bucket").isin(sorted({r.bucket for r in asked})) & F.col("term").isin(sorted(r.term for r in asked)))
-        blocks, postings = lists("blocks"), lists("postings")
+        lists = self.table("postings").where(F.col("bucket").isin(sorted({r.bucket for r in asked})) & F.col("term").isin(sorted(r.term for r in asked)))
+        blocks, postings = lists.select("term", "slab", "n", "most"), lists.select("term", "slab", F.inline(F.arrays_zip("place", "tf", "len")))
         if keep is not None:
             kept = self.table("texts").select("id", "slab", "place").join(keep.select("id").distinct(), "id", "left_semi")
             postings = postings.join(kept.select("slab", "place"), ["slab", "place"], "left_semi")
