@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from array import array
 
 from tokenizers import Tokenizer
@@ -19,7 +20,7 @@ from .. import runtime
 
 CACHE = 700_000
 _EDGE = re.compile(r"(?<=\S)(?=[ \n])")
-_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")  # ASCII marks but the apostrophe
+_MARKS = "".join(m for m in string.punctuation if m != "'")
 
 
 def default_path(name: str) -> str:
@@ -69,52 +70,69 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes | None:
-        """ids of a space and a word of letters alone, which pre-tokenizers leave whole: straight from the model."""
-        if self.normal is not None:
-            word = word.lower() if word.isascii() else self.normal.normalize_str(word)
-        if not word.isalpha():
-            return None
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(self.space + word)]).tobytes()
+    def _normals(self, words: list[str]) -> list[str]:
+        """Normal forms of words of letters alone; those that aren't ASCII by the library, many at a time with spaces between."""
+        if self.normal is None:
+            return words
+        out = [w.lower() for w in words]
+        at = [i for i, w in enumerate(words) if not w.isascii()]
+        for lo in range(0, len(at), 1000):
+            some = at[lo : lo + 1000]
+            normal = self.normal.normalize_str(" ".join([words[i] for i in some])).split(" ")
+            if len(normal) != len(some):
+                normal = [self.normal.normalize_str(words[i]) for i in some]
+            for i, w in zip(some, normal):
+                out[i] = w
+        return out
+
+    def _words(self, words: list[str]) -> list[str]:
+        """Learn words of letters alone after a space, which pre-tokenizers leave whole: straight from the model.  Returns
+        those whose normal forms aren't such."""
+        space, letters, tokenize, rest = self.space, self.letters, self.model.tokenize, []
+        for w, word in zip(words, self._normals(words)):
+            if not word.isalpha():
+                rest.append(w)
+                continue
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            self.chunks[w] = array("I", [t.id for t in tokenize(space + word)]).tobytes()
+        return rest
 
     def _learn(self, wanted: set[str]) -> None:
         """Encode the chunks that the cache lacks.  A chunk after a space is kept without it; ``None`` marks one that
         isn't cut off for certain, as white space runs on."""
-        missing = [w for w in wanted if w not in self.chunks]
+        missing = wanted.difference(self.chunks)
         if not missing:
             return
         if len(self.chunks) + len(missing) > self.limit:
             self.chunks = {w: self.chunks[w] for w in wanted if w in self.chunks}
-        plain, split = [], []
+        chunks, words, rest = self.chunks, set(), set()
+        split, bases, tails = [], [], []  # no tuple a chunk, which the garbage collector would walk
         for w in missing:
-            if not w or w[-1].isspace():
-                self.chunks[w] = None
-                continue
-            m = _TAIL.search(w)
-            if m and m.start() and self._ends_word(w[m.start() - 1]):
-                split.append((w, w[: m.start()], m[0]))
-            else:
-                plain.append(w)
-        bases = {b for _, b, _ in split if b not in self.chunks}
-        plain = list(dict.fromkeys([*plain, *sorted(bases)]))
-        rest = []
-        for w in plain:
-            ids = self._word(w) if w.isalpha() else None
-            if ids is None:
-                rest.append(w)
+            if w.isalpha():
+                words.add(w)
+            elif not w or w[-1].isspace():
+                chunks[w] = None
             else:
-                self.chunks[w] = ids
+                base = w.rstrip(_MARKS)
+                if base and len(base) < len(w) and self._ends_word(base[-1]):
+                    split.append(w)
+                    bases.append(base)
+                    tails.append(w[len(base) :])
+                    if base not in chunks:
+                        (words if base.isalpha() else rest).add(base)
+                else:
+                    rest.add(w)
+        rest = [*rest, *self._words(list(words))]
         for w, ids in zip(rest, self._ids([w if w[0] == "\n" else " " + w for w in rest])):
-            self.chunks[w] = ids
-        tails = sorted({t for _, _, t in split if t not in self.tails})
-        if len(self.tails) + len(tails) > self.limit:
+            chunks[w] = ids
+        new = sorted(set(tails).difference(self.tails))
+        if len(self.tails) + len(new) > self.limit:
             self.tails.clear()
-            tails = sorted({t for _, _, t in split})
-        self.tails.update(zip(tails, self._ids(tails)))
-        for w, b, t in split:
-            self.chunks[w] = self.chunks[b] + self.tails[t]
+            new = sorted(set(tails))
+        self.tails.update(zip(new, self._ids(new)))
+        for w, base, tail in zip(split, bases, tails):
+            chunks[w] = chunks[base] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, wanted, heads = [], set(), []
