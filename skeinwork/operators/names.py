@@ -54,8 +54,9 @@ def grams(names: DataFrame, name: str, least: float) -> DataFrame:
 
 def survivors(typed: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """(typed, name): the pairs of typed (typed) and known names (name), each distinct, that may reach the score."""
-    a = grams(typed, "typed", least).select("typed", F.col("n").alias("m"), F.col("letters").alias("own"), F.col("pairs").alias("own_pairs"), F.explode("prefix").alias("g"))
-    b = grams(known, "name", least).select("name", "n", "letters", "pairs", F.explode("prefix").alias("h"))
+    # explode would put a filter on the prefix, whose letter work would be pushed below the distinct names, to every row
+    a = grams(typed, "typed", least).select("typed", F.col("n").alias("m"), F.col("letters").alias("own"), F.col("pairs").alias("own_pairs"), F.explode_outer("prefix").alias("g"))
+    b = grams(known, "name", least).select("name", "n", "letters", "pairs", F.explode_outer("prefix").alias("h"))
     total, low = F.col("n") + F.col("m"), least - 1e-6
     long_enough = 200 * F.least("n", "m") >= low * total
     common = lambda x, y: F.size(F.array_intersect(x, y))
