@@ -1,10 +1,10 @@
 """Stored postings and vectors of texts: what retrieval reads, written once with the texts' version.
 
-``texts`` (slab, place, id, len, terms) has each text's words and how often it has them; a slab is at most SLAB texts that
-follow each other where they are read, and a text goes by its place in one.  ``postings`` (bucket, term, slab, n, most, place,
-tf, len) is partitioned by a hash of the term and sorted within.  A row is a slab's part of a word's list: its size, the highest
-weight in it, and arrays with the texts' places, counts and lengths; a slab that several tasks read has several such rows.  A
-question reads the lists of its own words alone:
+``texts`` (slab, place, id, len, words, counts) has each text's words and how often it has them; a slab is at most SLAB texts
+that follow each other where they are read, and a text goes by its place in one.  ``postings`` (bucket, term, slab, n, most, list)
+is partitioned by a hash of the term and sorted within.  A row is a slab's part of a word's list: its size, the highest weight in
+it, and the texts' places, counts and lengths, as one binary (``Stored.table`` shows three arrays); a slab that several tasks read
+has several such rows.  A question reads the lists of its own words alone:
 
 1. the rows' highest weights give a bound on the score of every slab; the slabs with the highest bounds are scored, and the k-th best of
    their texts is a floor for all;
@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 
 from ..operators import search
 from ..runtime import map_arrow, written
-from .postings import counter, packer
+from .postings import counted, counter, listed, lists_packer, unpacked
 
-BUCKETS, SLAB, SLABS_FIRST, LISTED, PIECE = 64, 1024, 4, 1000, 200_000
+BUCKETS, SLAB, SLABS_FIRST, LISTED, PIECE = 64, 8192, 4, 1000, 200_000
 SAMPLE, CELLS, PROBED, ROUNDS = 50_000, 1024, 8, 5
 SLACK = 1e-6  # scores are rounded to 6 places
 
@@ -62,15 +62,15 @@ def write_postings(texts: DataFrame, path: str, buckets: int = BUCKETS, slab: in
     """Write texts, postings and stats of texts (id, text) below path."""
     spark = texts.sparkSession
     number = F.monotonically_increasing_id()  # of one pass: the table is what all others are made of
-    ws = texts.select("id", number.alias("number"), search.words(F.col("text")).alias("ws")).select("id", "number", F.size("ws").alias("len"), "ws")
-    shaped = map_arrow(ws, counter(slab), f"slab long, place short, id {texts.schema['id'].dataType.simpleString()}, len int, terms array<struct<term:string,tf:int>>")
+    plain = texts.select("id", number.alias("number"), F.lower("text").alias("text"))
+    shaped = map_arrow(plain, counter(slab), f"slab long, place short, id {texts.schema['id'].dataType.simpleString()}, len int, words string, counts binary")
     shaped.write.parquet(f"{path}/texts")
     kept = spark.read.schema(shaped.schema).parquet(f"{path}/texts")
     kept.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats").first()
     pieces = max(1, stats.n_docs // PIECE)  # a bucket is split by slab, so that a task sorts no more as the table grows
     # a row is shuffled for each word of a slab, not for each posting
-    lists = map_arrow(kept.select("slab", "place", "len", "terms"), packer(stats.avg_len or 1.0), "term string, slab long, n int, most double, place array<short>, tf array<int>, len array<int>")
+    lists = map_arrow(kept.select("slab", "place", "len", "words", "counts"), lists_packer(stats.avg_len or 1.0), "term string, slab long, n int, most double, list binary")
     lists = lists.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(buckets * pieces, "bucket", F.pmod(F.xxhash64("slab"), F.lit(pieces)))
     _write(lists.sortWithinPartitions("bucket", "term", "slab"), path, "postings", "bucket")
 
@@ -79,9 +79,9 @@ def write_vectors(vectors: DataFrame, path: str, cells: int | None = None, sampl
     """Write vectors and cells of vectors (id, embedding, any further columns) below path."""
     spark = vectors.sparkSession
     e = F.col("embedding")
-    vectors = written(vectors, "vectors")
-    squared = vectors.withColumn("square", F.coalesce(search.dot(e, e), F.lit(0.0)))
-    usable = squared.where("square > 0 and not isnan(square) and square < double('infinity')")
+    squared = written(vectors.withColumn("square", F.coalesce(search.dot(e, e), F.lit(0.0))), "vectors")  # once; it is read for each step below
+    good = F.expr("square > 0 and not isnan(square) and square < double('infinity')")  # is never null
+    usable = squared.where(good)
     n = usable.count()
     if n:
         some = usable.where(F.pmod(F.xxhash64("id"), F.lit(-(-n // sample))) == 0).select(array_to_vector(e.cast("array<double>")).alias("features"))
@@ -92,7 +92,7 @@ def write_vectors(vectors: DataFrame, path: str, cells: int | None = None, sampl
         placed = model.transform(usable.withColumn("features", array_to_vector(e.cast("array<double>")))).drop("features")
     else:
         centres, placed = spark.createDataFrame([], "cell int, centre array<double>"), usable.withColumn("cell", F.lit(-1))
-    rest = squared.join(usable.select("id"), "id", "left_anti").withColumn("cell", F.lit(-1)).withColumn("square", F.lit(0.0))
+    rest = squared.where(~good).withColumn("cell", F.lit(-1)).withColumn("square", F.lit(0.0))
     stored = _write(placed.unionByName(rest).hint("rebalance", "cell"), path, "vectors", "cell")
     to_centre = search.cosine(e, F.col("centre"), search.dot(F.col("centre"), F.col("centre")))
     spread = stored.join(F.broadcast(centres), "cell").groupBy("cell").agg(F.count("*").alias("n"), F.min(to_centre).alias("least"))  # CELLS rows
@@ -105,12 +105,16 @@ class Stored:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path, self.schemas = spark, path, {}
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, packed: bool = False) -> DataFrame:
+        """A table; packed: the postings as they are stored."""
         if name in ("stats", "cells", "texts"):
             return self.spark.read.parquet(f"{self.path}/{name}")
         if name not in self.schemas:
             self.schemas[name] = T.StructType.fromJson(json.loads(self.spark.read.parquet(f"{self.path}/schemas/{name}").first().json))
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
+        rows = self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
+        if name != "postings" or packed:
+            return rows
+        return map_arrow(rows.select("bucket", "term", "slab", "n", "most", "list"), listed, "bucket int, term string, slab long, n int, most double, place array<short>, tf array<int>, len array<int>")
 
     # ------------------------------------------------------------------------------------------ words
     def bm25(self, question: DataFrame, k: int = 10, keep: DataFrame | None = None) -> DataFrame:
@@ -118,8 +122,9 @@ class Stored:
         stats = self.table("stats").first()
         terms = question.select(F.explode(F.array_distinct(search.words(F.col("text")))).alias("term")).distinct()
         asked = terms.select("term", _bucket(F.col("term"), stats.buckets).alias("bucket")).collect()  # one question's words
-        lists = self.table("postings").where(F.col("bucket").isin(sorted({r.bucket for r in asked})) & F.col("term").isin(sorted(r.term for r in asked)))
-        blocks, postings = lists.select("term", "slab", "n", "most"), lists.select("term", "slab", F.inline(F.arrays_zip("place", "tf", "len")))
+        lists = self.table("postings", packed=True).where(F.col("bucket").isin(sorted({r.bucket for r in asked})) & F.col("term").isin(sorted(r.term for r in asked)))
+        blocks = lists.select("term", "slab", "n", "most")
+        postings = map_arrow(lists.select("term", "slab", "n", "list"), unpacked, "term string, slab long, place short, tf int, len int")
         if keep is not None:
             kept = self.table("texts").select("id", "slab", "place").join(keep.select("id").distinct(), "id", "left_semi")
             postings = postings.join(kept.select("slab", "place"), ["slab", "place"], "left_semi")
@@ -216,4 +221,5 @@ def write(texts: DataFrame, path: str, vectors: DataFrame | None = None) -> Stor
 
 def embedded(spark: SparkSession, path: str, dimensions: int = 64) -> DataFrame:
     """search.embed of the texts whose postings are below path, from their counted words."""
-    return search.embed_counts(spark.read.parquet(f"{path}/texts").select("id", F.inline_outer("terms")), dimensions)
+    texts = spark.read.parquet(f"{path}/texts").select("id", "words", "counts")
+    return search.embed_counts(map_arrow(texts, counted, f"id {texts.schema['id'].dataType.simpleString()}, term string, tf int"), dimensions)
